@@ -87,10 +87,10 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     )
 
 
-def schedule(mix: DataFrame) -> DataFrame:
-    """The mix's rows in training order: range-sorted by first position, rows that are not trained on last."""
+def schedule(mix: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mix's rows in training order: range-sorted by first position, rows that are not trained on last, by key."""
     first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
-    return mix.withColumn("_first", first).sort("_first").drop("_first")
+    return mix.withColumn("_first", first).sort("_first", key).drop("_first")
 
 
 def trained(docs: DataFrame, **options) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import media, mixing, search, secrets, sharding
+from . import lines, media, minhash, mixing, packing, quality, search, secrets, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op3_quality": quality.op3_quality,
+    "op4_lines": lines.op4_lines,
     "op5_secrets": secrets.op5_secrets,
     "op6_shard": sharding.op6_shard,
+    "op7_pack": packing.op7_pack,
+    "op8_minhash": minhash.op8_minhash,
     "op9_topk": search.op9_topk,
     "op10_media": media.op10_media,
 }
-ORACLE_SQL: dict[str, str] = {"op9_topk": search.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_lines": lines.OP4_SQL, "op9_topk": search.OP9_SQL}
