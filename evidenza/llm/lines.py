@@ -98,16 +98,16 @@ def op4_lines(spark, sf_dir):
 OP4_SQL = """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 cut AS (SELECT r, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM docs),
-l0 AS (SELECT r, text, unnest(range(len(parts))) AS at, unnest(parts) AS line FROM cut),
+l0 AS (SELECT r, text, unnest(range(len(parts))) AS place, unnest(parts) AS line FROM cut),
 l1 AS (
-  SELECT r, text, at, length(line) AS chars,
+  SELECT r, text, place, length(line) AS chars,
          regexp_replace(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g') AS m
   FROM l0
 ),
 l2 AS (SELECT *, regexp_split_to_array(m, '[\\x20\\x09-\\x0D]+') AS t FROM l1 WHERE m <> ''),
 l3 AS (SELECT *, len(t) AS n, CAST(greatest(ceil((len(t) - 3) / 4.0), 1) AS BIGINT) AS step FROM l2),
 l4 AS (
-  SELECT r, text, at, chars, m, n, step, concat(n, chr(10), array_to_string(t[1:3], chr(10))) AS leaf,
+  SELECT r, text, place, chars, m, n, step, concat(n, chr(10), array_to_string(t[1:3], chr(10))) AS leaf,
          array_to_string(t[4:3 + step], chr(10)) AS s0, array_to_string(t[4 + step:3 + 2 * step], chr(10)) AS s1,
          array_to_string(t[4 + 2 * step:3 + 3 * step], chr(10)) AS s2, array_to_string(t[4 + 3 * step:3 + 4 * step], chr(10)) AS s3
   FROM l3
@@ -124,7 +124,7 @@ leaves AS (
     >= 0.6 * max(n)
 ),
 drops AS (
-  SELECT r, list(at) AS gone, sum(chars) AS chars FROM l4
+  SELECT r, list(place) AS gone, sum(chars) AS chars FROM l4
   WHERE m IN (SELECT m FROM templates) OR leaf IN (SELECT leaf FROM leaves) GROUP BY r
 ),
 o AS (
@@ -135,6 +135,6 @@ o AS (
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS BIGINT) AS n_lines,
        CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        sha256(CASE WHEN gone IS NULL THEN coalesce(text, '')
-              ELSE array_to_string(list_transform(list_filter(list_zip(parts, range(len(parts))), p -> NOT list_contains(gone, p[2])), p -> p[1]), chr(10)) END) AS kept_sha256
+              ELSE array_to_string(list_transform(list_filter(list_zip(parts, range(len(parts))), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]), chr(10)) END) AS kept_sha256
 FROM o
 """

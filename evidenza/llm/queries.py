@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, media, minhash, mixing, packing, quality, search, secrets, sharding
+from . import lines, media, minhash, mixing, packing, quality, search, secrets, sharding, suffixes
 
 QUERIES = {
+    "op1_suffix": suffixes.op1_suffix,
     "op2_mix": mixing.op2_mix,
     "op3_quality": quality.op3_quality,
     "op4_lines": lines.op4_lines,
