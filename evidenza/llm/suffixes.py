@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, text_or_empty, written
+from .common import new_folder, read, released, text_or_empty, written
 from .hashing import Powers, U, between, mix, running
 
 LEAST = 200
 SEED = 40
 #: Rows of a class that one task compares; larger classes are split.
-CLASS = 250
+CLASS = 16384
 #: Rows that a task compares at a time.
-CHUNK = 8192
+CHUNK = 4096
 SECOND = Powers(0xC2B2AE3D27D4EB4F)
 
 
@@ -77,27 +77,56 @@ def merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def sorted_out(rows: pd.DataFrame, least: int, seed: int) -> pd.DataFrame:
+def repeated(h: np.ndarray) -> np.ndarray:
+    """Which values stand more than once."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def sorted_out(rows: pd.DataFrame, least: int, seed: int, step: int = 8) -> pd.DataFrame:
     """_uid, _start and _end of what repeats within the classes (_key) of rows, for rows that stand alone.
 
     rows: _key, _uid, _pos, _alone, _off (of the anchor in _data), _from and _to (string i starts i bytes before it).
+    Goes through the strings `step` at a time: what they all share must repeat for any of them to, and if what they
+    cover together repeats, all of them do; only in between are they compared one by one.
     """
     size = rows["_data"].map(len).to_numpy()
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     data = np.frombuffer(b"".join(rows["_data"]), np.uint8)
     sums, again = running(data), running(data, SECOND)
     key, off = rows["_key"].to_numpy().view(U), rows["_off"].to_numpy()
+    alone = rows["_alone"].to_numpy().astype(bool)
     first = np.maximum(rows["_from"].to_numpy(), least - (size - off))
     last = np.minimum(rows["_to"].to_numpy() - 1, off)
+
+    def named(at: np.ndarray, back: int, length: int) -> np.ndarray:
+        start = base[at] + off[at] - back
+        return between(sums, start, start + length) + mix(key[at] ^ between(again, start, start + length, SECOND))
+
     twice = np.zeros((len(rows), least - seed + 3), bool)
-    for i in range(least - seed + 1):
-        at = np.flatnonzero((first <= i) & (i <= last))
-        if len(at) > 1:
-            start = base[at] + off[at] - i
-            h = between(sums, start, start + least) + mix(key[at] ^ between(again, start, start + least, SECOND))
-            _, of, count = np.unique(h, return_inverse=True, return_counts=True)
-            twice[at, i + 1] = count[of] > 1
-    twice &= rows["_alone"].to_numpy()[:, None]
+    for lo in range(0, least - seed + 1, step):
+        hi = min(lo + step, least - seed + 1)
+        at = np.flatnonzero((np.maximum(first, lo) <= np.minimum(last, hi - 1)))
+        if len(at) < 2:
+            continue
+        core = named(at, lo, least - (hi - 1 - lo))
+        on = repeated(core)
+        at, core = at[on], core[on]
+        full = np.flatnonzero((first[at] <= lo) & (hi - 1 <= last[at]))
+        done = np.zeros(len(at), bool)
+        done[full] = repeated(named(at[full], hi - 1, least + hi - 1 - lo))
+        twice[at[done], lo + 1 : hi + 1] = True
+        open_ = alone[at] & ~done
+        if open_.any():
+            at = at[np.isin(core, core[open_])]
+            for i in range(lo, hi):
+                who = at[(first[at] <= i) & (i <= last[at])]
+                twice[who[repeated(named(who, i, least))], i + 1] = True
+    twice &= alone[:, None]
     edges = np.diff(twice.astype(np.int8), axis=1)
     row, lo = np.nonzero(edges == 1)
     hi = np.nonzero(edges == -1)[1] - 1
@@ -125,13 +154,20 @@ def texts_table(docs: DataFrame, text: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def cut_up(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches in smaller ones: what a batch grows to stays small too."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows].reset_index(drop=True)
+
+
 def on_texts(texts: DataFrame, rows: DataFrame, of, schema: str) -> DataFrame:
     """Joins rows (one for each _uid) to the texts and maps each text's bytes and row to the columns of `schema`."""
     names = [c.split()[0] for c in schema.split(", ")]
     others = [c for c in rows.columns if c != "_uid"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in cut_up(batches):
             parts = [of(uid, zlib.decompress(z), *rest) for uid, z, *rest in zip(batch["_uid"], batch["_z"], *[batch[c] for c in others], strict=True)]
             columns = [[p[i] for p in parts] for i in range(len(names))]
             yield pd.DataFrame({n: np.concatenate(c) if c and isinstance(c[0], np.ndarray) else [x for y in c for x in y] for n, c in zip(names, columns, strict=True)})
@@ -161,7 +197,7 @@ def refined(rows: DataFrame, least: int, seed: int, largest: int) -> DataFrame:
 
     def split(part: int):
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in cut_up(batches):
                 out = []
                 for key, off, data, lo, hi in zip(batch["_key"], batch["_off"], batch["_data"], batch["_from"], batch["_to"], strict=True):
                     first, last = max(lo, least - (len(data) - off)), min(hi - 1, off)
@@ -214,41 +250,53 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
         at, h = anchors(np.frombuffer(data, np.uint8), least, seed)
         return long(h), np.full(len(at), uid, np.int64), at.astype(np.int32)
 
-    found = on_texts(texts, heads, seeds, "_h long, _uid long, _pos int")
+    spark = docs.sparkSession
+    found = written(on_texts(texts, heads, seeds, "_h long, _uid long, _pos int"), "suffix-anchors")
     shared = written(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m"), "suffix-shared")
+    released(spark)
     reach = least - seed
 
-    def contexts(uid, data, hits):
+    def contexts(uid, data, pos):
         x = np.frombuffer(data, np.uint8)
-        pos = np.array([p["_pos"] for p in hits], np.int64)
+        pos = np.asarray(pos, np.int64)
         lo, hi = np.maximum(pos - reach, 0), np.minimum(pos + least, len(x))
-        context = mix(between(running(x, SECOND), lo, hi, SECOND) + ((pos - lo).astype(U) << U(32)))
-        return np.array([p["_h"] for p in hits], np.int64), long(context), np.full(len(pos), uid, np.int64), pos, lo, hi
-
-    places = found.join(shared, "_h").groupBy("_uid").agg(F.collect_list(F.struct("_h", "_pos")).alias("_hits"))
-    known = written(on_texts(texts, places, contexts, "_h long, _context long, _uid long, _pos long, _lo long, _hi long"), "suffix-contexts")
+        h = between(running(x), pos, pos + seed)
+        context = between(running(x, SECOND), lo, hi, SECOND) + ((pos - lo).astype(U) << U(32))
+        return long(h), long(mix(h ^ mix(context))), np.full(len(pos), uid, np.int64), pos.astype(np.int32)
+
+    places = found.join(shared, "_h").groupBy("_uid").agg(F.collect_list("_pos").alias("_hits"))
+    known = written(on_texts(texts, places, contexts, "_h long, _string long, _uid long, _pos int"), "suffix-contexts")
+    released(spark)
+    # A row for each different context, of any of its places.
     strings = written(
-        known.groupBy("_h", "_context").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_uid", "_pos")).alias("_one")), "suffix-strings"
+        known.groupBy("_string").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_h", "_uid", "_pos")]), "suffix-strings"
     )
-    whole = known.join(strings.filter("_c > 1").select("_h", "_context"), ["_h", "_context"]).filter(F.col("_hi") - F.col("_lo") >= least)
+    released(spark)
     several = written(strings.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m"), "suffix-several")
-    open_ = strings.join(several, "_h").select("_one._uid", F.struct("_h", "_one._pos", (F.col("_c") == 1).alias("_alone")).alias("_x"))
+    open_ = strings.join(several, "_h").groupBy("_uid").agg(F.collect_list("_pos").alias("_places"), F.collect_list(F.col("_c") == 1).alias("_alone"))
 
-    def cut(uid, data, rows):
-        pos = np.array([r["_pos"] for r in rows], np.int64)
+    def cut(uid, data, places, alone):
+        pos = np.asarray(places, np.int64)
         lo = np.maximum(pos - reach, 0)
-        keys = np.array([r["_h"] for r in rows], np.int64)
-        alone = np.array([r["_alone"] for r in rows], bool)
+        keys = long(between(running(np.frombuffer(data, np.uint8)), pos, pos + seed))
         none = np.zeros(len(pos), np.int32)
-        return keys, np.full(len(pos), uid, np.int64), pos, alone, pos - lo, none, none + reach + 1, [data[a : p + least] for a, p in zip(lo, pos, strict=True)]
+        return keys, np.full(len(pos), uid, np.int64), pos, np.asarray(alone, bool), pos - lo, none, none + reach + 1, [data[a : p + least] for a, p in zip(lo, pos, strict=True)]
 
     columns = "_key long, _uid long, _pos long, _alone boolean, _off long, _from int, _to int, _data binary"
-    rows = written(on_texts(texts, open_.groupBy("_uid").agg(F.collect_list("_x").alias("_rows")), cut, columns), "suffix-rows")
-    spans = whole.select("_uid", F.col("_lo").alias("_start"), F.col("_hi").alias("_end")).unionByName(refined(rows, least, seed, largest))
-    by_text = spans.groupBy("_uid").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans"))
-
-    def remove(uid, data, found):
-        runs = merged([(s["_start"], s["_end"]) for s in found], len(data))
+    rows = written(on_texts(texts, open_, cut, columns), "suffix-rows")
+    released(spark)
+    solved = written(refined(rows, least, seed, largest), "suffix-solved")
+    released(spark)
+    # Where a whole context repeats, so does all that stands in it; at a text's ends it is shorter.
+    whole = written(known.join(strings.filter("_c > 1").select("_string"), "_string").select("_uid", "_pos"), "suffix-whole")
+    released(spark)
+    around = whole.groupBy("_uid").agg(F.collect_list("_pos").alias("_whole"))
+    between_ = solved.groupBy("_uid").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans"))
+    by_text = around.join(between_, "_uid", "full")
+
+    def remove(uid, data, places, found):
+        around = [] if places is None else [(max(p - reach, 0), min(p + least, len(data))) for p in np.asarray(places).tolist()]
+        runs = merged([x for x in around if x[1] - x[0] >= least] + [(s["_start"], s["_end"]) for s in ([] if found is None else found)], len(data))
         kept, done = [], 0
         for s, e in runs:
             kept.append(data[done:s])
