@@ -7,6 +7,7 @@ document is scored on its whole text, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections import Counter
@@ -22,7 +23,15 @@ from .common import read, text_or_empty, written
 #: Rated documents that the model is fitted on, at most.
 SAMPLE = 4000
 WORDS, SHAPES = 1 << 17, 1 << 10
-STEPS, RATE, DECAY = 150, 0.3, 2e-5
+#: The slot of words that follow themselves.
+AGAIN = 0
+#: Texts of the sample that a word stands in at least, to have a weight.
+COMMON = 10
+#: Weight of the shapes' shares beside the words.
+SHAPE_SCALE = 10.0
+STEPS, RATE, DECAY = 100, 0.1, 1e-3
+#: Length of a text's vector of words; a few telling words among many then count enough.
+SCALE = 4.0
 #: Chance of the best grade from which a document is kept.
 LEAST = 0.5
 REMEMBERED = 300_000
@@ -39,15 +48,22 @@ def slots(word: str) -> tuple[int, int]:
     return zlib.crc32(word.strip(".,;:!?").lower().encode()) % WORDS, zlib.crc32(shape(word).encode()) % SHAPES
 
 
+def repeats(words: list[str]) -> int:
+    """Words that follow themselves."""
+    return sum(map(operator.eq, words, words[1:]))
+
+
 def features(text: str) -> tuple[list[int], list[float], list[int], list[float]]:
     """Hashed words with the logarithms of their counts, and the shares of word shapes."""
     words, shapes = Counter(), Counter()
-    for word, n in Counter(text.split()).items():
+    said = text.split()
+    for word, n in Counter(said).items():
         w, s = slots(word)
         words[w] += n
         shapes[s] += n
-    total = max(1, sum(words.values()))
-    return list(words), [1 + float(np.log(n)) for n in words.values()], list(shapes), [n / total for n in shapes.values()]
+    shapes[AGAIN] += repeats(said)
+    total = max(1, len(said))
+    return list(words), [1 + float(np.log(n)) for n in words.values()], list(shapes), [SHAPE_SCALE * n / total for n in shapes.values()]
 
 
 class Model:
@@ -64,7 +80,8 @@ class Model:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for word, n in Counter(text.split()).items():
+        said = text.split()
+        for word, n in Counter(said).items():
             at = known.get(word)
             if at is None:
                 w, s = slots(word)
@@ -74,9 +91,10 @@ class Model:
             total += n
         if not total:
             return 0.0
+        shaped += repeats(said) * float(self.shapes[AGAIN])
         index = np.fromiter(words.keys(), np.int64, len(words))
         value = (1 + np.log(np.fromiter(words.values(), float, len(words)))) * self.rare[index]
-        return float(value @ self.words[index] / max(1e-9, np.sqrt(value @ value)) + shaped / total)
+        return float(SCALE * (value @ self.words[index]) / max(1e-9, np.sqrt(value @ value)) + SHAPE_SCALE * shaped / total)
 
     def chances(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ..."""
@@ -89,13 +107,13 @@ def fit(rows: list[tuple], grades: np.ndarray, n_grades: int) -> Model:
     seen = np.zeros(WORDS)
     for r in rows:
         seen[r[0]] += 1
-    rare = np.log((n + 1) / (seen + 1)) + 1
+    rare = np.where(seen >= COMMON, np.log((n + 1) / (seen + 1)) + 1, 0.0)
     at_w = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     at_s = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     flat = lambda i, kind: np.concatenate([np.asarray(r[i], kind) for r in rows]) if rows else np.zeros(0, kind)
     iw, vw, i_s, vs = flat(0, np.int64), flat(1, float), flat(2, np.int64), flat(3, float)
     vw = vw * rare[iw]
-    vw /= np.maximum(1e-9, np.sqrt(np.bincount(at_w, vw**2, len(rows))))[at_w]
+    vw *= SCALE / np.maximum(1e-9, np.sqrt(np.bincount(at_w, vw**2, len(rows))))[at_w]
     w, s = np.zeros(WORDS), np.zeros(SHAPES)
     share = np.array([np.clip((grades >= j).mean() if len(grades) else 0.5, 0.01, 0.99) for j in range(1, n_grades)])
     start = np.log(1 / share - 1)
