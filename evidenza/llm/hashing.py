@@ -32,8 +32,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def running(data: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Running sums of a byte array, from which `between` takes hashes."""
+    return summed(data, powers.upto(len(data))[0])
+
+
+def summed(data: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes, each plus one and times its factor; in place, as there may be many."""
     total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers.upto(len(data))[0], out=total[1:])
+    part = total[1:]
+    part[:] = data
+    part += U(1)
+    part *= factors
+    np.cumsum(part, out=part)
     return total
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, read, released, text_or_empty, written
-from .hashing import Powers, U, between, mix, running
+from .hashing import POWERS, Powers, U, between, mix, running, summed
 
 LEAST = 200
 SEED = 40
@@ -97,15 +97,21 @@ def sorted_out(rows: pd.DataFrame, least: int, seed: int, step: int = 8) -> pd.D
     size = rows["_data"].map(len).to_numpy()
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     data = np.frombuffer(b"".join(rows["_data"]), np.uint8)
-    sums, again = running(data), running(data, SECOND)
+    # Powers by the place in the row, not in all the data: their tables stay as short as a row.
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(base.astype(np.int32), size)
+    (up, down), (up2, down2) = POWERS.upto(int(size.max())), SECOND.upto(int(size.max()))
+    sums, again = summed(data, up[place]), summed(data, up2[place])
+    del place
     key, off = rows["_key"].to_numpy().view(U), rows["_off"].to_numpy()
     alone = rows["_alone"].to_numpy().astype(bool)
     first = np.maximum(rows["_from"].to_numpy(), least - (size - off))
     last = np.minimum(rows["_to"].to_numpy() - 1, off)
 
     def named(at: np.ndarray, back: int, length: int) -> np.ndarray:
-        start = base[at] + off[at] - back
-        return between(sums, start, start + length) + mix(key[at] ^ between(again, start, start + length, SECOND))
+        inside = off[at] - back
+        start = base[at] + inside
+        first_hash = mix((sums[start + length] - sums[start]) * down[inside])
+        return first_hash + mix(key[at] ^ mix((again[start + length] - again[start]) * down2[inside]))
 
     twice = np.zeros((len(rows), least - seed + 3), bool)
     for lo in range(0, least - seed + 1, step):
@@ -182,7 +188,7 @@ def refined(rows: DataFrame, least: int, seed: int, largest: int) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-        for batch in batches:
+        for batch in cut_up(batches, CHUNK):
             held.append(batch)
             n += len(batch)
             if n >= CHUNK:
