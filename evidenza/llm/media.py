@@ -102,7 +102,7 @@ def stored(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id"
                         sink.addfile(member, io.BytesIO(data))
                         places[digest] = (name, used + tarfile.BLOCKSIZE, len(data))
                         used += tarfile.BLOCKSIZE + -(-len(data) // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
-                    rows.append((len(raw), digest.hex(), *places[digest]))
+                    rows.append((len(raw), digest, *places[digest]))
                 yield pd.DataFrame(rows, columns=["n_bytes", "digest", "shard", "offset", "length"]).assign(_key=batch["_key"].to_numpy())
         finally:
             if sink is not None:
@@ -110,12 +110,12 @@ def stored(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id"
                 out.close()
 
     rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    found = written(rows.mapInPandas(write, f"n_bytes long, digest string, shard string, offset long, length long, _key {kind}"), "media-rows")
+    found = written(rows.mapInPandas(write, f"n_bytes long, digest binary, shard string, offset long, length long, _key {kind}"), "media-rows", "zstd")
     one = found.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at"))
     return (
         found.drop("shard", "offset", "length")
-        .join(written(one, "media-index"), "digest")
-        .select(F.col("_key").alias(key), "n_bytes", "digest", "_at.shard", "_at.offset", "_at.length")
+        .join(written(one, "media-index", "zstd"), "digest")
+        .select(F.col("_key").alias(key), "n_bytes", F.lower(F.hex("digest")).alias("digest"), "_at.shard", "_at.offset", "_at.length")
     )
 
 
@@ -124,6 +124,7 @@ def ranges(rows: DataFrame, folder: str, columns: str, of, whole: bool) -> DataF
 
     Reads follow shard and offset, so each task goes forward through few files.
     """
+    kind = rows.schema["digest"].dataType.simpleString()
     distinct = rows.groupBy("digest", "shard", "offset", "length").agg(F.lit(1).alias("_one"))
     tasks = distinct.select("digest", "shard", "offset", "length").repartition("shard", F.shiftright("offset", 24)).sortWithinPartitions("shard", "offset")
 
@@ -143,7 +144,7 @@ def ranges(rows: DataFrame, folder: str, columns: str, of, whole: bool) -> DataF
         if source is not None:
             source.close()
 
-    return tasks.mapInPandas(fetch, f"digest string, {columns}")
+    return tasks.mapInPandas(fetch, f"digest {kind}, {columns}")
 
 
 def metadata(rows: DataFrame, folder: str) -> DataFrame:
@@ -169,9 +170,15 @@ def features(rows: DataFrame, folder: str) -> DataFrame:
 
 def op10_media(spark, sf_dir):
     folder = new_folder(spark, "media")
-    rows = written(stored(read(spark, sf_dir, "documents").select("doc_id", "text"), folder), "media-stored")
-    meta = written(metadata(rows, folder), "media-meta")
-    found = written(features(rows, folder), "media-features")
-    return rows.join(found.join(meta, "digest"), "digest").select(
+    # Digests move as bytes, at half the size of their hexadecimal form.
+    rows = written(unhexed(stored(read(spark, sf_dir, "documents").select("doc_id", "text"), folder), "digest"), "media-stored", "zstd")
+    meta = written(metadata(rows, folder), "media-meta", "zstd")
+    found = written(unhexed(features(rows, folder), "payload_sha256", "media_sha256"), "media-features", "zstd")
+    hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}
+    return rows.join(found.join(meta, "digest"), "digest").withColumns(hexed).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height"
     )
+
+
+def unhexed(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({c: F.unhex(c) for c in names})
