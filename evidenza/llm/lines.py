@@ -34,7 +34,9 @@ def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """A row a line that isn't blank: document, place, template, leaf, tokens, segments and characters."""
     rows = docs.select(text_or_empty(text).alias("_text"), *[c.alias(n) for n, c in document_key(text, key).items()])
     lines = rows.select("_a", "_b", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
-    masked = lines.withColumn("_m", F.regexp_replace(F.btrim("_line", F.lit(SPACE)), FIELD, "<*>")).filter("_m <> ''")
+    # Blank lines go by what is read, not by _m, which would be made twice: for the filter and for what follows.
+    said = lines.filter(F.btrim("_line", F.lit(SPACE)) != "")
+    masked = said.withColumn("_m", F.regexp_replace(F.btrim("_line", F.lit(SPACE)), FIELD, "<*>"))
     tokens = masked.withColumn("_t", F.split("_m", r"[\x20\x09-\x0D]+"))
     n = F.size("_t")
     step = F.greatest(F.ceil((n - DEPTH) / SEGMENTS).cast("int"), F.lit(1))
