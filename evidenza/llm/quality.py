@@ -7,6 +7,7 @@ document is scored on its whole text, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 import zlib
@@ -26,12 +27,13 @@ WORDS, SHAPES = 1 << 17, 1 << 10
 #: The slot of words that follow themselves.
 AGAIN = 0
 #: Texts of the sample that a word stands in at least, to have a weight.
-COMMON = 10
+COMMON = 8
+#: Standard deviations by which a word's texts must lean to or from some grade, for the word to have a weight. The other
+#: words would add noise that grows with the length of a text and hides a single telling word.
+TELLING = 6.0
 #: Weight of the shapes' shares beside the words.
 SHAPE_SCALE = 10.0
-STEPS, RATE, DECAY = 100, 0.1, 1e-3
-#: Length of a text's vector of words; a few telling words among many then count enough.
-SCALE = 4.0
+STEPS, RATE, DECAY = 150, 0.1, 1e-4
 #: Chance of the best grade from which a document is kept.
 LEAST = 0.5
 REMEMBERED = 300_000
@@ -67,10 +69,10 @@ def features(text: str) -> tuple[list[int], list[float], list[int], list[float]]
 
 
 class Model:
-    """Weights of words (each with its inverse document frequency) and shapes, and the thresholds of the grades."""
+    """Weights of words (0 for those that tell nothing) and shapes, and the thresholds of the grades."""
 
-    def __init__(self, rare: np.ndarray, words: np.ndarray, shapes: np.ndarray, cuts: np.ndarray):
-        self.rare, self.words, self.shapes, self.cuts = rare, words, shapes, cuts
+    def __init__(self, words: np.ndarray, shapes: np.ndarray, cuts: np.ndarray):
+        self.words, self.shapes, self.cuts = words, shapes, cuts
         self.known: dict[str, tuple[int, float]] = {}
 
     def score(self, text: str) -> float:
@@ -85,35 +87,40 @@ class Model:
             at = known.get(word)
             if at is None:
                 w, s = slots(word)
-                at = known[word] = (w, float(self.shapes[s]))
-            words[at[0]] = words.get(at[0], 0) + n
+                at = known[word] = (w if self.words[w] else -1, float(self.shapes[s]))
+            if at[0] >= 0:
+                words[at[0]] = words.get(at[0], 0) + n
             shaped += n * at[1]
             total += n
         if not total:
             return 0.0
         shaped += repeats(said) * float(self.shapes[AGAIN])
-        index = np.fromiter(words.keys(), np.int64, len(words))
-        value = (1 + np.log(np.fromiter(words.values(), float, len(words)))) * self.rare[index]
-        return float(SCALE * (value @ self.words[index]) / max(1e-9, np.sqrt(value @ value)) + SHAPE_SCALE * shaped / total)
+        told = sum((1 + math.log(n)) * float(self.words[w]) for w, n in words.items())
+        return told + SHAPE_SCALE * shaped / total
 
     def chances(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ..."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
 
+def telling(words: np.ndarray, grades: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """For each word, whether its texts lean to or from some grade. words, grades: one entry for each word of each text."""
+    seen = np.bincount(words, minlength=WORDS)
+    leans = np.zeros(WORDS)
+    for grade, p in enumerate(shares):
+        got = np.bincount(words[grades == grade], minlength=WORDS)
+        leans = np.maximum(leans, np.abs(got - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9)))
+    return (seen >= COMMON) & (leans >= TELLING)
+
+
 def fit(rows: list[tuple], grades: np.ndarray, n_grades: int) -> Model:
     """rows: features() of each text. Maximises the likelihood of the grades by Adam, with weight decay."""
     n = max(1, len(rows))
-    seen = np.zeros(WORDS)
-    for r in rows:
-        seen[r[0]] += 1
-    rare = np.where(seen >= COMMON, np.log((n + 1) / (seen + 1)) + 1, 0.0)
     at_w = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     at_s = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     flat = lambda i, kind: np.concatenate([np.asarray(r[i], kind) for r in rows]) if rows else np.zeros(0, kind)
     iw, vw, i_s, vs = flat(0, np.int64), flat(1, float), flat(2, np.int64), flat(3, float)
-    vw = vw * rare[iw]
-    vw *= SCALE / np.maximum(1e-9, np.sqrt(np.bincount(at_w, vw**2, len(rows))))[at_w]
+    vw = vw * telling(iw, grades[at_w], np.bincount(grades, minlength=n_grades) / n)[iw]
     w, s = np.zeros(WORDS), np.zeros(SHAPES)
     share = np.array([np.clip((grades >= j).mean() if len(grades) else 0.5, 0.01, 0.99) for j in range(1, n_grades)])
     start = np.log(1 / share - 1)
@@ -139,7 +146,7 @@ def fit(rows: list[tuple], grades: np.ndarray, n_grades: int) -> Model:
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             x += RATE * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8)
-    return Model(rare, w, s, np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])))
+    return Model(w, s, np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])))
 
 
 def train(rated: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", n_grades: int = 3, sample: int = SAMPLE) -> Model:
@@ -184,7 +191,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", least: float = LEA
     """
     names = [f"p_ge_{j + 1}" for j in range(len(model.cuts))]
     base = docs.drop("expected_grade", "keep", *names)
-    held = model.rare, model.words, model.shapes, model.cuts
+    held = model.words, model.shapes, model.cuts
     shared = docs.sparkSession.sparkContext.broadcast(held)  # WORDS and SHAPES fix its size
 
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
