@@ -32,8 +32,8 @@ def document_key(text: str, key: str) -> dict:
 
 def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """A row a line that isn't blank: document, place, template, leaf, tokens, segments and characters."""
-    rows = docs.select(text_or_empty(text).alias("_text"), *[c.alias(n) for n, c in document_key(text, key).items()])
-    lines = rows.select("_a", "_b", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
+    rows = docs.select(text_or_empty(text).alias("_text"), F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), *[c.alias(n) for n, c in document_key(text, key).items()])
+    lines = rows.select("_a", "_b", "_key", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
     # Blank lines go by what is read, not by _m, which would be made twice: for the filter and for what follows.
     said = lines.filter(F.btrim("_line", F.lit(SPACE)) != "")
     masked = said.withColumn("_m", F.regexp_replace(F.btrim("_line", F.lit(SPACE)), FIELD, "<*>"))
@@ -42,14 +42,14 @@ def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
     step = F.greatest(F.ceil((n - DEPTH) / SEGMENTS).cast("int"), F.lit(1))
     segments = [F.xxhash64(F.slice("_t", F.lit(DEPTH + 1) + i * step, step)).alias(f"_s{i}") for i in range(SEGMENTS)]
     return tokens.select(
-        "_a", "_b", "_at", F.length("_line").alias("_chars"), F.xxhash64("_m").alias("_template"),
+        "_a", "_b", "_key", "_h", "_at", F.length("_line").alias("_chars"), F.xxhash64("_m").alias("_template"),
         F.xxhash64(n, F.slice("_t", 1, DEPTH)).alias("_leaf"), n.alias("_n"), *segments,
     )
 
 
-def recurring(lines: DataFrame, documents: int, fixed: float) -> tuple[DataFrame, DataFrame]:
-    """Templates, and leaves with generalised templates, that recur in at least so many documents."""
-    count = F.countDistinct("_a", "_b").alias("_docs")
+def recurring(lines: DataFrame, documents: int, fixed: float, of: tuple = ("_a", "_b")) -> tuple[DataFrame, DataFrame]:
+    """Templates, and leaves with generalised templates, that recur in at least so many documents, told apart by `of`."""
+    count = F.countDistinct(*of).alias("_docs")
     templates = lines.groupBy("_template").agg(count).filter(F.col("_docs") >= documents).select("_template")
     ends = [f(f"_s{i}").alias(f"_{f.__name__}{i}") for i in range(SEGMENTS) for f in (F.min, F.max)]
     leaves = lines.groupBy("_leaf").agg(count, F.max("_n").alias("_n"), F.min("_template").alias("_t0"), F.max("_template").alias("_t1"), *ends)
@@ -71,7 +71,7 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents:
     `copy` recurs keeps all its lines. Null text stays null with 0 lines. Columns n_lines and n_dropped of docs are
     replaced. No rows: none.
     """
-    lines = written(parsed(docs, text, key), "lines")
+    lines = written(parsed(docs, text, key).drop("_key", "_h"), "lines")
     templates, leaves = recurring(lines, documents, fixed)
     by_template = lines.join(written(templates, "line-templates"), "_template").select("_a", "_b", "_at", "_chars")
     by_leaf = lines.join(written(leaves, "line-leaves"), "_leaf").select("_a", "_b", "_at", "_chars")
@@ -92,6 +92,25 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents:
     )
 
 
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = DOCUMENTS, fixed: float = FIXED) -> DataFrame:
+    """docs with text less its recurring lines, whatever share of a document they make up; no other column changes.
+
+    Templates recur as in `cleaned`, but in `documents` different texts: exact copies count once. Of what recurs one
+    occurrence stays, in the text of the smallest key (and in exact copies of that text), so copies never vanish.
+    """
+    lines = written(parsed(docs, text, key).drop("_a", "_b", "_chars"), "lines")
+    templates, leaves = recurring(lines, documents, fixed, ("_h",))
+    drops = []
+    for by, groups in (("_template", templates), ("_leaf", leaves)):
+        found = written(lines.join(groups, by).select(F.col(by).alias("_by"), "_key", "_h", "_at"), "line-found")
+        first = found.groupBy("_by").agg(F.min(F.struct("_key", "_h")).alias("_first"))
+        drops.append(found.join(written(first, "line-firsts"), "_by").filter(F.col("_h") != F.col("_first._h")).select("_h", "_at"))
+    gone = written(drops[0].unionByName(drops[1]).groupBy("_h").agg(F.collect_set("_at").alias("_drop")), "line-drops")
+    rows = docs.withColumn("_h", F.xxhash64(text)).join(gone, "_h", "left")
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
+    return rows.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+
+
 def op4_lines(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return cleaned(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))

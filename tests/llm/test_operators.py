@@ -134,6 +134,35 @@ def test_lines_equal_brute_force(spark, empty):
     assert lines.cleaned(empty).count() == 0
 
 
+def test_lines_go_whatever_their_share(spark, empty):
+    r = random.Random(6)
+    passage, own = prose(60, r), [prose(40, r) for _ in range(7)]
+    texts = [f"{o}\n{passage}" for o in own]
+    body = [prose(30, r) for _ in range(4)]
+    copies = ["\n".join([*body, f"{w} {prose(9, r)}"]) for w in VOCABULARY[:6]]
+    texts += [texts[3], *copies, *[prose(20, r) + "\n" + prose(20, r)] * 7, None, "", "\n\n"]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    out = lines.deduplicated(df)
+    assert out.columns == df.columns
+    got = {x.doc_id: x.text for x in out.collect()}
+    # The first text keeps the passage; the others keep only their own words, an exact copy as what it copies.
+    assert got[0] == texts[0] and [got[i] for i in range(1, 7)] == own[1:] and got[7] == own[3]
+    # Near copies: the first stays whole, of the others the line of their own; exact copies alone don't recur.
+    assert got[8] == copies[0] and [got[i] for i in range(9, 14)] == [c.split("\n")[4] for c in copies[1:]]
+    assert all(got[i] == texts[i] for i in range(14, len(texts)))
+    assert lines.deduplicated(empty).count() == 0
+
+
+def test_pipeline_drops_lines_whatever_their_share(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    passage = prose(60, r)
+    df = spark.createDataFrame([(i, f"{prose(40, r)}\n{passage}", 1) for i in range(7)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.line_stage(spark, df, "").collect()
+    assert sum(passage in x.text for x in got) == 1 and all(x.n_chars == len(x.text) for x in got)
+
+
 def test_secrets_equal_brute_force(docs, spark, empty):
     body = "0123456789abcdefghijABCDEFGHIJ"
     token = "ghp_" + body + secrets.checksum(body)
