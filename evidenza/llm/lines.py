@@ -7,6 +7,8 @@ differs between them is a field of the leaf's template. Templates that recur acr
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +32,31 @@ def document_key(text: str, key: str) -> dict:
     return {"_a": F.xxhash64(F.col(key), F.col(text)), "_b": F.hash(F.col(text), F.col(key))}
 
 
-def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row a line that isn't blank: document, place, template, leaf, tokens, segments and characters."""
+def tokenised(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row a line that isn't blank: document, key, hash of the text, place, line, masked line and its tokens."""
     rows = docs.select(text_or_empty(text).alias("_text"), F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), *[c.alias(n) for n, c in document_key(text, key).items()])
     lines = rows.select("_a", "_b", "_key", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
     # Blank lines go by what is read, not by _m, which would be made twice: for the filter and for what follows.
     said = lines.filter(F.btrim("_line", F.lit(SPACE)) != "")
     masked = said.withColumn("_m", F.regexp_replace(F.btrim("_line", F.lit(SPACE)), FIELD, "<*>"))
-    tokens = masked.withColumn("_t", F.split("_m", r"[\x20\x09-\x0D]+"))
+    return masked.withColumn("_t", F.split("_m", r"[\x20\x09-\x0D]+"))
+
+
+def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row a line that isn't blank: document, place, template, leaf, tokens, segments and characters."""
+    tokens = tokenised(docs, text, key)
     n = F.size("_t")
     step = F.greatest(F.ceil((n - DEPTH) / SEGMENTS).cast("int"), F.lit(1))
     segments = [F.xxhash64(F.slice("_t", F.lit(DEPTH + 1) + i * step, step)).alias(f"_s{i}") for i in range(SEGMENTS)]
     return tokens.select(
-        "_a", "_b", "_key", "_h", "_at", F.length("_line").alias("_chars"), F.xxhash64("_m").alias("_template"),
+        "_a", "_b", "_at", F.length("_line").alias("_chars"), F.xxhash64("_m").alias("_template"),
         F.xxhash64(n, F.slice("_t", 1, DEPTH)).alias("_leaf"), n.alias("_n"), *segments,
     )
 
 
-def recurring(lines: DataFrame, documents: int, fixed: float, of: tuple = ("_a", "_b")) -> tuple[DataFrame, DataFrame]:
-    """Templates, and leaves with generalised templates, that recur in at least so many documents, told apart by `of`."""
-    count = F.countDistinct(*of).alias("_docs")
+def recurring(lines: DataFrame, documents: int, fixed: float) -> tuple[DataFrame, DataFrame]:
+    """Templates, and leaves with generalised templates, that recur in at least so many documents."""
+    count = F.countDistinct("_a", "_b").alias("_docs")
     templates = lines.groupBy("_template").agg(count).filter(F.col("_docs") >= documents).select("_template")
     ends = [f(f"_s{i}").alias(f"_{f.__name__}{i}") for i in range(SEGMENTS) for f in (F.min, F.max)]
     leaves = lines.groupBy("_leaf").agg(count, F.max("_n").alias("_n"), F.min("_template").alias("_t0"), F.max("_template").alias("_t1"), *ends)
@@ -71,7 +78,7 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents:
     `copy` recurs keeps all its lines. Null text stays null with 0 lines. Columns n_lines and n_dropped of docs are
     replaced. No rows: none.
     """
-    lines = written(parsed(docs, text, key).drop("_key", "_h"), "lines")
+    lines = written(parsed(docs, text, key), "lines")
     templates, leaves = recurring(lines, documents, fixed)
     by_template = lines.join(written(templates, "line-templates"), "_template").select("_a", "_b", "_at", "_chars")
     by_leaf = lines.join(written(leaves, "line-leaves"), "_leaf").select("_a", "_b", "_at", "_chars")
@@ -92,20 +99,71 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents:
     )
 
 
+def segmented(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row a line that isn't blank: key, text's hash, place, template, leaf, tokens; segments, their widths and words.
+
+    Words are tokens that aren't fields. A line with more fields than tokens with a letter, such as a row of a table of
+    numbers, is its own template, digits and all, and has no leaf.
+    """
+    tokens = tokenised(docs, text, key)
+    n = F.size("_t")
+    step = F.greatest(F.ceil((n - DEPTH) / SEGMENTS).cast("int"), F.lit(1))
+    words = lambda part: F.size(F.array_remove(part, "<*>"))
+    said = F.regexp_count("_m", F.lit(r"\p{L}[^\x20\x09-\x0D]*+")) >= n - words(F.col("_t"))
+    rows = tokens.withColumn("_said", ~F.contains("_m", F.lit("<*>")) | said)
+    parts = [F.slice("_t", F.lit(DEPTH + 1) + i * step, step) for i in range(SEGMENTS)]
+    return rows.select(
+        "_key", "_h", "_at", F.when(F.col("_said"), F.xxhash64("_m")).otherwise(F.xxhash64(F.btrim("_line", F.lit(SPACE)), F.lit(1))).alias("_template"),
+        F.when(F.col("_said"), F.xxhash64(n, F.slice("_t", 1, DEPTH))).alias("_leaf"), n.alias("_n"), words(F.slice("_t", 1, DEPTH)).alias("_w"),
+        *[c for i, p in enumerate(parts) for c in (F.xxhash64(p).alias(f"_s{i}"), F.size(p).alias(f"_n{i}"), words(p).alias(f"_w{i}"))],
+    )
+
+
+def generalised(lines: DataFrame, documents: int, fixed: float) -> DataFrame:
+    """A row a line and generalised template (_by): its leaf and the least sets of segments that fix enough of its tokens.
+
+    Enough is the share `fixed`, with a word after the leading tokens, and at least as many words as fields. Lines that
+    agree in such a set share the template, whatever else their leaf holds.
+    """
+    several = (F.countDistinct("_h") >= documents) & (F.min("_template") != F.max("_template"))
+    leaves = lines.filter("_leaf IS NOT NULL").groupBy("_leaf").agg(several.alias("_several")).filter("_several").select("_leaf")
+    total = lambda name, part: sum((F.col(f"{name}{i}") for i in part), F.lit(0))
+
+    def enough(part):
+        same, words = F.lit(DEPTH) + total("_n", part), total("_w", part)
+        full = F.least(*[F.col(f"_n{i}") for i in part]) > 0 if len(part) > 1 else F.col(f"_n{part[0]}") > 0
+        return full & (same >= fixed * F.col("_n")) & (words >= 1) & (2 * (F.col("_w") + words) >= same)
+
+    found = []
+    for size in range(1, SEGMENTS):
+        for part in combinations(range(SEGMENTS), size):
+            least = enough(part)
+            for fewer in combinations(part, size - 1) if size > 1 else ():
+                least = least & ~enough(fewer)
+            found.append(F.when(least, F.xxhash64("_leaf", F.lit(str(part)), *[f"_s{i}" for i in part])))
+    rows = lines.join(leaves, "_leaf")
+    return rows.select("_template", "_key", "_h", "_at", F.explode(F.array_compact(F.array(*found))).alias("_by"))
+
+
+def repeats(rows: DataFrame, documents: int, several: bool) -> DataFrame:
+    """The places (_h, _at) of rows whose template _by stands in so many texts, without those in its first text."""
+    groups = rows.groupBy("_by").agg(F.countDistinct("_h").alias("_docs"), F.min(F.struct("_key", "_h")).alias("_first"), F.min("_template").alias("_t0"), F.max("_template").alias("_t1"))
+    groups = groups.filter((F.col("_docs") >= documents) & ((F.col("_t0") != F.col("_t1")) | F.lit(not several)))
+    firsts = written(groups.select("_by", F.col("_first._h").alias("_own")), "line-firsts")
+    return rows.join(firsts, "_by").filter(F.col("_h") != F.col("_own")).select("_h", "_at")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = DOCUMENTS, fixed: float = FIXED) -> DataFrame:
     """docs with text less its recurring lines, whatever share of a document they make up; no other column changes.
 
-    Templates recur as in `cleaned`, but in `documents` different texts: exact copies count once. Of what recurs one
-    occurrence stays, in the text of the smallest key (and in exact copies of that text), so copies never vanish.
+    Lines recur if their template, or a generalised one, stands in `documents` different texts: exact copies count once.
+    Of what recurs one occurrence stays, in the text of the smallest key (and in exact copies of that text), so copies
+    never vanish.
     """
-    lines = written(parsed(docs, text, key).drop("_a", "_b", "_chars"), "lines")
-    templates, leaves = recurring(lines, documents, fixed, ("_h",))
-    drops = []
-    for by, groups in (("_template", templates), ("_leaf", leaves)):
-        found = written(lines.join(groups, by).select(F.col(by).alias("_by"), "_key", "_h", "_at"), "line-found")
-        first = found.groupBy("_by").agg(F.min(F.struct("_key", "_h")).alias("_first"))
-        drops.append(found.join(written(first, "line-firsts"), "_by").filter(F.col("_h") != F.col("_first._h")).select("_h", "_at"))
-    gone = written(drops[0].unionByName(drops[1]).groupBy("_h").agg(F.collect_set("_at").alias("_drop")), "line-drops")
+    lines = written(segmented(docs, text, key), "lines")
+    exact = repeats(lines.withColumn("_by", F.col("_template")), documents, several=False)
+    general = repeats(written(generalised(lines, documents, fixed), "line-sets"), documents, several=True)
+    gone = written(exact.unionByName(general).groupBy("_h").agg(F.collect_set("_at").alias("_drop")), "line-drops")
     rows = docs.withColumn("_h", F.xxhash64(text)).join(gone, "_h", "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
     return rows.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -153,6 +153,24 @@ def test_lines_go_whatever_their_share(spark, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def test_line_templates_within_a_leaf(spark):
+    r = random.Random(9)
+    lines_ = [[f"Visit our web site for {VOCABULARY[i]} news and much more every single day of the year"] for i in range(8)]
+    outlier = "Visit our web page " + prose(12, r)
+    lines_ += [[outlier], ["see also the " + VOCABULARY[50]], *[["see also the " + VOCABULARY[60 + i], f"{i} {i * 7} {i + 3} 2{i}"] for i in range(8)]]
+    lines_ += [[f"Total {i} {i * 3} 9{i}", f"| {i} | 4{i} |", f"Page {i} of 99"] for i in range(8)]
+    lines_ += [["1 2 3 4"] for _ in range(8)]
+    texts = ["\n".join([*x, prose(40, r)]) for x in lines_]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text.split("\n") for x in lines.deduplicated(df).collect()}
+    # A template with a variable word goes although its leaf holds another line; the other line stays.
+    assert sum("Visit our web site" in t for x in got.values() for t in x) == 1 and outlier in got[8]
+    # Leading words alone are no template, and rows of numbers recur only if they are the same.
+    assert all(got[i] == texts[i].split("\n") for i in range(9, 18))
+    assert [len(got[i]) for i in range(18, 26)] == [4] + [3] * 7
+    assert sum("1 2 3 4" in x for x in got.values()) == 1
+
+
 def test_pipeline_drops_lines_whatever_their_share(spark):
     import corpus_pipeline
 
