@@ -33,7 +33,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 120).alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+def cut_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions as TERMS has them: their first 120 characters."""
+    return questions(spark, sf_dir).withColumn("question", F.substring("question", 1, 120))
 
 
 BLANKS = "[ \\t\\x{00a0}\\x{3000}]+"
@@ -85,7 +90,7 @@ s AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 50""")
 def lexical_topk(spark, sf_dir):
-    return retrieval.lexical_search(questions(spark, sf_dir), chunks(spark, sf_dir))
+    return retrieval.lexical_search(cut_questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def vectors(spark, sf_dir):
@@ -130,7 +135,7 @@ ls AS (
 SELECT question_id, chunk_id, semantic_rank, lexical_rank, round(score, 9) AS score, rank FROM o WHERE rank <= 20""")
 def rank_fusion(spark, sf_dir):
     semantic = retrieval.vector_search(asked_vectors(spark, sf_dir), vectors(spark, sf_dir))
-    lexical = retrieval.lexical_search(questions(spark, sf_dir), chunks(spark, sf_dir))
+    lexical = retrieval.lexical_search(cut_questions(spark, sf_dir), chunks(spark, sf_dir))
     return retrieval.fused(semantic, lexical, 20).withColumn("score", F.round("score", 9))
 
 
