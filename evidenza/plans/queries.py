@@ -141,7 +141,7 @@ def rank_fusion(spark, sf_dir):
 
 @query()
 def hybrid_topk(spark, sf_dir):
-    own = chunks(spark, sf_dir).join(vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
+    own = chunks(spark, sf_dir)
     held = vectors(spark, sf_dir).join(own.select("chunk_id"), "chunk_id", "left_semi")
     q = questions(spark, sf_dir).join(asked_vectors(spark, sf_dir), "question_id")
     return retrieval.hybrid_search(q, own, held, 10)
