@@ -37,12 +37,9 @@ def scaled(vectors: DataFrame, key: str, vector: str, factor: float) -> DataFram
 
 
 def rotation(rows: DataFrame, sample: int = SAMPLE) -> list[list[float]]:
-    """Right singular vectors of at most `sample` vectors: the directions that hold most of their lengths first."""
+    """Right singular vectors of at most `sample` vectors of one width: the directions that hold most of their lengths first."""
     part = [r["_v"] for r in rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").collect()]
-    width = max((len(v) for v in part), default=0)
-    if not width:
-        return []
-    return np.linalg.svd(np.array([v for v in part if len(v) == width]), full_matrices=True)[2].tolist()
+    return np.linalg.svd(np.array(part), full_matrices=True)[2].tolist() if part else []
 
 
 def best(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, found: np.ndarray, found_ids: np.ndarray, turn: np.ndarray, k: int):
@@ -67,17 +64,18 @@ def best(queries: np.ndarray, ids: np.ndarray, floor: np.ndarray, found: np.ndar
 def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, factor: float = 256.0, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best of all other rows of each query, ties to the smaller id.
 
-    Takes part: rows with an id and a vector of finite numbers of the width that most of a sample has; others, nulls and
-    empty vectors give no rows. Rows that repeat an id are one candidate each, but never for a query of that id. Fewer
+    Takes part: rows with an id and a vector of finite numbers; nulls and empty vectors give no rows. Vectors of
+    different widths multiply over the components that both have, as zeros would fill the shorter one. Rows that repeat an id are one candidate each, but never for a query of that id. Fewer
     than k others: all of them. Exact while products stay below 2^53.
     """
     spark = vectors.sparkSession
-    rows = scaled(vectors, key, vector, factor)
-    turn = np.array(rotation(rows))
+    rows = scaled(vectors, key, vector, factor).filter(F.size("_v") > 0)
     out = "query_id long, rank int, vec_id long, score long"
-    if not turn.size:
+    width = rows.agg(F.max(F.size("_v"))).first()[0]
+    if not width:
         return spark.createDataFrame([], out)
-    rows = written(rows.filter(F.size("_v") == turn.shape[0]), "topk-rows")
+    rows = written(rows.withColumn("_v", F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_v")))), "topk-rows")
+    turn = np.array(rotation(rows))
     total = rows.count()
     edges = rows.approxQuantile("_n", [i * block / total for i in range(1, -(-total // block))], 0.001) if total > block else []
     # The edges only cut blocks: any edges give the same result. They number total / block.

@@ -329,6 +329,18 @@ def test_search_equals_brute_force(spark):
     assert search.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_search_of_mixed_widths_equals_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5 if i % 2 else 12).astype(np.float32).tolist()) for i in range(150)]
+    df = spark.createDataFrame([*rows, (150, None)], "vec_id long, embedding array<float>")
+    embeddings = df.toArrow()  # noqa: F841 (the SQL reads it)
+    want = duckdb.sql(search.OP9_SQL).fetchall()
+    got = [tuple(r) for r in search.top_k(df, lambda i: i % 50 == 0, block=40).select("query_id", "rank", "vec_id", "score").collect()]
+    assert len(want) == 15 and sorted(got) == sorted(want)
+
+
 def test_media_round_trip(docs, empty, tmp_path):
     import tarfile
 
