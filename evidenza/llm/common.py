@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Where checkpoints go if the cluster names no folder (tests on one machine).
@@ -37,6 +36,38 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this library's own written tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Steps:
+    """The written tables of one run of an operator, in a folder of their own: they go when the result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.folder, self.n = spark, name, new_folder(spark, name), 0
+
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """The rows of df, written as Parquet in the shared folder and read again: lineage ends here."""
+        self.n += 1
+        folder = f"{self.folder}/{self.n}-{name}"
+        df.write.option("compression", compression).parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes written tables that no later step reads; each must have been returned by `written`."""
+        for table in tables:
+            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+                removed(self.spark, folder)
+
+    def result(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        """df, written outside the folder of the steps, which is removed; the caller owns the one table left."""
+        out = written(df, self.name, compression)
+        removed(self.spark, self.folder)
+        return out
+
+
 def released(spark: SparkSession) -> None:
     """Lets the cleaner delete the shuffle files of steps whose rows are written, which else wait for the driver's garbage."""
     gc.collect()
@@ -67,7 +98,3 @@ def with_rank(rows: DataFrame, keys: list[str], order: list[str], out: str, cell
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

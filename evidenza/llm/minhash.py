@@ -4,8 +4,9 @@ A document is a weighted set: its five-word shingles, each weighing as often as
 that darts hit as a Poisson process over ranks, the same in every document that holds it. Only darts below a rank that
 falls with the document's weight are thrown, a few hundred whatever its length; each falls into one of the signature's
 coordinates, and the earliest dart of each coordinate is kept. Two documents agree in a coordinate with the chance of
-their weighted Jaccard similarity. Bands of coordinates give buckets; buckets that overlap give clusters, and inside
-clusters every pair is compared on whole shingle sets, tile by tile, so that no link is lost and no task holds a cluster.
+their weighted Jaccard similarity. Bands of coordinates give buckets. Each document is compared, on whole shingle sets,
+with the first of its buckets, and what that joins is contracted; buckets that are of one component by then are done, of
+the others the rest goes on, at last block by block, so that no link is lost and alike rows cost a pair for each bucket.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import Steps, read, text_or_empty, written
 from .graphs import components
 from .hashing import U, counted, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a bucket with a chance of 1 - (1 - 0.8^5)^25 = 0.99995.
 BANDS, ROWS = 25, 5
-#: Documents of a cluster on each side of a tile.
+#: Documents of a bucket on each side of a tile.
 TILE = 128
 
 
@@ -92,81 +93,134 @@ def signed(docs: DataFrame, text: str, key: str, width: int, bands: int, rows: i
     return rows_.mapInPandas(sign, f"_sha string, _bands array<long>, _set array<int>, _id long, _key {kind}")
 
 
-def linked(tile: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows whose sets are at least `threshold` alike."""
-    sets = tile["_set"].to_numpy()
+def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of `left` and `right` are at least `threshold` alike."""
+    sets = [*left, *right]
     size = np.array([len(s) for s in sets])
     value = np.unique(np.concatenate(sets), return_inverse=True)[1]
     row = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(value, kind="stable")
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    value, row, n = value[order], row[order], len(left)
+    shared = np.zeros((n, len(right)), np.float32)
     # A bounded number of distinct shingles at a time, as very long texts have very many.
-    value, row = value[order], row[order]
     for lo in range(0, int(value[-1]) + 1, 8192):
         a, b = np.searchsorted(value, [lo, lo + 8192])
         part = np.zeros((len(sets), 8192), np.float32)
         part[row[a:b], value[a:b] - lo] = 1
-        shared += part @ part.T
-    alike = shared >= (threshold - 1e-9) * (size[:, None] + size[None, :] - shared)
-    return np.nonzero(np.triu(alike, 1))
+        shared += part[:n] @ part[n:].T
+    return shared >= (threshold - 1e-9) * (size[:n, None] + size[None, n:] - shared)
 
 
-def forest(n: int, pairs: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> list[tuple[int, int]]:
-    """Links from each row to the first of its component: what the pairs join, without their number."""
-    root = list(range(n))
+def forest(links: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links from each label to the smallest of its component: what the links join, without their number."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for a, b in zip(*pairs, strict=True):
+    for a, b in links:
         a, b = find(a), find(b)
         if a != b:
             root[max(a, b)] = min(a, b)
-    return [(names[x], names[find(x)]) for x in range(n) if find(x) != x]
+    return [(x, find(x)) for x in list(root) if find(x) != x]
+
+
+def to_leads(shared: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b of the rows of shared (_id, _size, _bucket, _lead, _lead_size) that are `threshold` alike to a bucket's lead."""
+    near = F.least("_size", "_lead_size") >= (threshold - 1e-9) * F.greatest("_size", "_lead_size")
+    pairs = shared.filter(near & (F.col("_id") != F.col("_lead"))).select(F.col("_id").alias("a"), F.col("_lead").alias("b")).distinct()
+    sets = lambda end: held.select(F.col("_id").alias(end), F.col("_set").alias(f"_{end}"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b")
+    same = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(same >= (threshold - 1e-9) * (F.size("_a") + F.size("_b") - same)).select("a", "b")
+
+
+def with_leads(rows: DataFrame) -> DataFrame:
+    """rows (_id, _size, _bucket) of buckets with more than one row, with the bucket's smallest id and its size."""
+    leads = rows.groupBy("_bucket").agg(F.min(F.struct("_id", "_size")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(leads.select("_bucket", F.col("_first._id").alias("_lead"), F.col("_first._size").alias("_lead_size")), "_bucket")
+
+
+def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (_id, _size, _bucket, _label) besides the leads of buckets whose other rows are of several components.
+
+    Leads have been compared with all of their bucket. Of buckets with the same rows one is enough.
+    """
+    rest = shared.filter("_id <> _lead").join(labels.toDF("_id", "_label"), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    mixed = rest.groupBy("_bucket").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.sum(F.hash("_id").cast("long")).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    one = mixed.filter("_a <> _b").groupBy("_x", "_y", "_n").agg(F.min("_bucket").alias("_bucket"))
+    return rest.join(one.select("_bucket"), "_bucket").select("_id", "_size", "_bucket", "_label")
+
+
+def in_tiles(rest: DataFrame, held: DataFrame, threshold: float, tile: int, steps: Steps) -> DataFrame:
+    """Links a, b between the labels of rest (_id, _bucket, _label): every pair in a bucket that no label joins yet.
+
+    Rows of a bucket's largest label are not compared with each other, only with its other rows, block by block; a block
+    gives one link at most for each label, so links stay fewer than labels however large the bucket.
+    """
+    by_label = rest.groupBy("_bucket", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = steps.written(by_label.groupBy("_bucket").agg(F.max(F.struct("_n", "_label")).alias("_most"), F.sum("_n").alias("_n")), "tiles")
+    parts = lambda n: F.ceil(n / tile).cast("int")
+    cut = sizes.select("_bucket", F.col("_most._label").alias("_major"), parts(F.col("_n") - F.col("_most._n")).alias("_few"), parts(F.col("_n")).alias("_all"))
+    rows = rest.select("_id", "_bucket", "_label").join(cut, "_bucket").withColumn("_hash", F.xxhash64("_id"))
+    deal = lambda n: F.pmod("_hash", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.filter("_label <> _major").withColumns({"_x": deal("_few"), "_side": F.lit(0)}).withColumn("_y", every("_all"))
+    all_ = rows.withColumns({"_y": deal("_all"), "_side": F.lit(1)}).withColumn("_x", every("_few"))
+    names = ["_id", "_bucket", "_label", "_x", "_y", "_side"]
+    tiles = few.select(*names).unionByName(all_.select(*names)).join(held.select("_id", "_set"), "_id")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = (part[part["_side"] == side] for side in (0, 1))
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        mine, other = left["_label"].to_numpy(), right["_label"].to_numpy()
+        alike = linked(list(left["_set"]), list(right["_set"]), threshold) & (mine[:, None] != other[None, :])
+        x, y = np.nonzero(alike)
+        return pd.DataFrame(forest(set(zip(mine[x].tolist(), other[y].tolist(), strict=True))), columns=["a", "b"])
+
+    return tiles.groupBy("_bucket", "_x", "_y").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """For every row: key, class_id (the smallest key of its class), class_size, is_kept, _sha and _copies.
+    """For every row: key, class_id (the smallest key of its class), class_size, is_kept and _sha.
 
     Rows are of one class if a chain of links joins them: equal texts, or at least `threshold` alike in shingles. Null
     text counts as empty; texts without words are alike only if equal. is_kept marks one row of each class, the one of
-    the smallest key; rows that repeat a key and text are told apart. _sha is of the text; _copies counts equal rows.
+    the smallest key; rows that repeat a key and text are told apart. _sha is of the text. Shingles are compared by 32
+    bits of their hashes, so sets of m and n shingles share one by chance m * n / 2^32 times.
     A null key counts as larger than others; a class of null keys only has a null class_id. No rows: none.
     """
-    all_rows = written(signed(docs, text, key, width, bands, rows), "minhash-rows")
-    heads = written(all_rows.groupBy("_sha").agg(F.min("_id").alias("_head")), "minhash-heads")
+    steps = Steps(docs.sparkSession, "minhash")
+    all_rows = steps.written(signed(docs, text, key, width, bands, rows), "rows")
+    heads = steps.written(all_rows.groupBy("_sha").agg(F.min("_id").alias("_head")), "heads")
     # One row of each text goes on; its copies follow it in the end.
     ones = all_rows.join(heads.select(F.col("_head").alias("_id")), "_id", "left_semi")
-    buckets = written(ones.select("_id", F.explode("_bands").alias("_bucket")), "minhash-buckets")
-    leads = written(buckets.groupBy("_bucket").agg(F.min("_id").alias("_lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "minhash-leads")
-    near = buckets.join(leads, "_bucket").filter("_id <> _lead").select(F.col("_id").alias("a"), F.col("_lead").alias("b")).distinct()
-    clusters = components(near).select(F.col("node").alias("_id"), F.col("label").alias("_cluster"))
-    members = written(clusters.withColumn("_block", F.lit(0)), "minhash-members")
-    sizes = members.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"))
-    placed = members.join(written(sizes, "minhash-sizes"), "_cluster").withColumn("_blocks", F.ceil(F.col("_n") / tile).cast("int"))
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    sets = all_rows.select("_id", "_set").join(placed.select("_id", "_cluster", "_block", "_blocks"), "_id")
-    tiles = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "_cluster", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_id", "_set"
-    )
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_id")
-        names = part["_id"].to_numpy()
-        return pd.DataFrame(forest(len(part), linked(part, threshold), names), columns=["a", "b"])
-
-    links = written(tiles.groupBy("_cluster", "_x", "_y").applyInPandas(compare, "a long, b long"), "minhash-links")
-    groups = components(links)
+    buckets = steps.written(ones.select("_id", F.size("_set").alias("_size"), F.explode("_bands").alias("_bucket")), "buckets")
+    shared = steps.written(with_leads(buckets), "shared")
+    steps.drop(buckets)
+    held = steps.written(all_rows.select("_id", "_set").join(shared.select("_id").distinct(), "_id", "left_semi"), "sets")
+    # Each row against the first of its buckets; then, of buckets that this leaves in several components, against the next.
+    links = steps.written(to_leads(shared, held, threshold), "links")
+    groups = components(links, steps)
+    open_ = steps.written(still_open(shared, groups), "open")
+    if not open_.isEmpty():
+        second = steps.written(with_leads(open_.drop("_label")), "second")
+        links = links.unionByName(steps.written(to_leads(second, held, threshold), "links"))
+        open_ = steps.written(still_open(second, components(links, steps)), "open")
+        # What is left is compared in full.
+        links = links.unionByName(steps.written(in_tiles(open_, held, threshold, tile, steps), "links"))
+        groups = components(links, steps)
     classes = heads.join(groups.withColumnRenamed("node", "_head"), "_head", "left").select("_sha", F.coalesce("label", "_head").alias("_class"))
-    whole = written(all_rows.select("_id", "_key", "_sha").join(written(classes, "minhash-classes"), "_sha"), "minhash-whole")
+    whole = steps.written(all_rows.select("_id", "_key", "_sha").join(classes, "_sha"), "whole")
     first = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_sha").alias("s"), F.col("_id").alias("i"))
-    best = written(whole.groupBy("_class").agg(F.min(first).alias("_best"), F.count(F.lit(1)).alias("class_size")), "minhash-best")
-    return whole.join(best, "_class").select(
+    best = whole.groupBy("_class").agg(F.min(first).alias("_best"), F.count(F.lit(1)).alias("class_size"))
+    return steps.result(whole.join(best, "_class").select(
         F.col("_key").alias(key), F.col("_best.k").alias("class_id"), "class_size", (F.col("_id") == F.col("_best.i")).alias("is_kept"), "_sha"
-    )
+    ))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

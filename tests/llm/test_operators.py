@@ -298,6 +298,43 @@ def test_minhash_classes_equal_brute_force(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_finds_pairs_at_the_threshold(spark):
+    """Random pairs from 0.75 to 0.9: those at 0.8 or more are found, the others never joined."""
+    r = random.Random(13)
+    rows, alike = [], {}
+    for i in range(400):
+        words = [f"{r.choice(VOCABULARY)}{i}" for _ in range(r.randint(80, 300))]
+        other = list(words)
+        for at in r.sample(range(len(words)), max(1, int(len(words) * r.uniform(0.01, 0.036)))):
+            other[at] = f"new{at}"
+        a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (words, other))
+        alike[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()}
+    near = [i for i, s in alike.items() if s >= 0.8]
+    assert len(near) > 150 and len(alike) - len(near) > 100
+    assert sum(got[2 * i + 1] == 2 * i for i in near) >= 0.99 * len(near)
+    assert all(got[2 * i + 1] == 2 * i + 1 for i, s in alike.items() if s < 0.8)
+
+
+def test_minhash_links_of_one_group_grow_as_the_group(spark, monkeypatch):
+    """A group of alike rows, larger than a tile: rows written as links stay below one for each row and bucket shared."""
+    made = []
+    real = minhash.Steps.written
+    monkeypatch.setattr(minhash.Steps, "written", lambda self, df, name, *a: made.append((name, out := real(self, df, name, *a))) or out)
+    base = prose(120, random.Random(3)).split()
+    for n in (150, 300):
+        made.clear()
+        texts = [" ".join([*base[:i % 115], f"w{i}", *base[i % 115 + 1 :]]) for i in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        monkeypatch.setattr(minhash.Steps, "drop", lambda self, *tables: None)
+        monkeypatch.setattr(minhash.Steps, "result", lambda self, df, *a: df)
+        assert {x.class_id for x in minhash.near_duplicates(df, tile=16).collect()} == {0}
+        links = [out.count() for name, out in made if name == "links"]
+        assert sum(links) <= 2 * (minhash.BANDS + 2) * n
+
+
 def test_darts_estimate_similarity():
     a = np.arange(1, 401, dtype=np.uint64)
     b = np.arange(41, 441, dtype=np.uint64)
