@@ -1,8 +1,8 @@
 """Line dedup by a log-template tree. DataFrame functions only.
 
 The tree has a fixed depth: a line goes down by its number of tokens, then by its leading tokens. Tokens that hold a
-digit are fields, whatever they say. A leaf's lines are cut into segments after the leading tokens; a segment that
-differs between them is a field of the leaf's template. Templates that recur across documents are dropped.
+digit are fields, whatever they say. What follows the leading tokens is cut into segments; lines of a leaf that agree in
+enough of them share a template in which the others are fields too. Templates that recur across documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,93 +12,36 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import Steps, read, removed, text_or_empty, written
 
 #: Leading tokens of the tree, and segments of what follows them.
 DEPTH, SEGMENTS = 3, 4
-#: Documents in which a template recurs if it is to be dropped.
+#: Different texts in which a template recurs if it is to be dropped.
 DOCUMENTS = 5
 #: Share of a template's tokens that are the same in all its lines.
 FIXED = 0.6
-#: Documents of which more than this share of characters recurs are copies: whole-document dedup decides on those.
-COPY = 0.5
 # One place to start in each token, so a long token is read once.
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 SPACE = " \t\r\x0b\x0c"
 
 
-def document_key(text: str, key: str) -> dict:
-    """Two hashes of key and text, so that equal rows are one document."""
-    return {"_a": F.xxhash64(F.col(key), F.col(text)), "_b": F.hash(F.col(text), F.col(key))}
+def text_hash(text: str):
+    """60 bits of the text's MD5: equal texts are one document here."""
+    return F.conv(F.substring(F.md5(text_or_empty(text).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def tokenised(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row a line that isn't blank: document, key, hash of the text, place, line, masked line and its tokens."""
-    rows = docs.select(text_or_empty(text).alias("_text"), F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), *[c.alias(n) for n, c in document_key(text, key).items()])
-    lines = rows.select("_a", "_b", "_key", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
+    """A row a line that isn't blank: key, hash of the text, place, line, masked line and its tokens."""
+    rows = docs.select(text_or_empty(text).alias("_text"), F.col(key).alias("_key"), text_hash(text).alias("_h"))
+    lines = rows.select("_key", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line"))
     # Blank lines go by what is read, not by _m, which would be made twice: for the filter and for what follows.
     said = lines.filter(F.btrim("_line", F.lit(SPACE)) != "")
-    masked = said.withColumn("_m", F.regexp_replace(F.btrim("_line", F.lit(SPACE)), FIELD, "<*>"))
+    bare = F.btrim("_line", F.lit(SPACE))
+    # Few lines hold a digit, and looking for one costs little beside masking.
+    masked = said.withColumn("_m", F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace(bare, FIELD, "<*>")).otherwise(bare))
     return masked.withColumn("_t", F.split("_m", r"[\x20\x09-\x0D]+"))
 
 
-def parsed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row a line that isn't blank: document, place, template, leaf, tokens, segments and characters."""
-    tokens = tokenised(docs, text, key)
-    n = F.size("_t")
-    step = F.greatest(F.ceil((n - DEPTH) / SEGMENTS).cast("int"), F.lit(1))
-    segments = [F.xxhash64(F.slice("_t", F.lit(DEPTH + 1) + i * step, step)).alias(f"_s{i}") for i in range(SEGMENTS)]
-    return tokens.select(
-        "_a", "_b", "_at", F.length("_line").alias("_chars"), F.xxhash64("_m").alias("_template"),
-        F.xxhash64(n, F.slice("_t", 1, DEPTH)).alias("_leaf"), n.alias("_n"), *segments,
-    )
-
-
-def recurring(lines: DataFrame, documents: int, fixed: float) -> tuple[DataFrame, DataFrame]:
-    """Templates, and leaves with generalised templates, that recur in at least so many documents."""
-    count = F.countDistinct("_a", "_b").alias("_docs")
-    templates = lines.groupBy("_template").agg(count).filter(F.col("_docs") >= documents).select("_template")
-    ends = [f(f"_s{i}").alias(f"_{f.__name__}{i}") for i in range(SEGMENTS) for f in (F.min, F.max)]
-    leaves = lines.groupBy("_leaf").agg(count, F.max("_n").alias("_n"), F.min("_template").alias("_t0"), F.max("_template").alias("_t1"), *ends)
-    rest = F.col("_n") - DEPTH
-    step = F.greatest(F.ceil(rest / SEGMENTS).cast("int"), F.lit(1))
-    same = F.least(F.col("_n"), F.lit(DEPTH))
-    for i in range(SEGMENTS):
-        width = F.greatest(F.least(step, rest - i * step), F.lit(0))
-        same = same + F.when(F.col(f"_min{i}") == F.col(f"_max{i}"), width).otherwise(0)
-    general = (F.col("_docs") >= documents) & (F.col("_t0") != F.col("_t1")) & (same >= fixed * F.col("_n"))
-    return templates, leaves.filter(general).select("_leaf")
-
-
-def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = DOCUMENTS, fixed: float = FIXED, copy: float = COPY) -> DataFrame:
-    """docs with the recurring lines taken out of text, and n_lines and n_dropped (long).
-
-    Lines end at a newline; blank lines stay and never recur. A line recurs if its template, digits aside, or its leaf's
-    template stands in at least `documents` documents, equal rows counting once. A document of which more than the share
-    `copy` recurs keeps all its lines. Null text stays null with 0 lines. Columns n_lines and n_dropped of docs are
-    replaced. No rows: none.
-    """
-    lines = written(parsed(docs, text, key), "lines")
-    templates, leaves = recurring(lines, documents, fixed)
-    by_template = lines.join(written(templates, "line-templates"), "_template").select("_a", "_b", "_at", "_chars")
-    by_leaf = lines.join(written(leaves, "line-leaves"), "_leaf").select("_a", "_b", "_at", "_chars")
-    # Equal rows and lines found twice: one place each.
-    found = by_template.unionByName(by_leaf).groupBy("_a", "_b", "_at").agg(F.max("_chars").alias("_chars"))
-    drops = written(found.groupBy("_a", "_b").agg(F.collect_list("_at").alias("_drop"), F.sum("_chars").alias("_chars")), "line-drops")
-    rows = docs.drop("n_lines", "n_dropped").withColumns(document_key(text, key)).join(drops, ["_a", "_b"], "left")
-    parts = F.split(F.col(text), "\n", -1)
-    length = F.length(F.regexp_replace(F.col(text), "\n", ""))
-    out = rows.withColumn("_drop", F.when(F.col("_chars") <= copy * length, F.col("_drop")))
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("_drop", i))
-    return (
-        out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long"))
-        .withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-        .drop("_a", "_b", "_drop", "_chars")
-    )
-
-
 def segmented(docs: DataFrame, text: str, key: str) -> DataFrame:
     """A row a line that isn't blank: key, text's hash, place, template, leaf, tokens; segments, their widths and words.
 
@@ -145,75 +88,116 @@ def generalised(lines: DataFrame, documents: int, fixed: float) -> DataFrame:
     return rows.select("_template", "_key", "_h", "_at", F.explode(F.array_compact(F.array(*found))).alias("_by"))
 
 
-def repeats(rows: DataFrame, documents: int, several: bool) -> DataFrame:
+def repeats(rows: DataFrame, documents: int, several: bool, steps: Steps) -> DataFrame:
     """The places (_h, _at) of rows whose template _by stands in so many texts, without those in its first text."""
     groups = rows.groupBy("_by").agg(F.countDistinct("_h").alias("_docs"), F.min(F.struct("_key", "_h")).alias("_first"), F.min("_template").alias("_t0"), F.max("_template").alias("_t1"))
     groups = groups.filter((F.col("_docs") >= documents) & ((F.col("_t0") != F.col("_t1")) | F.lit(not several)))
-    firsts = written(groups.select("_by", F.col("_first._h").alias("_own")), "line-firsts")
+    firsts = steps.written(groups.select("_by", F.col("_first._h").alias("_own")), "firsts")
     return rows.join(firsts, "_by").filter(F.col("_h") != F.col("_own")).select("_h", "_at")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = DOCUMENTS, fixed: float = FIXED) -> DataFrame:
-    """docs with text less its recurring lines, whatever share of a document they make up; no other column changes.
+def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", documents: int = DOCUMENTS, fixed: float = FIXED) -> DataFrame:
+    """docs with text less its recurring lines, whatever share of a document they make up, and n_lines and n_dropped (long).
 
-    Lines recur if their template, or a generalised one, stands in `documents` different texts: exact copies count once.
-    Of what recurs one occurrence stays, in the text of the smallest key (and in exact copies of that text), so copies
-    never vanish.
+    Lines end at a newline; blank lines stay and never recur. A line recurs if its template, digits aside, or a
+    generalised one stands in `documents` different texts: exact copies count once. Of what recurs one occurrence stays,
+    in the text of the smallest key (null first; of texts with one key, that of the smaller hash) and in exact copies of
+    it, so copies never vanish. Null text stays null with 0 lines; an empty text is one blank line. Equal rows give equal
+    rows. Columns n_lines and n_dropped of docs are replaced. No rows: none.
     """
-    lines = written(segmented(docs, text, key), "lines")
-    exact = repeats(lines.withColumn("_by", F.col("_template")), documents, several=False)
-    general = repeats(written(generalised(lines, documents, fixed), "line-sets"), documents, several=True)
-    gone = written(exact.unionByName(general).groupBy("_h").agg(F.collect_set("_at").alias("_drop")), "line-drops")
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(gone, "_h", "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
-    return rows.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    steps = Steps(docs.sparkSession, "lines")
+    lines = steps.written(segmented(docs, text, key), "lines")
+    exact = repeats(lines.withColumn("_by", F.col("_template")), documents, False, steps)
+    general = repeats(steps.written(generalised(lines, documents, fixed), "sets"), documents, True, steps)
+    gone = exact.unionByName(general).groupBy("_h").agg(F.collect_set("_at").alias("_drop"))
+    drops = written(gone, "line-drops")
+    removed(docs.sparkSession, steps.folder)
+    # The columns of docs go as one, so that none clashes with those that the join brings.
+    # Drops grow with the input: they are not broadcast where they happen to be small, so all sizes take one plan.
+    rows = docs.select(F.struct("*").alias("_row"), text_hash(text).alias("_h")).join(drops.hint("merge"), "_h", "left")
+    own = F.col("_row").getField
+    parts = F.split(own(text), "\n", -1)
+    left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    return rows.select(
+        *[(F.when(F.col("_drop").isNull(), own(c)).otherwise(left) if c == text else own(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.when(own(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+    )
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs with text as `cleaned` leaves it; no other column changes, whatever its name."""
+    mine = [c for c in ("n_lines", "n_dropped") if c in docs.columns]
+    aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in mine})
+    out = cleaned(aside, text, key, **options)
+    return out.drop("n_lines", "n_dropped").withColumnsRenamed({f"_own_{c}": c for c in mine}).select(*docs.columns)
 
 
 def op4_lines(spark, sf_dir):
+    """doc_id, n_lines, n_dropped and kept_sha256 (of the text left) of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return cleaned(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
-OP4_SQL = """
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-cut AS (SELECT r, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM docs),
-l0 AS (SELECT r, text, unnest(range(len(parts))) AS place, unnest(parts) AS line FROM cut),
-l1 AS (
-  SELECT r, text, place, length(line) AS chars,
-         regexp_replace(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g') AS m
-  FROM l0
+def _sets_sql() -> str:
+    """A row for each set of segments: its places (from 1), and which of the sets with one less it holds."""
+    sets = [c for n in range(1, SEGMENTS) for c in combinations(range(1, SEGMENTS + 1), n)]
+    return ", ".join(f"([{', '.join(map(str, c))}])" for c in sets)
+
+
+OP4_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts,
+         CAST('0x' || md5(coalesce(text, ''))[1:15] AS BIGINT) AS h
+  FROM documents
 ),
-l2 AS (SELECT *, regexp_split_to_array(m, '[\\x20\\x09-\\x0D]+') AS t FROM l1 WHERE m <> ''),
-l3 AS (SELECT *, len(t) AS n, CAST(greatest(ceil((len(t) - 3) / 4.0), 1) AS BIGINT) AS step FROM l2),
+l0 AS (SELECT r, doc_id, h, unnest(range(len(parts))) AS place, unnest(parts) AS line FROM docs),
+l1 AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l0),
+l2 AS (SELECT *, regexp_replace(bare, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l1 WHERE bare <> ''),
+l3 AS (SELECT *, regexp_split_to_array(m, '[\x20\x09-\x0D]+') AS t FROM l2),
 l4 AS (
-  SELECT r, text, place, chars, m, n, step, concat(n, chr(10), array_to_string(t[1:3], chr(10))) AS leaf,
-         array_to_string(t[4:3 + step], chr(10)) AS s0, array_to_string(t[4 + step:3 + 2 * step], chr(10)) AS s1,
-         array_to_string(t[4 + 2 * step:3 + 3 * step], chr(10)) AS s2, array_to_string(t[4 + 3 * step:3 + 4 * step], chr(10)) AS s3
+  SELECT *, len(t) AS n, CAST(greatest(ceil((len(t) - {DEPTH}) / {SEGMENTS}.0), 1) AS BIGINT) AS step,
+         len(list_filter(t, lambda x: x <> '<*>')) AS said,
+         len(regexp_extract_all(m, '\\p{{L}}[^\x20\x09-\x0D]*')) AS letters
   FROM l3
 ),
-templates AS (SELECT m FROM l4 GROUP BY m HAVING count(DISTINCT r) >= 5),
-leaves AS (
-  SELECT leaf FROM l4 GROUP BY leaf
-  HAVING count(DISTINCT r) >= 5 AND min(m) <> max(m) AND
-    least(max(n), 3)
-    + CASE WHEN min(s0) = max(s0) THEN greatest(least(max(step), max(n) - 3), 0) ELSE 0 END
-    + CASE WHEN min(s1) = max(s1) THEN greatest(least(max(step), max(n) - 3 - max(step)), 0) ELSE 0 END
-    + CASE WHEN min(s2) = max(s2) THEN greatest(least(max(step), max(n) - 3 - 2 * max(step)), 0) ELSE 0 END
-    + CASE WHEN min(s3) = max(s3) THEN greatest(least(max(step), max(n) - 3 - 3 * max(step)), 0) ELSE 0 END
-    >= 0.6 * max(n)
+l5 AS (
+  SELECT *, list_transform(range(0, {SEGMENTS}), lambda i: t[{DEPTH} + 1 + i * step:{DEPTH} + (i + 1) * step]) AS s,
+         letters >= n - said OR said = n AS is_said, len(list_filter(t[1:{DEPTH}], lambda x: x <> '<*>')) AS w
+  FROM l4
+),
+l6 AS (
+  SELECT r, doc_id, h, place, n, w, s, list_transform(s, lambda x: len(x)) AS sn, list_transform(s, lambda x: len(list_filter(x, lambda y: y <> '<*>'))) AS sw,
+         CASE WHEN is_said THEN 'm' || m ELSE 'l' || bare END AS template, CASE WHEN is_said THEN concat(n, chr(10), array_to_string(t[1:{DEPTH}], chr(10))) END AS leaf
+  FROM l5
+),
+leaves AS (SELECT leaf FROM l6 WHERE leaf IS NOT NULL GROUP BY leaf HAVING count(DISTINCT h) >= {DOCUMENTS} AND count(DISTINCT template) > 1),
+sets(part) AS (VALUES {_sets_sql()}),
+g0 AS (
+  SELECT l.*, part, {DEPTH} + list_sum(list_transform(part, lambda i: sn[i])) AS same, list_sum(list_transform(part, lambda i: sw[i])) AS words,
+         list_min(list_transform(part, lambda i: sn[i])) > 0 AS is_full
+  FROM l6 l JOIN leaves USING (leaf), sets
+),
+g1 AS (SELECT *, is_full AND same >= CAST({FIXED} AS DOUBLE) * n AND words >= 1 AND 2 * (w + words) >= same AS is_enough FROM g0),
+g2 AS (
+  SELECT r, doc_id, h, place, template, concat(leaf, chr(10), CAST(part AS VARCHAR), chr(10), array_to_string(list_transform(part, lambda i: array_to_string(s[i], ' ')), chr(10))) AS by_
+  FROM g1 a WHERE is_enough AND NOT EXISTS (
+    SELECT 1 FROM g1 b WHERE b.r = a.r AND b.place = a.place AND b.is_enough AND len(b.part) = len(a.part) - 1 AND list_has_all(a.part, b.part)
+  )
+),
+k AS (
+  SELECT template AS by_, min({{'k': doc_id, 'h': h}}) AS first_ FROM l6 GROUP BY template HAVING count(DISTINCT h) >= {DOCUMENTS}
+),
+kg AS (
+  SELECT by_, min({{'k': doc_id, 'h': h}}) AS first_ FROM g2 GROUP BY by_ HAVING count(DISTINCT h) >= {DOCUMENTS} AND count(DISTINCT template) > 1
 ),
-drops AS (
-  SELECT r, list(place) AS gone, sum(chars) AS chars FROM l4
-  WHERE m IN (SELECT m FROM templates) OR leaf IN (SELECT leaf FROM leaves) GROUP BY r
+d AS (
+  SELECT l.h, l.place FROM l6 l JOIN k ON k.by_ = l.template WHERE l.h <> k.first_.h
+  UNION SELECT g.h, g.place FROM g2 g JOIN kg USING (by_) WHERE g.h <> kg.first_.h
 ),
-o AS (
-  SELECT d.doc_id, d.text, c.parts,
-         CASE WHEN x.chars <= 0.5 * length(replace(d.text, chr(10), '')) THEN x.gone END AS gone
-  FROM docs d JOIN cut c USING (r) LEFT JOIN drops x USING (r)
-)
-SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS BIGINT) AS n_lines,
-       CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+drops AS (SELECT h, list(place) AS gone FROM d GROUP BY h)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        sha256(CASE WHEN gone IS NULL THEN coalesce(text, '')
               ELSE array_to_string(list_transform(list_filter(list_zip(parts, range(len(parts))), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]), chr(10)) END) AS kept_sha256
-FROM o
+FROM docs LEFT JOIN drops USING (h)
 """

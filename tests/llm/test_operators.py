@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -113,7 +114,61 @@ def brute_score(model, f):
     return float(np.array(f[1]) @ model.words[f[0]] + np.array(f[3]) @ model.shapes[f[2]])
 
 
-def test_lines_equal_brute_force(spark, empty):
+def brute_lines(rows, documents=5):
+    """(key, n_lines, n_dropped, text left) of every row, as the docstring of lines.cleaned says."""
+    white = r"[\x20\x09-\x0D]"
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(t or "", set()).add(k)
+    first_key = {t: min(ks, key=lambda k: (k is not None, k)) for t, ks in texts.items()}
+    name = {t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in texts}
+    templates, general = {}, {}
+    for t in texts:
+        for at, line in enumerate(t.split("\n")):
+            bare = line.strip(lines.SPACE)
+            if not bare:
+                continue
+            m = re.sub(rf"{white[:1]}^{white[1:-1]}]*[0-9]{white[:1]}^{white[1:-1]}]*", "<*>", bare)
+            tokens = re.split(f"{white}+", m)
+            fields = tokens.count("<*>")
+            said = not fields or sum(any(c.isalpha() for c in x) for x in tokens) >= fields
+            template = ("m", m) if said else ("l", bare)
+            templates.setdefault(template, set()).add((t, at))
+            if not said:
+                continue
+            n = len(tokens)
+            step = max(-(-(n - 3) // 4), 1)
+            parts = [tokens[3 + i * step : 3 + (i + 1) * step] for i in range(4)]
+
+            def enough(on, parts=parts, tokens=tokens, n=n):
+                kept = [x for i in on for x in parts[i]]
+                words = sum(x != "<*>" for x in kept)
+                lead = sum(x != "<*>" for x in tokens[:3])
+                return all(parts[i] for i in on) and 3 + len(kept) >= 0.6 * n and words >= 1 and 2 * (lead + words) >= 3 + len(kept)
+
+            for size in (1, 2, 3):
+                for on in combinations(range(4), size):
+                    if enough(on) and not any(size > 1 and enough(x) for x in combinations(on, size - 1)):
+                        leaf = (n, *tokens[:3], on, *[tuple(parts[i]) for i in on])
+                        general.setdefault(leaf, set()).add((t, at, template))
+    gone = {t: set() for t in texts}
+    for several, groups in ((False, templates), (True, general)):
+        for places in groups.values():
+            held = {x[0] for x in places}
+            if len(held) >= documents and (not several or len({x[2] for x in places}) > 1):
+                own = min(held, key=lambda t: (first_key[t] is not None, first_key[t], name[t]))
+                for x in places:
+                    if x[0] != own:
+                        gone[x[0]].add(x[1])
+    out = []
+    for k, t in rows:
+        parts = (t or "").split("\n")
+        left = "\n".join(x for i, x in enumerate(parts) if i not in gone[t or ""])
+        out.append((k, 0 if t is None else len(parts), len(gone[t or ""]) if t else 0, t if t is None else left))
+    return Counter(out)
+
+
+def test_lines_equal_brute_force(spark, docs, empty):
     r = random.Random(5)
     texts = []
     for i in range(40):
@@ -122,16 +177,32 @@ def test_lines_equal_brute_force(spark, empty):
             own.insert(2, f"Page {i} of 99 printed at 12:0{i % 10}")
         if i % 3 == 0:
             own.append(f"Visit our web site for {r.choice(VOCABULARY)} news and much more every single day of the year")
+        if i % 5 == 0:
+            own += ["\t" + "long line " * 3000, f"{i} {i * 3} 4", "see also", "x " * r.randint(1, 3) + "same same same"]
         texts.append("\n".join(own))
-    texts += [texts[1]] * 8 + [None, "", "\n\n"]
-    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_lines int")
-    got = {x.doc_id: x for x in lines.cleaned(df).collect()}
-    assert all(got[i].n_dropped == (i % 2) + (i % 3 == 0) for i in range(2, 40))
-    assert all("Visit our" not in got[i].text and "printed at" not in got[i].text for i in range(2, 40))
-    assert got[48].text is None and got[48].n_lines == 0 and got[49].text == "" and got[50].text == "\n\n"
-    # Whole copies are left to document dedup.
-    assert all(got[i].text == texts[i] for i in range(40, 48))
+    texts += [texts[1]] * 8 + [None, "", "\n\n", "é 1 à\r\n\x0b"] * 2
+    rows = [(i // 2, t, 5, "mine", "x") for i, t in enumerate(texts)] + [(None, texts[5], 1, "mine", "y"), (3, texts[7], 2, "mine", "z")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, _h string, _drop string").repartition(3)
+    got = lines.cleaned(df)
+    assert got.columns == ["doc_id", "text", "_h", "_drop", "n_lines", "n_dropped"] and got.filter("_h <> 'mine'").isEmpty()
+    want = brute_lines([(k, t) for k, t, *_ in rows])
+    assert Counter((x.doc_id, x.n_lines, x.n_dropped, x.text) for x in got.collect()) == want
+    assert sum(x[2] * n for x, n in want.items()) > 40
+    assert Counter((x.doc_id, x.n_lines, x.n_dropped, x.text) for x in lines.cleaned(docs, documents=2).collect()) == brute_lines(rows_of(docs), 2)
     assert lines.cleaned(empty).count() == 0
+    # The pipeline's form leaves columns of the added names alone.
+    out = lines.deduplicated(df)
+    assert out.columns == df.columns and out.filter("n_lines NOT IN (5, 1, 2) OR _h <> 'mine'").isEmpty()
+
+
+def test_lines_equal_sql(spark):
+    import duckdb
+
+    texts = [f"Common line of all {'the same words here ' * 4}\nOwn {i} {prose(9)}\nPage {i} of 9\n\n{prose(4)}" for i in range(9)]
+    table = spark.createDataFrame(list(enumerate([*texts, texts[2], "", "a\n"])), "doc_id long, text string")
+    documents = table.toArrow()  # noqa: F841 (the SQL reads it)
+    got = lines.cleaned(table).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(duckdb.sql(lines.OP4_SQL).fetchall())
 
 
 def test_lines_go_whatever_their_share(spark, empty):
