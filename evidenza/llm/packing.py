@@ -1,26 +1,26 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds over size classes.
-
-Documents are tokenised, cut where they exceed a sequence, and sorted by length. Gaps are sorted by room. A round gives
-each length class, longest first, the next larger gap class (its successor in the sorted gaps); equal documents and equal
-gaps are matched by rank, so no two documents claim one gap; then the gaps shrink and the sweep goes on until nothing is
-left, opening new sequences where no gap is wide enough. Lengths are at most the capacity, so classes, and the plan in
-terms of ranks, do not grow with the corpus; Spark ranks the documents of each class and places them by the plan.
+"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+
+Documents are tokenised and cut where they exceed a sequence. Documents and gaps are sorted by size, longest first, a
+gap before the documents that it just holds. In that order a gap opens a level and a document closes the last level
+open, which is its successor: the narrowest gap that no longer document takes. So a round gives every gap one document
+at most; documents that propose the same gap are told apart by rank. Levels follow from the counts of each size and a
+row's rank within its size, so Spark matches rows by a window over each level, updates the gaps, and goes on until no
+document is left. For documents that no gap can take, now or later, as many sequences open as their lengths fill at least.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import read, text_or_empty, with_rank, written
+from .common import Steps, read, text_or_empty, with_rank, written
 
 CAPACITY = 1024
 END = 2
@@ -79,72 +79,101 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
     return rows.mapInPandas(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_key", key)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, number, first sequence, offset): where the documents of each length class go.
+def swept(docs: dict[int, int], gaps: dict[int, int], rooms: dict[int, int], capacity: int, per: int) -> list[tuple[int, int, int, int, int]]:
+    """(size, level below its gaps, gaps there were, sequences opened, documents matched) for each size, long to short.
 
-    counts: documents by length. Sweeps the classes from long to short; each takes the narrowest gaps that hold it.
+    docs, gaps and rooms (gaps before they are cut in parts): rows by size, of which there are at most as many as a
+    sequence has tokens; per: documents that a new sequence takes in this round. Documents without a gap wait for what
+    longer ones leave of theirs, as far as that can hold them; beyond that as many sequences open as they fill at least.
+    Those over half a sequence share none with each other.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> runs of sequences (first, number)
-    rooms: list[int] = []
-    placed: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):
-                per = capacity // length
-                full, over = divmod(left, per)
-                for i in range(per):
-                    if full:
-                        placed.append((length, rank + i * full, full, sequences, i * length))
-                if full and capacity - per * length:
-                    leave(gaps, rooms, capacity - per * length, sequences, full)
-                rank, left, sequences = rank + per * full, over, sequences + full
-                if over:
-                    placed += [(length, rank + i, 1, sequences, i * length) for i in range(over)]
-                    leave(gaps, rooms, capacity - over * length, sequences, 1)
-                    rank, left, sequences = rank + over, 0, sequences + 1
-                continue
-            room = rooms[at]
-            first, number = gaps[room].pop()
-            used = min(number, left)
-            if not gaps[room]:
-                rooms.pop(at)
-            if used < number:
-                leave(gaps, rooms, room, first + used, number - used)
-            placed.append((length, rank, used, first, capacity - room))
-            if room > length:
-                leave(gaps, rooms, room - length, first, used)
-            rank, left = rank + used, left - used
-    return placed
-
-
-def leave(gaps: dict, rooms: list[int], room: int, first: int, number: int) -> None:
-    if not gaps[room]:
-        bisect.insort(rooms, room)
-    gaps[room].append((first, number))
+    out, level, lost, new = [], 0, 0, 0
+    for size in sorted(docs.keys() | gaps.keys(), reverse=True):
+        below, n = level, docs.get(size, 0)
+        level += gaps.get(size, 0)
+        over, opens = max(0, n - level), 0
+        lost += over
+        if over:
+            wait = sum(c * (room // size - 1) for room, c in rooms.items() if room >= 2 * size)
+            fill = -(-(max(0, lost - wait) * size) // capacity)
+            opens = min(-(-over // per), over if 2 * size > capacity else max(0, fill - new))
+            new += opens
+            level += opens * per
+        matched = min(n, level)
+        out.append((size, below, gaps.get(size, 0), opens, matched))
+        level -= matched
+    return out
+
+
+#: New sequences that one row of their plan stands for.
+CHUNK = 1 << 16
 
 
 def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """parts (with length, at most capacity) and, for each, sequence_id and offset: places gapless from 0."""
+    """parts (with length, at most capacity) and, for each, sequence_id and offset: places gapless from 0. No rows: none.
+
+    Where the longest document left is less than a quarter of a gap, the gap takes several in a round, one in each part.
+    """
     spark = parts.sparkSession
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    steps = plan(counts, capacity)
-    found = spark.createDataFrame(
-        [(length, first, first + number, sequence, offset) for length, first, number, sequence, offset in steps],
-        "length long, _from long, _to long, _sequence long, offset long",
-    )
-    # A class's steps in order of rank: each row finds its own by its rank, as steps tile the ranks.
-    tiles = found.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_sequence", "offset"))).alias("_steps"))
-    ranked = with_rank(parts, ["length"], [key, "piece", "ids_crc32"], "_rank")
-    step = F.filter("_steps", lambda s: (s["_from"] <= F.col("_rank")) & (F.col("_rank") < s["_to"]))[0]
-    return (
-        ranked.join(F.broadcast(tiles), "length")
-        .withColumn("_step", step)
-        .withColumns({"sequence_id": F.col("_step._sequence") + F.col("_rank") - F.col("_step._from"), "offset": F.col("_step.offset")})
-        .drop("_rank", "_steps", "_step")
-    )
+    steps = Steps(spark, "pack")
+    ranked = steps.written(with_rank(parts, ["length"], [key, "piece", "ids_crc32"], "_rank"), "ranked")
+    left = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    done = dict.fromkeys(left, 0)
+    gaps, sequences = spark.createDataFrame([], "_seq long, _room long"), 0
+    names = ["_at", "_size", "_kind", "_seq", "_slot", "length", "_rank"]
+    none = {c: F.lit(None).cast("long") for c in ("_seq", "_slot", "length", "_rank")}
+    by_level = Window.partitionBy("_at").orderBy(F.desc("_size"), "_kind")
+    before = Window.partitionBy("_seq").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    found: list[str] = []
+    while left:
+        # A table of at most `capacity` rows, whatever the corpus.
+        rooms = {r["_room"]: r["n"] for r in gaps.groupBy("_room").agg(F.count(F.lit(1)).alias("n")).collect()}
+        longest, shortest = max(left), min(left)
+        times = lambda room: room // longest if room >= 4 * longest else 1
+        counts: dict[int, int] = {}
+        for room, n in rooms.items():
+            counts[room // times(room)] = counts.get(room // times(room), 0) + n * times(room)
+        per, so_far, classes = times(capacity), sequences, []
+        for n, below, old, opens, m in swept(left, counts, rooms, capacity, per):
+            classes.append((n, below, old, below + old + opens * per, sequences, opens, done.get(n, 0), done.get(n, 0) + m))
+            sequences += opens
+        fresh_ones = sequences > so_far
+        size = F.broadcast(spark.createDataFrame(classes, "_size long, _below long, _old long, _level long, _first long, _opens long, _from long, _to long"))
+        n_times = F.when(F.col("_room") >= 4 * longest, F.floor(F.col("_room") / longest)).otherwise(1).cast("int")
+        slots = gaps.select("_seq", F.lit(0).alias("_slot"), F.col("_room").alias("_size"))
+        if any(times(room) > 1 for room in rooms):
+            slots = gaps.withColumn("_times", n_times).select("_seq", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_slot"), F.floor(F.col("_room") / F.col("_times")).alias("_size"))
+        slots = with_rank(slots, ["_size"], ["_seq", "_slot"], "_gap").join(size.select("_size", "_below"), "_size")
+        opens = slots.withColumns(none | {"_at": F.col("_below") + F.col("_gap"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot").cast("long")})
+        chunk = spark.createDataFrame(classes, size.schema).filter("_opens > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_opens") - 1, F.lit(CHUNK).cast("long"))))
+        fresh = chunk.repartition("_size", "_lo").withColumn("_i", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + CHUNK, F.col("_opens")) - 1)))
+        fresh = fresh.select((F.col("_first") + F.col("_i")).alias("_seq"), "_size", (F.col("_below") + F.col("_old") + F.col("_i") * per).alias("_base"))
+        news = fresh.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per - 1).cast("long"))) if per > 1 else F.lit(0).cast("long"))
+        news = news.withColumns(none | {"_at": F.col("_base") + F.col("_slot"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot")})
+        docs = ranked.select(F.col("length").alias("_size"), "_rank").join(size, "_size").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+        closes = docs.withColumns(none | {"_at": F.col("_level") - 1 - (F.col("_rank") - F.col("_from")), "_kind": F.lit(1), "length": F.col("_size"), "_rank": F.col("_rank")})
+        every = closes.select(*names)
+        if rooms:
+            every = every.unionByName(opens.select(*names))
+        if fresh_ones:
+            every = every.unionByName(news.select(*names))
+        taken = every.withColumns({"_seq": F.lag("_seq").over(by_level), "_slot": F.lag("_slot").over(by_level)}).filter("_kind = 1")
+        if fresh_ones:
+            gaps = gaps.unionByName(fresh.select("_seq", F.lit(capacity).cast("long").alias("_room")))
+        placed = taken.join(gaps, "_seq").withColumn("offset", (capacity - F.col("_room") + F.coalesce(F.sum("length").over(before), F.lit(0))).cast("long"))
+        placed = steps.written(placed.select(F.col("_seq").alias("sequence_id"), "length", "_rank", "offset"), "placed")
+        found.append(f"{steps.folder}/{steps.n}-placed")
+        for n, *_, start, end in classes:
+            if end > start:
+                done[n] = end
+                left[n] -= end - start
+        left = {n: c for n, c in left.items() if c}
+        used = placed.groupBy(F.col("sequence_id").alias("_seq")).agg(F.sum("length").alias("_used"))
+        now = gaps.join(used, "_seq", "left").withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0))).select("_seq", "_room")
+        gaps = steps.written(now.filter(F.col("_room") >= min(left, default=shortest)), "gaps")
+    schema = "sequence_id long, length long, _rank long, offset long"
+    places = spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    return steps.result(ranked.join(places, ["length", "_rank"]).drop("_rank").select(*[c for c in parts.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset"))
 
 
 def op7_pack(spark, sf_dir):

@@ -332,6 +332,36 @@ def test_packing(docs, empty):
     assert packing.tokenizer()("a<|endoftext|>b") == np.array(whole.encode("a<|endoftext|>b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_of_small_documents(spark):
+    """Many small documents beside a few long ones: gaps take several a round; all are placed once, without a gap."""
+    r = random.Random(2)
+    rows = [(i, 0, r.choice((1, 1, 2, 3)), i) for i in range(3000)] + [(3000 + i, 0, r.randint(20, 64), i) for i in range(40)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long").cache()
+    got = packing.packed(parts, capacity=64).collect()
+    assert Counter((x.doc_id, x.length) for x in got) == Counter((k, n) for k, _, n, _ in rows)
+    by = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for places in by.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 64
+    assert len(by) <= -(-sum(n for _, _, n, _ in rows) // 64) + 1
+
+
+def test_tokens_equal_the_named_vocabulary():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    whole, ids = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.tokenizer()
+    odd = ["", " ", "\n\n \t", "é\u0301 ñ", "\u200b\ufeffx", "中文字符 テスト", "🙂🙃 a\u00a0b", "<|endoftext|>", "x" * 5000, "1234567890" * 50, "it's I'LL we've", "\r\n\x0b"]
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() + odd:
+        assert ids(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_minhash_classes_equal_brute_force(docs, empty):
     rows = rows_of(docs)
 
