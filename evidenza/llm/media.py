@@ -169,6 +169,7 @@ def features(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def op10_media(spark, sf_dir):
+    """Every document's payload as stored in tar shards and read back: sizes, digests, feature and header columns."""
     folder = new_folder(spark, "media")
     # Digests move as bytes, at half the size of their hexadecimal form.
     rows = written(unhexed(stored(read(spark, sf_dir, "documents").select("doc_id", "text"), folder), "digest"), "media-stored", "zstd")

@@ -224,17 +224,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each class of near-duplicates, the one of the smallest key; all columns stay."""
-    keep = near_duplicates(docs, text, key, **options).filter("is_kept").select(F.col(key).alias("_key"), "_sha")
-    tagged = docs.withColumn("_sha", F.substring(F.sha2(text_or_empty(text), 256), 1, 32))
-    kept = tagged.join(keep, F.col(key).eqNullSafe(F.col("_key")) & (tagged["_sha"] == keep["_sha"])).drop("_key").drop(keep["_sha"])
-    again = written(docs.groupBy(F.col(key).alias("_k"), F.substring(F.sha2(text_or_empty(text), 256), 1, 32).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "minhash-again")
+    """docs with one row of each class of near-duplicates, the one of the smallest key; all columns stay, whatever their names."""
+    keep = near_duplicates(docs, text, key, **options).filter("is_kept").select("_sha", F.col(key).alias("_keep"))
+    sha = F.substring(F.sha2(text_or_empty(text), 256), 1, 32)
+    tagged = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), sha.alias("_sha"))
+    kept = tagged.join(keep, "_sha").filter(F.col("_key").eqNullSafe(F.col("_keep"))).select("_row", "_key", "_sha")
+    again = written(docs.select(F.col(key).alias("_k"), sha.alias("_s")).groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "minhash-again")
     if again.isEmpty():
-        return kept.drop("_sha")
+        return kept.select("_row.*")
     # Rows that repeat key and text: any one of them.
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, "_sha"])).drop("_sha")
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_key", "_sha"])).select("_row.*")
 
 
 def op8_minhash(spark, sf_dir):
+    """doc_id, class_id, class_size and is_kept of every document."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("_sha")

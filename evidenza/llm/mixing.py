@@ -93,24 +93,23 @@ def schedule(mix: DataFrame, key: str = "doc_id") -> DataFrame:
     return mix.withColumn("_first", first).sort("_first", key).drop("_first")
 
 
-def trained(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix trains on them: a row for each copy, cut after the words taken; others go.
+def trained(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """docs as the mix trains on them, range-sorted by position: a row for each copy, cut after the words taken; others go.
 
-    A copy taken whole keeps its text; one taken in part keeps its leading words with one space between them.
+    A copy taken whole keeps its text; one taken in part keeps its leading words with one space between them. Copies at
+    one position come by key. No other column changes, whatever its name.
     """
-    columns = docs.columns
-    text = options.get("text", "text")
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return (
-        mixed(docs, **options)
-        .withColumn("_copy", F.explode("taken_by_copy"))
-        .filter("_copy > 0")
-        .withColumn(text, F.when(F.col("_copy") == word_count(text), F.col(text)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_copy").cast("int")), " ")))
-        .select(*columns)
-    )
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("doc_id"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Copies are taken from the first on, so the copies taken and their positions go together.
+    copies = mixed(packed, **options).select("_row", "text", "doc_id", "size", "positions", F.posexplode("taken_by_copy").alias("_at", "_copy")).filter("_copy > 0")
+    cut = F.when(F.col("_copy") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_copy").cast("int")), " "))
+    ordered = copies.sort(F.try_element_at("positions", F.col("_at") + 1), "doc_id")
+    return ordered.select(*[(cut if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op2_mix(spark, sf_dir):
+    """doc_id, size, source_size, target, taken and positions of every document, in training order."""
     from .common import read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")

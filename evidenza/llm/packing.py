@@ -177,5 +177,6 @@ def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> D
 
 
 def op7_pack(spark, sf_dir):
+    """Every piece of every document with its sequence and its place there."""
     parts = written(pieces(read(spark, sf_dir, "documents").select("doc_id", "text")), "pack-pieces")
     return packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -191,6 +191,18 @@ def scored(docs: DataFrame, model: Model, text: str = "text", least: float = LEA
     """
     names = [f"p_ge_{j + 1}" for j in range(len(model.cuts))]
     base = docs.drop("expected_grade", "keep", *names)
+    return base.withColumn("_rated", rating(docs, model, least)(text_or_empty(text))).select(*base.columns, "_rated.*")
+
+
+def kept(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of docs that `scored` keeps; all columns stay, whatever their names."""
+    rated = docs.select(F.struct("*").alias("_row"), rating(docs, model, least)(text_or_empty(text)).alias("_rated"))
+    return rated.filter("_rated.keep").select("_row.*")
+
+
+def rating(docs: DataFrame, model: Model, least: float):
+    """A function of a text column to a struct of expected_grade, p_ge_1, p_ge_2, ... and keep."""
+    names = [f"p_ge_{j + 1}" for j in range(len(model.cuts))]
     held = model.words, model.shapes, model.cuts
     shared = docs.sparkSession.sparkContext.broadcast(held)  # WORDS and SHAPES fix its size
 
@@ -202,11 +214,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", least: float = LEA
             out = pd.DataFrame({"expected_grade": p.sum(1), **{n: p[:, j] for j, n in enumerate(names)}})
             yield out.assign(keep=(p[:, -1] >= least) & has)
 
-    rating = F.pandas_udf(rate, f"expected_grade double, {', '.join(f'{n} double' for n in names)}, keep boolean")
-    return base.withColumn("_rated", rating(text_or_empty(text))).select(*base.columns, "_rated.*")
+    return F.pandas_udf(rate, f"expected_grade double, {', '.join(f'{n} double' for n in names)}, keep boolean")
 
 
 def op3_quality(spark, sf_dir):
+    """doc_id, expected_grade, the tail probabilities p_ge_1 and p_ge_2, and keep, of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(written(graded(docs, read(spark, sf_dir, "labels")), "quality-sample"))
     return scored(docs, model).drop("text")

@@ -118,6 +118,7 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Dat
 
 
 def op5_secrets(spark, sf_dir):
+    """Counts, digest and list of the secrets of every document, base kinds and those with checksums."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

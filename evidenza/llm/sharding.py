@@ -86,6 +86,7 @@ def sharded(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: in
 
 
 def op6_shard(spark, sf_dir):
+    """Size, shard and slot of every document, by the law of bytes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharded(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

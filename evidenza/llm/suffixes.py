@@ -326,4 +326,5 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
 
 
 def op1_suffix(spark, sf_dir):
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document: strings of 200 bytes that repeat go."""
     return repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")

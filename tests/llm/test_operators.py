@@ -84,12 +84,37 @@ def test_mix_reaches_targets(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
-def test_demand_inverts():
-    for slope in (0.5, 0.0, -0.5):
-        for t in (0.0, 0.3, 1.0):
-            used = t + slope * (t * t - t)
-            got = (used if slope == 0 else ((1 - slope) ** 2 + 4 * slope * used) ** 0.5 / (2 * slope) - (1 - slope) / (2 * slope))
-            assert abs(got - t) < 1e-9
+def test_demand_inverts(spark):
+    rows = [(t, slope, t + slope * (t * t - t)) for slope in (0.5, 0.0, -0.5, 1.0, -1.0) for t in (0.0, 0.3, 0.9, 1.0)]
+    df = spark.createDataFrame(rows, "t double, slope double, used double")
+    got = df.select("t", mixing.position(F.col("used"), F.col("slope")).alias("got")).collect()
+    assert all(abs(x.got - x.t) < 1e-6 for x in got)
+
+
+def test_schedule_and_trained_follow_positions(docs):
+    mix = mixing.mixed(docs)
+    first = [x.positions[0] if x.positions else 2.0 for x in mixing.schedule(mix).collect()]
+    assert first == sorted(first) and any(p < 1 for p in first)
+    # A heavy source gains over the run: less than half of its words come in the first half.
+    heavy = [x for x in mix.collect() if x.source == "s0"]
+    early = sum(n for x in heavy for n, p in zip(x.taken_by_copy, x.positions, strict=False) if p < 0.5)
+    assert early < 0.5 * sum(x.taken for x in heavy)
+
+
+def test_stages_leave_columns_of_the_operators_names_alone(spark):
+    import corpus_pipeline
+
+    names = ["size", "target", "taken", "positions", "keep", "expected_grade", "n_lines", "n_dropped", "_row", "_h", "_sha", "_key", "_text", "slope"]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({n: F.lit("mine") for n in names})
+    odd = table.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    table = table.unionByName(odd).unionByName(odd.withColumn("text", F.lit(""))).unionByName(table.limit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, "/root/testdata/sf0.001")
+        assert out.columns == table.columns and out.dtypes == table.dtypes, name
+        rows = out.collect()
+        assert rows and all(x[n] == "mine" for x in rows for n in names), name
+        assert stage(spark, spark.createDataFrame([], table.schema), "/root/testdata/sf0.001").count() == 0
+    assert corpus_pipeline.pack_stage(spark, table, "").count() >= table.count()
 
 
 def test_quality_learns_held_out(spark, empty):
@@ -109,6 +134,35 @@ def test_quality_learns_held_out(spark, empty):
     assert quality.scored(df, untrained).count() == df.count()
 
 
+def test_quality_fit_is_a_maximum():
+    """The fitted weights give the grades a likelihood that no small change raises much, and ordered thresholds."""
+    r = random.Random(4)
+    said = {0: "bad spam junk", 1: "rude scum idiot", 2: "fine good prose"}
+    grades = np.array([i % 3 for i in range(300)])
+    rows = [quality.features(f"{prose(30, r)} {said[g] if r.random() < 0.9 else ''}") for g in grades]
+    model = quality.fit(rows, grades, 3)
+    assert (np.diff(model.cuts) > 0).all()
+
+    def likelihood(words, shapes, cuts):
+        score = np.array([np.asarray(f[1]) @ words[f[0]] + np.asarray(f[3]) @ shapes[f[2]] for f in rows])
+        p = np.column_stack([np.ones(len(rows)), *[1 / (1 + np.exp(c - score)) for c in cuts], np.zeros(len(rows))])
+        return np.log(np.maximum(p[np.arange(300), grades] - p[np.arange(300), grades + 1], 1e-12)).mean() - quality.DECAY / 2 * ((words**2).sum() + (shapes**2).sum())
+
+    best = likelihood(model.words, model.shapes, model.cuts)
+    start = likelihood(0 * model.words, 0 * model.shapes, np.log(1 / np.array([2 / 3, 1 / 3]) - 1))
+    assert best > start + 0.2
+    told = np.flatnonzero(model.words)
+    assert {quality.slots(w)[0] for s in said.values() for w in s.split()} >= set(told.tolist()) and len(told) >= 6
+    for i in [*told[:6]]:
+        for step in (0.05, -0.05):
+            words = model.words.copy()
+            words[i] += step
+            assert likelihood(words, model.shapes, model.cuts) < best + 2e-3
+    # P(grade >= 2) is higher for better texts.
+    chance = {g: model.chances(np.array([model.score(t)]))[0, 1] for g, t in said.items()}
+    assert chance[2] > 0.5 > chance[1] > chance[0] - 0.05
+
+
 def brute_score(model, f):
     # counts of a word's slot are summed before the logarithm in both
     return float(np.array(f[1]) @ model.words[f[0]] + np.array(f[3]) @ model.shapes[f[2]])
@@ -479,6 +533,20 @@ def test_search_of_mixed_widths_equals_sql(spark):
     assert len(want) == 15 and sorted(got) == sorted(want)
 
 
+def test_search_with_repeated_ids_equals_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    rows = [(i // 2 * 10, rng.normal(size=6).astype(np.float32).tolist()) for i in range(60)] + [(50, [1.0] * 6)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    embeddings = df.toArrow()  # noqa: F841 (the SQL reads it)
+    got = sorted(tuple(r) for r in search.top_k(df, lambda i: i % 50 == 0, block=20).collect())
+    want = sorted(duckdb.sql(search.OP9_SQL).fetchall())
+    assert got == want and sum(r[0] == 50 for r in got) == 25
+    outlier = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(200)] + [(200, [1.0] * 4)], "vec_id long, embedding array<double>")
+    assert search.top_k(outlier, lambda i: i % 50 == 0).count() == 25
+
+
 def test_media_round_trip(docs, empty, tmp_path):
     import tarfile
 
