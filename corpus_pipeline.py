@@ -19,7 +19,7 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, keeps."""
     model = quality.train(written(quality.graded(docs, read(spark, sf_dir, "labels")), "quality-sample"))
-    return quality.scored(docs, model).filter("keep").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    return minhash.deduplicated(docs).select(*docs.columns)
+    return minhash.deduplicated(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix trains on them: one row for each time, sources near their targets."""
+    """Documents as the mix trains on them, range-sorted by position: one row for each time, sources near their targets."""
     return _like(docs, mixing.trained(docs))
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix_stage),
     ("packing", pack_stage),
 ]
-#: SQL cannot express the classifier, the signatures or the tokens; the tests hold each stage against a plain version.
+#: SQL cannot express the classifier, the signatures or the tokens; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
