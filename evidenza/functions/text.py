@@ -32,10 +32,62 @@ def clean_layout(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, BLANKS, " "), "\n+", "\n"))
 
 
+#: Spaces that a scan may hold; newlines are not among them.
+SCAN_SPACES = " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
+
+
 def clean_scan(c: Column) -> Column:
-    """Spaces between ideographs dropped, other spaces squashed."""
+    """Spaces between ideographs dropped, other spaces squashed, edges stripped; newlines stay."""
     han = "\\u4e00-\\u9fff"
-    return strip(F.regexp_replace(F.regexp_replace(c, f"(?<=[{han}])[\\s\\u00a0\\u3000]+(?=[{han}])", ""), "[\\s\\u00a0\\u2000-\\u200a\\u3000]+", " "))
+    inner = F.regexp_replace(c, f"(?<=[{han}])[{SCAN_SPACES}]+(?=[{han}])", "")
+    return F.btrim(F.regexp_replace(inner, f"[{SCAN_SPACES}]+", " "), F.lit(SCAN_SPACES))
+
+
+def effective_line(line: Column) -> Column:
+    """Neither empty nor a bare page number, with or without dashes."""
+    return (line != "") & ~line.rlike(r"^[-–—]?\s*\d+\s*[-–—]?$")
+
+
+def clean_body(c: Column) -> Column:
+    """Lines of a scan, cleaned: those that are effective and differ from the last one kept."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(c, "\r", "\n"), "\n", -1), clean_scan), effective_line)
+    return F.array_join(F.filter(lines, lambda x, i: (i == 0) | (x != F.coalesce(F.try_element_at(lines, i), F.lit("")))), "\n")
+
+
+def picked_title(body: Column) -> Column:
+    """The first effective line of 2 to 40 characters that isn't digits only; none: empty."""
+    fits = F.filter(F.transform(F.split(body, "\n", -1), clean_scan), lambda x: F.length(x).between(2, 40) & ~x.rlike("^\\d+$") & effective_line(x))
+    return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(""))
+
+
+def search_text(title: Column, body: Column) -> Column:
+    """Title and body, which loses a first line that is the title."""
+    return F.btrim(F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(without_title_line(body, title), F.lit(""))), F.lit("\n "))
+
+
+def section_title(title: Column, page: Column) -> Column:
+    """The cleaned title, or the page by its number."""
+    said = clean_chunk(F.coalesce(title, F.lit("")))
+    return F.when(said != "", said).otherwise(F.concat(F.lit("PDF第"), F.coalesce(page, F.lit(0)).cast("string"), F.lit("页")))
+
+
+def page_text(title: Column, body: Column, table: Column, figure: Column, search: Column) -> Column:
+    """Body without its title line, table and figure text, a blank line between; without any of them the search text."""
+    text = lambda c: clean_chunk(F.coalesce(c, F.lit("")))
+    own = [text(without_title_line(F.coalesce(body, F.lit("")), title)), text(table), text(figure)]
+    parts = F.concat_ws("\n\n", *[F.nullif(x, F.lit("")) for x in own])
+    return F.when(parts != "", parts).otherwise(text(without_title_line(F.coalesce(search, F.lit("")), title)))
+
+
+def processable(searchable: Column, *texts: Column) -> Column:
+    """searchable is true and some text isn't blank."""
+    return F.coalesce(searchable, F.lit(False)) & (strip(F.concat_ws("", *texts)) != "")
+
+
+def page_tags(page: Column, model: Column, printed: Column, source: str = "msd") -> Column:
+    """Tags of a chunk: source, page, model and, if there is one, the printed page."""
+    tag = lambda name, c: F.concat(F.lit(f"{name}:"), F.coalesce(c.cast("string"), F.lit("")))
+    return F.array_compact(F.array(F.lit(f"source:{source}"), tag("pdf_page", F.coalesce(page, F.lit(0))), tag("model", model), F.when(printed.cast("string") != "", tag("printed_page", printed))))
 
 
 def report_line(c: Column) -> Column:
@@ -98,10 +150,6 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def first_present(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def string_list(c: Column) -> Column:
     """A JSON array of strings; anything else is an empty list."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))

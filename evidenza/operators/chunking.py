@@ -8,11 +8,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import chunk_id, clean_chunk, content_of, sha256
 
-SENTENCE = re.compile(r"[^。！？；]*[。！？；]|[^。！？；]+$")
+#: A sentence ends after one of these marks.
+ENDS = re.compile(r"(?<=[。！？；])")
 
 
 @dataclass(frozen=True)
@@ -24,57 +26,63 @@ class Budget:
     overlap: int = 100
 
     def __post_init__(self):
-        if not (0 < self.target <= self.most and 0 <= self.overlap < self.target):
-            raise ValueError("a budget needs 0 < target <= most and 0 <= overlap < target")
+        if not (0 < self.target <= self.most and self.overlap >= 0):
+            raise ValueError("a budget needs 0 < target <= most and 0 <= overlap")
+
+    def beside(self, title: int) -> Budget:
+        """What a title of so many characters and its newline leave; a title that leaves nothing doesn't count."""
+        used = title + 1 if title else 0
+        most = self.most - used if self.most > used else self.most
+        return Budget(min(self.target, most), most, min(self.overlap, most - 1))
 
 
 def units(text: str, most: int) -> list[str]:
-    """Lines; those too long as sentences; those too long as pieces."""
-    out = []
-    for line in filter(None, text.split("\n")):
-        for part in [line] if len(line) <= most else [s.strip() for s in SENTENCE.findall(line)]:
-            out += [x for i in range(0, len(part), most) if (x := part[i : i + most].strip())]
-    return out
+    """Lines of a clean text; sentences of lines that are too long; windows of sentences that still are."""
+    window = re.compile(f".{{1,{most}}}", re.DOTALL)
+    sentences = (s for line in text.split("\n") for s in ([line] if len(line) <= most else ENDS.split(line)))
+    return [w for s in sentences for x in window.findall(s.strip()) if (w := x.strip())]
+
+
+def end_of(parts: list[str], first: int, lead: int, budget: Budget) -> int:
+    """Where the chunk that begins with so many characters of lead and the unit `first` ends: first, if that finds no room."""
+    size, at = lead, first
+    while at < len(parts) and size < budget.target + (at == first) * budget.most:
+        size += (size > 0) + len(parts[at])
+        if size > budget.most:
+            break
+        at += 1
+    return at
 
 
 def chunks_of(text: str, budget: Budget) -> list[str]:
-    """Greedy chunks of a clean text; each begins with the end of the one before, as far as the next unit leaves room."""
+    """Chunks of a clean text: each is the end of the one before, as far as there is room, and the units that fit."""
     if len(text) <= budget.most:
         return [text] if text else []
-    done: list[str] = []
-    held, fresh = "", False
-    for unit in units(text, budget.most):
-        joined = f"{held}\n{unit}" if held else unit
-        if len(joined) > budget.most:
-            if fresh:
-                done.append(held)
-            room = min(budget.overlap, budget.most - len(unit) - 1)
-            tail = held[-room:].strip() if room > 0 else ""
-            joined = f"{tail}\n{unit}" if tail else unit
-        held, fresh = joined, True
-        if len(held) >= budget.target:
-            done.append(held)
-            held, fresh = held[-budget.overlap :].strip() if budget.overlap else "", False
-    if held and held not in done and (fresh or not done):
-        done.append(held)
-    return list(dict.fromkeys(done))
+    tail = lambda said, room: said[-room:].strip() if room > 0 else ""
+    parts, found, lead, first = units(text, budget.most), {}, "", 0
+    while first < len(parts):
+        end = end_of(parts, first, len(lead), budget)
+        room = budget.overlap
+        if end > first:
+            lead = "\n".join(([lead] if lead else []) + parts[first:end])
+            found[lead] = None
+        # A chunk that closes for want of room leaves the next only what its first unit leaves free.
+        if end == first or (len(lead) < budget.target and end < len(parts)):
+            room = min(room, budget.most - len(parts[end]) - 1)
+        lead, first = tail(lead, room), end
+    return list(found)
 
 
 def chunked(pages: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """document_id, page, title, text in; a row a chunk with chunk_index, chunk_count, content, content_hash, chunk_id.
 
-    The title and its newline count against the budget. Pages without text have no chunks.
+    The title and its newline count against the most, not the target, unless they leave nothing. Pages without text have
+    no chunks.
     """
 
     @F.pandas_udf("array<string>")
     def cut(text: pd.Series, title: pd.Series) -> pd.Series:
-        def one(t: str, n: int) -> list[str]:
-            used = n + 1 if n else 0
-            most = max(1, budget.most - used)
-            target = max(1, min(budget.target - used, most)) if budget.target > used else most
-            return chunks_of(t, Budget(target, most, min(budget.overlap, target - 1)))
-
-        return pd.Series([one(t or "", len(n or "")) for t, n in zip(text, title, strict=True)])
+        return pd.Series([chunks_of(t or "", budget.beside(len(n or ""))) for t, n in zip(text, title, strict=True)])
 
     rows = pages.withColumn("_t", clean_chunk(F.coalesce("text", F.lit("")))).withColumn("_title", clean_chunk(F.coalesce("title", F.lit(""))))
     cut_up = rows.withColumn("_chunks", cut("_t", "_title")).withColumn("chunk_count", F.size("_chunks"))
@@ -86,39 +94,47 @@ def chunked(pages: DataFrame, budget: Budget = Budget()) -> DataFrame:
     )
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
-    """page, left, top, right, bottom, width (of the page) in; adds position: wide lines, left column, right column.
+def reading_order(lines: DataFrame, share: float = 0.45, gap: float = 0.03) -> DataFrame:
+    """page, left, top, right, width and height (of the page) in; adds position, from 1.
 
-    A page has two columns if each half holds four lines and the gap between them is over 3 % of its width.
+    A line spans if it crosses the middle and takes `share` of the width. A page has two columns if each side of the
+    middle holds four other lines and the gap between them is over `gap` of its width: then come spanning lines near the
+    top of the columns (20 or 3 % of the height below it at most), the left column, the right one, and other spanning
+    lines. Other pages, and those without a width, go from top to bottom. Ties by left.
     """
     w = Window.partitionBy("page")
-    wide = (F.col("right") - F.col("left")) >= F.col("width") * 0.6
-    left = ~wide & ((F.col("left") + F.col("right")) / 2 < F.col("width") / 2)
-    right = ~wide & ~left
-    gap = F.min(F.when(right, F.col("left"))).over(w) - F.max(F.when(left, F.col("right"))).over(w)
-    two = (F.count_if(left).over(w) >= 4) & (F.count_if(right).over(w) >= 4) & (gap > F.col("width") * 0.03)
-    section = F.when(~F.coalesce(two, F.lit(False)), 0).when(wide, 0).when(left, 1).otherwise(2)
+    middle, center = F.col("width") / 2, (F.col("left") + F.col("right")) / 2
+    spans = (F.col("left") < middle) & (middle < F.col("right")) & (F.col("right") - F.col("left") >= F.col("width") * share)
+    on_left, on_right = ~spans & (center <= middle), ~spans & (center > middle)
+    between = F.min(F.when(on_right, F.col("left"))).over(w) - F.max(F.when(on_left, F.col("right"))).over(w)
+    two = (F.count_if(on_left).over(w) >= 4) & (F.count_if(on_right).over(w) >= 4) & (between > F.col("width") * gap) & (F.col("width") > 0)
+    near_top = F.col("top") <= F.min(F.when(~spans, F.col("top"))).over(w) + F.greatest(F.lit(20.0), F.coalesce(F.col("height"), F.lit(0.0)) * 0.03)
+    section = F.when(~F.coalesce(two, F.lit(False)), 0).when(on_left, 1).when(on_right, 2).when(near_top, 0).otherwise(3)
     order = Window.partitionBy("page").orderBy("_section", "top", "left")
     return lines.withColumn("_section", section).withColumn("position", F.row_number().over(order)).drop("_section")
 
 
 def row_clusters(lines: DataFrame) -> DataFrame:
-    """page, center, height, left, text in; adds row: a line joins the row whose mean centre is within 0.6 of its mean
-    height (at least 8), lines taken from top to bottom. A fold over the lines of one page."""
+    """page, top, bottom, left and text in; adds row, from 1.
+
+    Lines go by top and left. A line joins the last row if its centre is no further from the mean of the row's centres
+    than 0.6 of the mean height of the row with it, or 8. A fold over one page, as each row's mean decides on the next line.
+    """
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["center", "left"], kind="stable").reset_index(drop=True)
-        rows, centers, heights = [], [], []
-        for c, h in zip(page["center"], page["height"], strict=True):
-            if not rows or abs(c - sum(centers) / len(centers)) > max(8.0, 0.6 * sum(heights) / len(heights)):
-                rows.append(rows[-1] + 1 if rows else 1)
-                centers, heights = [c], [h]
-            else:
-                rows.append(rows[-1])
-                centers.append(c)
-                heights.append(h)
-        return page.assign(row=rows)
-
-    from pyspark.sql import types as T
+        page = page.sort_values(["top", "left"], kind="stable").reset_index(drop=True)
+        center, height = (page["top"] + page["bottom"]) / 2, (page["bottom"] - page["top"]).clip(lower=1.0)
+        starts = [0]
+        for i in range(1, len(page)):
+            held = slice(starts[-1], i)
+            if abs(center[i] - center[held].mean()) > max(8.0, 0.6 * height[starts[-1] : i + 1].mean()):
+                starts.append(i)
+        return page.assign(row=pd.Series(range(len(page))).map(lambda i: sum(s <= i for s in starts)).astype("int32"))
 
     return lines.groupBy("page").applyInPandas(fold, T.StructType([*lines.schema.fields, T.StructField("row", T.IntegerType())]))
+
+
+def row_texts(rows: DataFrame) -> DataFrame:
+    """page, row and text: the texts of each row of `row_clusters` from left to right, blank ones left out."""
+    said = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("left", "top", "text"))))
+    return rows.groupBy("page", "row").agg(F.btrim(F.array_join(F.transform(said, lambda x: x["text"]), " ")).alias("text")).filter("text <> ''")

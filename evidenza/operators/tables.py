@@ -18,9 +18,14 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows, and old rows whose key is not among them."""
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+def one_each(new: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """One new row a key: the first in order; without an order any one, so that no key comes out twice."""
+    return first_by(new, keys, order) if order else new.dropDuplicates(keys)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """New rows, and old rows whose key is not among them. Of new rows that repeat a key, the first in `order`."""
+    return one_each(new, keys, order).unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
 def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -31,8 +36,9 @@ def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: lis
     return old.withColumn("_old", F.lit(True)).join(renamed, keys, "full").select(*keys, *[pick(c) for c in rest])
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Old rows, and new rows of other keys, one a key: the first in `order`."""
+    return old.unionByName(one_each(new, keys, order).join(old.select(*keys), keys, "left_anti"))
 
 
 def deleted(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -449,17 +449,17 @@ def box_percent(spark, sf_dir):
 @query()
 def reading_order(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("left"), F.col("l_linenumber").cast("double").alias("top"), (F.col("l_quantity") + 5).alias("right"), F.lit(100.0).alias("width")
+        F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("left"), F.col("l_linenumber").cast("double").alias("top"), (F.col("l_quantity") + 5).alias("right"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height")
     )
     return chunking.reading_order(x).select("page", "top", "left", "position")
 
 
 @query("""
-SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*[0-9]*\\s*$')), chr(10)) = text AS is_clean,
+SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> '' AND NOT regexp_matches(x, '^[-–—]?\\s*[0-9]+\\s*[-–—]?$')), chr(10)) = text AS is_clean,
   len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 3 AND regexp_matches(x, '[0-9]'))) AS n_candidates FROM documents""")
 def line_filters(spark, sf_dir):
     lines = F.split("text", "\n", -1)
-    effective = F.array_join(F.filter(lines, lambda x: ~x.rlike("^\\s*[0-9]*\\s*$")), "\n")
+    effective = F.array_join(F.filter(lines, text.effective_line), "\n")
     found = F.size(F.filter(lines, lambda x: health.candidate_line(F.btrim(x)))).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", (effective == F.col("text")).alias("is_clean"), found.alias("n_candidates"))
 

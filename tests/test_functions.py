@@ -13,7 +13,7 @@ def values(spark, column, *rows):
     return [r[0] for r in spark.createDataFrame([(x,) for x in rows], "c string").select(column(F.col("c"))).collect()]
 
 
-def test_golden_lines():
+def test_golden_lines(spark):
     # The lines and what they parse to.
     cases = {
         "WBC 6.28 10^9/L 3.5-9.5": ("白细胞计数", 6.28, "10^9/L", 3.5, 9.5, "normal"),
@@ -22,9 +22,18 @@ def test_golden_lines():
         "3. ALT <5 U/L 0-40": ("丙氨酸氨基转移酶", 5.0, "U/L", 0.0, 40.0, "low"),
         "Name 4.5": ("Name", 4.5, "", None, None, "unknown"),
     }
-    for line, want in cases.items():
-        assert tuple(health.parsed_line(line).values()) == want
-    assert health.parsed_line("no number") is None
+    cases |= {
+        "2. TC 4.1 mmol/L 0-5.2 3.1-5.7": ("总胆固醇", 4.1, "mmol/L 0-5.2", 3.1, 5.7, "normal"),
+        "PLT >300 10^9/L 100-300": ("血小板计数", 300.0, "10^9/L", 100.0, 300.0, "high"),
+        "X 10^9 7 u": ("X 10^", 9.0, "7 u", None, None, "unknown"),
+        "UA: 350 H umol/L 200~420": ("尿酸", 350.0, "umol/L", 200.0, 420.0, "normal"),
+        "Item 5 " + "u" * 25: ("Item", 5.0, "", None, None, "unknown"),
+        "no number": None,
+        "12 3.5-9.5": None,
+    }
+    got = values(spark, health.parse_line, *cases)
+    assert [x and tuple(x) for x in got] == list(cases.values())
+    assert values(spark, health.metadata_name, "电 话", "WBC") == [True, False]
 
 
 def test_cleaning_and_identity(spark):
@@ -62,13 +71,85 @@ def test_chunks_cover_and_fit(spark):
     assert [r.content for r in got if r.page == 2] == ["T\nshort"] and not [r for r in got if r.page == 3]
 
 
+def plain_chunks(text, title):
+    """The rules of chunking, letter by letter, for a text of clean lines without sentence marks."""
+    used = len(title) + 1 if title else 0
+    most = 800 - used if used < 800 else 800
+    target, overlap = min(600, most), min(100, most - 1)
+    if len(text) <= most:
+        return [text]
+    parts = [x for line in text.split("\n") for i in range(0, len(line), most) if (x := line[i : i + most].strip())]
+    done, held, fresh = [], "", False
+    for i, part in enumerate(parts):
+        if held and len(held) + 1 + len(part) > most:
+            if fresh:
+                done.append(held)
+            room = min(overlap, most - len(part) - 1)
+            held = held[-room:].strip() if room > 0 else ""
+        held, fresh = f"{held}\n{part}".strip(), True
+        if len(held) >= target:
+            done.append(held)
+            held, fresh = held[-overlap:].strip() if overlap else "", False
+    return list(dict.fromkeys(done + [held] * fresh))
+
+
+def test_chunks_equal_plain_rules(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(n, "T" * n, "\n".join("".join(r.choice("abcdef ") for _ in range(r.choice((3, 60, 300, 790, 1500)))).strip() or "x" for _ in range(12))) for n in (0, 1, 50, 300, 798, 799, 800, 900) for _ in range(4)]
+    pages = [("d", i, t, "\n".join(" ".join(line.split()) for line in x.split("\n"))) for i, (_, t, x) in enumerate(rows)]
+    got = {}
+    for c in chunking.chunked(spark.createDataFrame(pages, "document_id string, page int, title string, text string")).collect():
+        got.setdefault(c.page, {})[c.chunk_index] = c.content
+    for _, i, t, x in pages:
+        assert [got[i][j] for j in sorted(got[i])] == [f"{t}\n{w}" if t else w for w in plain_chunks(x, t)], (i, len(t))
+
+
 def test_two_columns_and_rows(spark):
-    lines = [(1, float(x), float(t), x + 30.0, t + 8.0, 100.0) for x in (5, 60) for t in (10, 20, 30, 40)] + [(1, 0.0, 0.0, 100.0, 8.0, 100.0)]
-    df = spark.createDataFrame(lines, "page int, left double, top double, right double, bottom double, width double")
-    got = [(r.left, r.top) for r in chunking.reading_order(df).orderBy("position").collect()]
-    assert got == [(0.0, 0.0), *[(5.0, t) for t in (10.0, 20.0, 30.0, 40.0)], *[(60.0, t) for t in (10.0, 20.0, 30.0, 40.0)]]
-    boxes = spark.createDataFrame([(1, 10.0, 10.0, 0.0), (1, 14.0, 10.0, 9.0), (1, 30.0, 10.0, 0.0)], "page int, center double, height double, left double")
-    assert sorted((r.center, r.row) for r in chunking.row_clusters(boxes).collect()) == [(10.0, 1), (14.0, 1), (30.0, 2)]
+    columns = [(1, float(x), float(t), x + 30.0, t + 8.0) for x in (5, 60) for t in (110, 120, 130, 140)]
+    # One spanning line at the top, one below the columns, and a wide line that doesn't cross the middle.
+    spanning = [(1, 0.0, 100.0, 100.0, 108.0), (1, 10.0, 300.0, 90.0, 308.0), (1, 1.0, 150.0, 49.0, 158.0)]
+    plain = [(2, 50.0, 5.0, 60.0, 9.0), (2, 1.0, 5.0, 9.0, 9.0), (2, 1.0, 1.0, 9.0, 3.0)]
+    schema = "page int, left double, top double, right double, bottom double"
+    df = spark.createDataFrame(columns + spanning + plain, schema).withColumns({"width": F.when(F.col("page") == 1, 100.0).otherwise(0.0), "height": F.lit(400.0)})
+    got = [(r.page, r.left, r.top) for r in chunking.reading_order(df).orderBy("page", "position").collect()]
+    want = [(0.0, 100.0), *[(5.0, t) for t in (110.0, 120.0, 130.0, 140.0)], (1.0, 150.0), *[(60.0, t) for t in (110.0, 120.0, 130.0, 140.0)], (10.0, 300.0)]
+    assert got == [(1, *x) for x in want] + [(2, 1.0, 1.0), (2, 1.0, 5.0), (2, 50.0, 5.0)]
+    boxes = spark.createDataFrame([(1, 0.0, 20.0, 9.0, "b"), (1, 4.0, 24.0, 0.0, "a"), (1, 13.0, 33.0, 5.0, "c"), (1, 40.0, 42.0, 0.0, "d")], "page int, top double, bottom double, left double, text string")
+    rows = chunking.row_clusters(boxes)
+    # The mean centre is 12 after two lines; the third lies 11 away, within 0.6 of a mean height of 20.
+    assert sorted((r.top, r.row) for r in rows.collect()) == [(0.0, 1), (4.0, 1), (13.0, 1), (40.0, 2)]
+    assert sorted((r.row, r.text) for r in chunking.row_texts(rows).collect()) == [(1, "a c b"), (2, "d")]
+
+
+def test_scan_lines_and_page_text(spark):
+    assert values(spark, text.effective_line, "- 12 -", "—7", "12", "", "a 12") == [False, False, False, False, True]
+    assert values(spark, text.clean_scan, "中\u1680文\ufeff a\u205fb\nc ") == ["中文 a b\nc"]
+    assert values(spark, text.clean_body, "a\ra\n- 3 -\na\nb \nb\na") == ["a\nb\na"]
+    assert values(spark, text.picked_title, "x\n12\nTitle here\nmore") == ["Title here"]
+    page = spark.createDataFrame([("T", "T\nbody", " ", "fig", "s"), (" ", "", None, "", "PDF第4页\nfound")], "title string, body string, tab string, fig string, search string")
+    title = text.section_title(F.col("title"), F.lit(4))
+    got = [r[0] for r in page.select(text.page_text(title, *[F.col(c) for c in ("body", "tab", "fig", "search")])).collect()]
+    assert got == ["body\n\nfig", "found"]
+    assert [r[0] for r in page.select(text.page_tags(F.lit(4), F.lit("m"), F.nullif(F.col("title"), F.lit(" ")))).collect()] == [["source:msd", "pdf_page:4", "model:m", "printed_page:T"], ["source:msd", "pdf_page:4", "model:m"]]
+
+
+def test_upserts_keep_one_row_a_key(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (3, "w")], "k int, v string")
+    assert sorted(tuple(r) for r in tables.upsert(old, new, ["k"], [F.desc("v")]).collect()) == [(1, "a"), (2, "y"), (3, "z")]
+    assert sorted(tuple(r) for r in tables.insert_absent(old, new, ["k"], [F.col("v")]).collect()) == [(1, "a"), (2, "b"), (3, "w")]
+    assert tables.upsert(old, new, ["k"]).count() == 3
+
+
+def test_lenient_lines(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n[1]\n3\n{"k": 2}\n')
+    assert sorted(r.k for r in files.jsonl_lenient(spark, str(tmp_path / "a.jsonl"), "k int").collect()) == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"k": 1}\n{"k"\n')
+    with pytest.raises(Exception, match="not JSON"):
+        files.jsonl_lenient(spark, str(tmp_path / "b.jsonl"), "k int").collect()
 
 
 def test_red_flags_and_policy(spark):
