@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import top_by
 
+# Words of a question that no search uses.
 STOPWORDS = ("有", "有哪些", "哪些", "什么", "是什么", "怎么", "如何", "请问", "一下", "常见", "相关", "可能", "一般", "主要", "表现")
 #: A batch of questions is broadcast to the rows it searches; more than this many go in several batches.
 QUESTIONS = 10_000
@@ -48,12 +53,49 @@ def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH) ->
     return top_by(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH) -> DataFrame:
-    """question_id, chunk_id, score, rank by cosine of unit vectors; columns question_id and vector, chunk_id and vector."""
-    asked = bounded(questions.select("question_id", F.col("vector").alias("_q")))
-    dot = F.aggregate(F.zip_with("_q", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    found = vectors.join(asked).select("question_id", "chunk_id", F.round(dot, 6).alias("score"))
-    return top_by(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
+def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
+    """question_id, chunk_id, score, rank by cosine of unit vectors; columns question_id and vector, chunk_id and vector.
+
+    Questions go in batches of at most about `batch`, each as one matrix that every task multiplies its vectors with; a
+    task keeps k for each question. A question vector that is null, empty, of zero length or not finite is an error, as
+    is one of another width than the vectors. Vectors that are null take no part.
+    """
+    asked = questions.select("question_id", F.col("vector").cast("array<double>").alias("_q"))
+    good = F.coalesce((F.size("_q") > 0) & ~F.exists("_q", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_q", lambda x: x != 0), F.lit(False))
+    asked = asked.withColumn("_q", F.when(good, F.col("_q")).otherwise(F.raise_error(F.lit("a question vector must be finite and not zero"))))
+    rows = vectors.select("chunk_id", "vector").filter("vector IS NOT NULL")
+    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    parts, found = max(1, -(-questions.count() // batch)), None
+    for part in range(parts):
+        held = asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).toPandas()
+        if held.empty:
+            continue
+        one = rows.mapInPandas(nearest(held["question_id"].to_numpy(), np.stack(held["_q"].to_numpy()), k), schema)
+        found = one if found is None else found.unionByName(one)
+    found = vectors.sparkSession.createDataFrame([], schema) if found is None else found
+    return top_by(found.withColumn("score", F.round("score", 6)), ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """A function of a task's batches to the k best of its vectors for every question, by score to six places, then id."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            # About a million scores at a time, however many questions there are.
+            step = max(1, (1 << 20) // len(ids))
+            for lo in range(0, len(batch), step):
+                rows = batch.iloc[lo : lo + step]
+                score = np.stack(rows["vector"].to_numpy()).astype(float) @ matrix.T
+                new = pd.DataFrame({"q": np.tile(np.arange(len(ids)), len(rows)), "chunk_id": np.repeat(rows["chunk_id"].to_numpy(), len(ids)), "score": score.ravel()})
+                if best is not None:
+                    new = pd.concat([best, new])
+                new["_r"] = new["score"].round(6)
+                best = new.sort_values(["q", "_r", "chunk_id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        if best is not None:
+            yield pd.DataFrame({"question_id": ids[best["q"].to_numpy()], "chunk_id": best["chunk_id"], "score": best["score"]})
+
+    return search
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, k: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, text
-from ..operators import chunking, dialogue, retrieval, tables
+from ..operators import chunking, dialogue, profile, retrieval, tables
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -393,9 +393,24 @@ WITH {PROFILE} SELECT c_custkey, array_to_string(list_sort([
   CASE WHEN bmi < 18.5 THEN 'bmi_underweight' WHEN bmi < 24 THEN 'bmi_normal' WHEN bmi < 28 THEN 'bmi_overweight' ELSE 'bmi_obesity' END,
   'sex_' || sex, 'smoking_never', 'condition_' || lower(c_mktsegment)]), ',') AS tags FROM a""")
 def profile_tags(spark, sf_dir):
+    return profiles(spark, sf_dir).select("c_custkey", F.concat_ws(",", health.profile_tags(as_of())).alias("tags"))
+
+
+@query()
+def profile_keywords(spark, sf_dir):
+    rows = profiles(spark, sf_dir)
+    return profile.profile_keywords(rows.withColumn("tags", health.profile_tags(as_of())), "c_custkey")
+
+
+def as_of():
+    return F.lit("2025-06-30").cast("date")
+
+
+def profiles(spark, sf_dir):
+    """Customers as profiles."""
     k = F.col("c_custkey")
     none = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         k,
         F.format_string("%04d-%02d-%02d", 1930 + k % 95, 1 + k % 12, 1 + k % 28).alias("birth_date"),
         F.when(k % 2 == 0, "female").otherwise("male").alias("sex_at_birth"),
@@ -403,7 +418,6 @@ def profile_tags(spark, sf_dir):
         F.lit("never").alias("smoking_status"), *[F.lit("unknown").alias(c) for c in ("alcohol_use", "exercise_level", "sleep_quality", "diet_pattern")],
         F.array("c_mktsegment").alias("chronic_conditions"), *[none.alias(c) for c in ("allergies", "current_medications", "family_history", "recent_symptoms")],
     )
-    return rows.select("c_custkey", F.concat_ws(",", health.profile_tags(F.lit("2025-06-30").cast("date"))).alias("tags"))
 
 
 @query("""

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidenza.functions import health, text
-from evidenza.operators import chunking, dialogue, tables
+from evidenza.operators import chunking, dialogue, profile, retrieval, tables
 from evidenza.sources import files
 from evidenza.streaming.ingest import page_stream, upsert_stream
 
@@ -187,3 +187,40 @@ def test_stream_upsert(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/v1"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (5, 9), (6, 9)]
+
+
+def test_profile_keywords(spark):
+    none = []
+    rows = [
+        (1, ["age_adult", "smoking_current", "bmi_obesity", "x"], ["慢性 过敏性鼻炎", "糖尿病"], ["青霉素"], ["unknown", None, " "], none, ["头痛、发热", "头痛"], "current", "none", None, "good", "x"),
+        (2, None, None, none, none, none, none, None, None, None, None, None),
+    ]
+    fields = ["chronic_conditions", "allergies", "current_medications", "family_history", "recent_symptoms"]
+    schema = "k int, tags array<string>, " + ", ".join(f"{f} array<string>" for f in fields) + ", " + ", ".join(f"{f} string" for f in profile.HABITS)
+    got = [tuple(r) for r in profile.profile_keywords(spark.createDataFrame(rows, schema), "k").orderBy("rank").collect()]
+    want = [
+        ("慢性 过敏性鼻炎", "condition", 2.2), ("糖尿病", "condition", 2.2), ("头痛", "symptom", 2.1), ("头痛、发热", "symptom", 2.1), ("青霉素", "allergy", 1.8),
+        ("不饮酒", "lifestyle", 1.3), ("当前吸烟", "lifestyle", 1.3), ("睡眠良好", "lifestyle", 1.3), ("成人", "demographic", 1.1), ("肥胖", "derived", 1.0),
+    ]
+    assert [(k, c, s) for _, _, k, c, s, _ in got] == want and [r[1] for r in got] == list(range(1, 11))
+    assert {r[2]: r[5] for r in got}["当前吸烟"] == "profile_tags"
+
+
+def test_vector_search_in_batches(spark):
+    import numpy as np
+    import pytest
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, v[5].tolist())], "chunk_id long, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(20)], "question_id long, vector array<double>")
+    for batch in (1000, 7):
+        got = {}
+        for r in retrieval.vector_search(asked, vectors, 4, batch).collect():
+            got.setdefault(r.question_id, {})[r.rank] = r.chunk_id
+        for q in range(20):
+            ids = sorted([*range(300), 301], key=lambda i: (-round(float(v[5 if i == 301 else i] @ v[q]), 6), i))[:4]
+            assert [got[q][n] for n in (1, 2, 3, 4)] == ids
+    with pytest.raises(Exception, match="finite and not zero"):
+        retrieval.vector_search(spark.createDataFrame([(1, [0.0] * 6)], "question_id long, vector array<double>"), vectors).collect()
