@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from .tables import top_by
 
 # Words of a question that no search uses.
 STOPWORDS = ("有", "有哪些", "哪些", "什么", "是什么", "怎么", "如何", "请问", "一下", "常见", "相关", "可能", "一般", "主要", "表现")
-#: A batch of questions is broadcast to the rows it searches; more than this many go in several batches.
+#: A batch of questions goes to every task that searches; more than this many go in several batches.
 QUESTIONS = 10_000
 BRANCH = 50
 RRF_K, LEXICAL_WEIGHT = 60, 1.5
@@ -32,27 +33,110 @@ def fallback_terms(question: Column) -> Column:
     return F.concat(words, F.filter(runs, lambda r: ~F.array_contains(words, r)))
 
 
-def bounded(questions: DataFrame, most: int = QUESTIONS) -> DataFrame:
-    """The questions, broadcast, after a check that they are a batch."""
-    n = questions.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} questions: search in several batches")
-    return F.broadcast(questions)
+def in_batches(asked: DataFrame, batch: int) -> Iterator[pd.DataFrame]:
+    """The questions in batches of about `batch` by hash of their id, one at a time on the driver."""
+    parts = max(1, -(-asked.count() // batch))
+    for part in range(parts):
+        held = asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).toPandas()
+        if len(held):
+            yield held
 
 
-def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH) -> DataFrame:
-    """question_id, chunk_id, score, rank: per term 8 in the title, 9 in the section, 3 in the content; ties by id.
+def best_of_all(asked: DataFrame, rows: DataFrame, scorer, k: int, batch: int, score: str = "double") -> DataFrame:
+    """question_id, chunk_id, score, rank: the k best rows for each question, by score to six places, then id.
 
-    questions: question_id, question. chunks: chunk_id, title, section, content. Terms match anywhere, in any case.
+    scorer(batch of questions) gives a function of a batch of rows to its scores, a row for each row and a column for each
+    question (nan: no hit). Each batch of questions goes to all tasks; a task keeps k for each question.
     """
-    asked = bounded(questions.select("question_id", lexical_terms(F.col("question")).alias("_terms")))
-    rows = chunks.select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("title", "section", "content")])
-    hit = lambda c, w, t: F.when(F.contains(F.col(c), t), w).otherwise(0)
-    score = F.aggregate("_terms", F.lit(0), lambda a, t: a + hit("_title", 8, t) + hit("_section", 9, t) + hit("_content", 3, t))
-    found = rows.join(asked).select("question_id", "chunk_id", score.alias("score")).filter("score > 0")
+    schema = f"question_id {asked.schema['question_id'].dataType.simpleString()}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score {score}"
+    found = None
+    for held in in_batches(asked, batch):
+        one = rows.mapInPandas(nearest(held["question_id"].to_numpy(), scorer(held), k), schema)
+        found = one if found is None else found.unionByName(one)
+    found = rows.sparkSession.createDataFrame([], schema) if found is None else found
+    found = found if score != "double" else found.withColumn("score", F.round("score", 6))
     return top_by(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+def nearest(ids: np.ndarray, scores, k: int):
+    """A function of a task's batches of rows to the k best of them for every question."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # About a million scores at a time, however many questions there are.
+        step, held, best = max(1, (1 << 20) // len(ids)), None, None
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                rows = batch.iloc[lo : lo + step]
+                new, key = scores(rows), np.repeat(rows["chunk_id"].to_numpy()[:, None], len(ids), axis=1)
+                if best is not None:
+                    key, new = np.vstack([held, key]), np.vstack([best, new])
+                order = np.argsort(key, axis=0, kind="stable")
+                worth = np.take_along_axis(new, order, axis=0).round(6)
+                order = np.take_along_axis(order, np.argsort(-worth, axis=0, kind="stable")[:k], axis=0)
+                held, best = np.take_along_axis(key, order, axis=0), np.take_along_axis(new, order, axis=0)
+        if best is not None:
+            place, question = np.nonzero(~np.isnan(best))
+            yield pd.DataFrame({"question_id": ids[question], "chunk_id": held[place, question], "score": best[place, question]})
+
+    return search
+
+
+def phrase_scores(phrases: list, weights: list[tuple[str, float]], tags: list | None = None):
+    """Scores by phrases that stand anywhere in a column of text.
+
+    phrases: for each question pairs (phrase, factor), repeats counted. weights: text columns and what a phrase in each is
+    worth, times its factor. tags: for each question tags, 0.5 for each that is among the row's `chunk_tags`. All phrases
+    form one automaton, so a text is read once for all questions. Scores of 0 are no hits.
+    """
+    held: dict[str, list] = {}
+    for i, pairs in enumerate(phrases):
+        for phrase, factor in pairs:
+            held.setdefault(phrase, []).append((i, factor))
+    posts = {p: (np.array([i for i, _ in found]), np.array([f for _, f in found], dtype=float)) for p, found in held.items()}
+    own = [set(t) if t is not None else set() for t in tags] if tags is not None else None
+    kinds = {t: np.array([t in o for o in own], dtype=float) * 0.5 for t in set().union(*own)} if own else {}
+    n, machine = len(phrases), []
+
+    def matcher():
+        if not machine:
+            words = ahocorasick.Automaton()
+            for phrase in posts:
+                if phrase:
+                    words.add_word(phrase, phrase)
+            if len(words):
+                words.make_automaton()
+            machine.append(words)
+        return machine[0]
+
+    def scores(rows: pd.DataFrame) -> np.ndarray:
+        words, out = matcher(), np.zeros((len(rows), n))
+        always = {""} & posts.keys()
+        for column, weight in weights:
+            for i, hay in enumerate(rows[column]):
+                for phrase in always | ({p for _, p in words.iter(hay)} if len(words) else set()):
+                    to, factor = posts[phrase]
+                    np.add.at(out[i], to, factor * weight)
+        if kinds:
+            for i, found in enumerate(rows["chunk_tags"]):
+                for tag in set(found if found is not None else ()) & kinds.keys():
+                    out[i] += kinds[tag]
+        return np.where(out > 0, out, np.nan)
+
+    return scores
+
+
+def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
+    """question_id, chunk_id, score, rank: per term 8 in the title, 9 in the section, 3 in the content; ties by id.
+
+    questions: question_id, question. chunks: chunk_id, title, section, content. Terms match anywhere, in any case. A null
+    question has no hits, a null column holds no term.
+    """
+    asked = questions.select("question_id", F.coalesce(lexical_terms(F.col("question")), F.array()).alias("terms"))
+    rows = chunks.select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "section", "content")])
+    scorer = lambda held: phrase_scores([[(t, 1.0) for t in terms] for terms in held["terms"]], [("title", 8), ("section", 9), ("content", 3)])
+    return best_of_all(asked, rows, scorer, k, batch, "int")
+
+
 def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
     """question_id, chunk_id, score, rank by cosine of unit vectors; columns question_id and vector, chunk_id and vector.
 
@@ -64,38 +148,12 @@ def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH, bat
     good = F.coalesce((F.size("_q") > 0) & ~F.exists("_q", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_q", lambda x: x != 0), F.lit(False))
     asked = asked.withColumn("_q", F.when(good, F.col("_q")).otherwise(F.raise_error(F.lit("a question vector must be finite and not zero"))))
     rows = vectors.select("chunk_id", "vector").filter("vector IS NOT NULL")
-    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    parts, found = max(1, -(-questions.count() // batch)), None
-    for part in range(parts):
-        held = asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).toPandas()
-        if held.empty:
-            continue
-        one = rows.mapInPandas(nearest(held["question_id"].to_numpy(), np.stack(held["_q"].to_numpy()), k), schema)
-        found = one if found is None else found.unionByName(one)
-    found = vectors.sparkSession.createDataFrame([], schema) if found is None else found
-    return top_by(found.withColumn("score", F.round("score", 6)), ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
 
+    def scorer(held: pd.DataFrame):
+        matrix = np.stack(held["_q"].to_numpy())
+        return lambda batch: np.stack(batch["vector"].to_numpy()).astype(float) @ matrix.T
 
-def nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """A function of a task's batches to the k best of its vectors for every question, by score to six places, then id."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            # About a million scores at a time, however many questions there are.
-            step = max(1, (1 << 20) // len(ids))
-            for lo in range(0, len(batch), step):
-                rows = batch.iloc[lo : lo + step]
-                score = np.stack(rows["vector"].to_numpy()).astype(float) @ matrix.T
-                new = pd.DataFrame({"q": np.tile(np.arange(len(ids)), len(rows)), "chunk_id": np.repeat(rows["chunk_id"].to_numpy(), len(ids)), "score": score.ravel()})
-                if best is not None:
-                    new = pd.concat([best, new])
-                new["_r"] = new["score"].round(6)
-                best = new.sort_values(["q", "_r", "chunk_id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
-        if best is not None:
-            yield pd.DataFrame({"question_id": ids[best["q"].to_numpy()], "chunk_id": best["chunk_id"], "score": best["score"]})
-
-    return search
+    return best_of_all(asked, rows, scorer, k, batch)
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, k: int | None = None) -> DataFrame:
@@ -123,13 +181,19 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     return top_by(rows, ["question_id"], [F.desc("score"), F.col("semantic_rank"), F.col("lexical_rank"), F.col("chunk_id")], k)
 
 
-def fallback_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """4 for the whole question in title, section, category, content and tags; 2 a term; 0.5 a shared tag; above 0 only."""
-    asked = bounded(questions.select("question_id", F.lower("question").alias("_q"), fallback_terms(F.col("question")).alias("_terms"), "tags"))
+def fallback_search(questions: DataFrame, chunks: DataFrame, k: int, batch: int = QUESTIONS) -> DataFrame:
+    """4 for the whole question in title, section, category, content and tags; 2 a term; 0.5 a shared tag; above 0 only.
+
+    questions: question_id, question, tags. chunks: chunk_id, title, section, category, content, chunk_tags. A null question
+    or null tags have no part in a score.
+    """
+    terms = F.coalesce(fallback_terms(F.col("question")), F.array())
+    asked = questions.select("question_id", F.lower("question").alias("whole"), terms.alias("terms"), "tags")
     hay = F.lower(F.concat_ws(" ", "title", "section", "category", "content", F.concat_ws(" ", "chunk_tags")))
-    rows = chunks.select("chunk_id", hay.alias("_hay"), "chunk_tags")
-    score = F.when(F.contains(F.col("_hay"), F.col("_q")), 4.0).otherwise(0.0)
-    score = score + F.aggregate("_terms", F.lit(0.0), lambda a, t: a + F.when(F.contains(F.col("_hay"), t), 2.0).otherwise(0.0))
-    score = score + F.size(F.array_intersect("tags", "chunk_tags")) * 0.5
-    found = rows.join(asked).select("question_id", "chunk_id", score.alias("score")).filter("score > 0")
-    return top_by(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
+    rows = chunks.select("chunk_id", hay.alias("hay"), "chunk_tags")
+
+    def scorer(held: pd.DataFrame):
+        whole = [[(w, 4.0)] if isinstance(w, str) else [] for w in held["whole"]]
+        return phrase_scores([w + [(t, 2.0) for t in terms] for w, terms in zip(whole, held["terms"])], [("hay", 1.0)], list(held["tags"]))
+
+    return best_of_all(asked, rows, scorer, k, batch)

@@ -36,11 +36,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-def cut_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions as TERMS has them: their first 120 characters."""
-    return questions(spark, sf_dir).withColumn("question", F.substring("question", 1, 120))
-
-
 BLANKS = "[ \\t\\x{00a0}\\x{3000}]+"
 
 
@@ -78,7 +73,7 @@ def page_chunks(spark, sf_dir):
 
 
 TERMS = """
-q AS (SELECT item_id AS question_id, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 120)), '[\\s,，。！？；;、.!?]+'), lambda w: length(w) >= 2)) AS terms FROM benchmark)"""
+q AS (SELECT item_id AS question_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s,，。！？；;、.!?]+'), lambda w: length(w) >= 2)) AS terms FROM benchmark)"""
 
 
 @query(f"""
@@ -90,7 +85,7 @@ s AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 50""")
 def lexical_topk(spark, sf_dir):
-    return retrieval.lexical_search(cut_questions(spark, sf_dir), chunks(spark, sf_dir))
+    return retrieval.lexical_search(questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def vectors(spark, sf_dir):
@@ -113,13 +108,7 @@ s AS (
 )"""
 
 
-@query(f"WITH {KNN} SELECT * FROM semantic")
-def vector_topk(spark, sf_dir):
-    return retrieval.vector_search(asked_vectors(spark, sf_dir), vectors(spark, sf_dir))
-
-
-@query(f"""
-WITH {TERMS}, {KNN},
+FUSED = """
 ls AS (
   SELECT question_id, doc_id AS chunk_id, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(source), t) THEN 8 ELSE 0 END
     + CASE WHEN contains(lower(lang), t) THEN 9 ELSE 0 END + CASE WHEN contains(lower(text), t) THEN 3 ELSE 0 END)) AS INTEGER) AS score
@@ -131,23 +120,47 @@ ls AS (
          coalesce(a.rank, 10000) AS semantic_rank, coalesce(b.rank, 10000) AS lexical_rank,
          CASE WHEN a.rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / (60 + a.rank) END + CASE WHEN b.rank IS NULL THEN 0.0::DOUBLE ELSE 1.5::DOUBLE / (60 + b.rank) END AS score
   FROM semantic a FULL JOIN lexical b ON a.question_id = b.question_id AND a.chunk_id = b.chunk_id
-), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, semantic_rank, lexical_rank, chunk_id) AS INTEGER) AS rank FROM f)
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, semantic_rank, lexical_rank, chunk_id) AS INTEGER) AS rank FROM f)"""
+
+
+@query(f"WITH {KNN} SELECT * FROM semantic")
+def vector_topk(spark, sf_dir):
+    return retrieval.vector_search(asked_vectors(spark, sf_dir), vectors(spark, sf_dir))
+
+
+@query(f"""
+WITH {TERMS}, {KNN}, {FUSED}
 SELECT question_id, chunk_id, semantic_rank, lexical_rank, round(score, 9) AS score, rank FROM o WHERE rank <= 20""")
 def rank_fusion(spark, sf_dir):
     semantic = retrieval.vector_search(asked_vectors(spark, sf_dir), vectors(spark, sf_dir))
-    lexical = retrieval.lexical_search(cut_questions(spark, sf_dir), chunks(spark, sf_dir))
+    lexical = retrieval.lexical_search(questions(spark, sf_dir), chunks(spark, sf_dir))
     return retrieval.fused(semantic, lexical, 20).withColumn("score", F.round("score", 9))
 
 
-@query()
+HELD = KNN.replace(", embeddings e", ", (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e")
+
+
+@query(f"""
+WITH {TERMS.replace("FROM benchmark", "FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)")}, {HELD}, {FUSED}
+SELECT question_id, chunk_id, semantic_rank, lexical_rank, round(score, 9) AS score, source AS title, lang AS section, lang AS category, text AS content, rank
+FROM o JOIN documents ON doc_id = chunk_id WHERE rank <= 10""")
 def hybrid_topk(spark, sf_dir):
     own = chunks(spark, sf_dir)
     held = vectors(spark, sf_dir).join(own.select("chunk_id"), "chunk_id", "left_semi")
     q = questions(spark, sf_dir).join(asked_vectors(spark, sf_dir), "question_id")
-    return retrieval.hybrid_search(q, own, held, 10)
+    return retrieval.hybrid_search(q, own, held, 10).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query("""
+WITH w AS (SELECT item_id AS question_id, lower(text) AS q,
+    list_transform(list_filter(regexp_split_to_array(text, '[\\s,，。！？；;、]+'), lambda x: length(trim(x)) >= 2), lambda x: lower(x)) AS words,
+    list_distinct(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]{2,}')) AS runs FROM benchmark),
+t AS (SELECT question_id, q, list_concat(words, list_filter(runs, lambda r: NOT list_contains(words, r))) AS terms FROM w),
+h AS (SELECT doc_id AS chunk_id, lower(concat_ws(' ', source, lang, lang, text, lang)) AS hay, lang FROM documents),
+s AS (SELECT question_id, chunk_id, CASE WHEN contains(hay, q) THEN 4.0::DOUBLE ELSE 0 END
+    + coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(hay, t) THEN 2.0::DOUBLE ELSE 0 END)), 0) + CASE WHEN lang = 'en' THEN 0.5::DOUBLE ELSE 0 END AS score FROM t, h),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 5""")
 def fallback_topk(spark, sf_dir):
     q = questions(spark, sf_dir).withColumn("tags", F.array(F.lit("en")))
     c = chunks(spark, sf_dir).withColumn("chunk_tags", F.array("category"))
@@ -298,12 +311,13 @@ def vector_expectations(spark, sf_dir):
 
 
 def halves(spark, sf_dir):
+    """Orders as an old and a new table that share some keys; each order is in one of them at least."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("U"), "o_totalprice": F.col("o_totalprice") + 1})
+    return o.filter("o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1"), o.filter("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("U"), "o_totalprice": F.col("o_totalprice") + 1})
 
 
 HALVES = """
-o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0),
+o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1),
 b AS (SELECT o_orderkey, 'U' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderpriority FROM o WHERE o_orderkey % 2 = 0)"""
 
 
