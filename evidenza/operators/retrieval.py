@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import top_by
 
@@ -125,6 +126,11 @@ def phrase_scores(phrases: list, weights: list[tuple[str, float]], tags: list |
     return scores
 
 
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunks that may be found: all without a column `searchable`, else those in which it is true."""
+    return chunks.filter(F.col("searchable")) if "searchable" in chunks.columns else chunks
+
+
 def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
     """question_id, chunk_id, score, rank: per term 8 in the title, 9 in the section, 3 in the content; ties by id.
 
@@ -132,7 +138,7 @@ def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH, bat
     question has no hits, a null column holds no term.
     """
     asked = questions.select("question_id", F.coalesce(lexical_terms(F.col("question")), F.array()).alias("terms"))
-    rows = chunks.select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "section", "content")])
+    rows = searchable(chunks).select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "section", "content")])
     scorer = lambda held: phrase_scores([[(t, 1.0) for t in terms] for terms in held["terms"]], [("title", 8), ("section", 9), ("content", 3)])
     return best_of_all(asked, rows, scorer, k, batch, "int")
 
@@ -190,10 +196,69 @@ def fallback_search(questions: DataFrame, chunks: DataFrame, k: int, batch: int
     terms = F.coalesce(fallback_terms(F.col("question")), F.array())
     asked = questions.select("question_id", F.lower("question").alias("whole"), terms.alias("terms"), "tags")
     hay = F.lower(F.concat_ws(" ", "title", "section", "category", "content", F.concat_ws(" ", "chunk_tags")))
-    rows = chunks.select("chunk_id", hay.alias("hay"), "chunk_tags")
+    rows = searchable(chunks).select("chunk_id", hay.alias("hay"), "chunk_tags")
 
     def scorer(held: pd.DataFrame):
         whole = [[(w, 4.0)] if isinstance(w, str) else [] for w in held["whole"]]
         return phrase_scores([w + [(t, 2.0) for t in terms] for w, terms in zip(whole, held["terms"])], [("hay", 1.0)], list(held["tags"]))
 
     return best_of_all(asked, rows, scorer, k, batch)
+
+
+def search(questions: DataFrame, chunks: DataFrame, k: int, vectors: DataFrame | None = None, category: str | None = None) -> DataFrame:
+    """Both searches where there are vectors, else the fallback; a failure of the first is never hidden by the second."""
+    if vectors is not None:
+        return hybrid_search(questions, chunks, vectors, k, category)
+    return fallback_search(questions, chunks if category is None else chunks.filter(F.col("category") == category), k)
+
+
+def embedded(df: DataFrame, text: str, encoder, width: int, instruction: str = "") -> DataFrame:
+    """Adds embedding: unit vectors of texts by encoder(), made once a task, which gives a matrix for a list of texts.
+
+    instruction stands before each text (questions have one). Another width, a value that isn't finite or a zero vector is an
+    error. Null texts are empty.
+    """
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = encoder()
+        for batch in batches:
+            matrix = np.asarray(model([instruction + (t or "") for t in batch[text]]), dtype="float32").reshape(len(batch), -1)
+            length = np.linalg.norm(matrix, axis=1, keepdims=True)
+            if len(batch) and (matrix.shape[1] != width or not np.isfinite(matrix).all() or not length.all()):
+                raise ValueError("vectors must be finite, not zero and of the model's width")
+            yield batch.assign(embedding=list(matrix / length))
+
+    return df.mapInPandas(encode, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
+def hashing_encoder(width: int):
+    """A deterministic encoder without a model: words hashed to signed components, and one component that is never zero."""
+    import zlib
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width))
+        out[:, 0] = 1.0
+        for row, said in zip(out, texts, strict=True):
+            for word in said.lower().split():
+                h = zlib.crc32(word.encode())
+                row[1 + (h >> 1) % (width - 1)] += 1.0 if h & 1 else -1.0
+        return out
+
+    return lambda: encode
+
+
+def reranked(hits: DataFrame, scorer, k: int) -> DataFrame:
+    """Hits (question_id, question, chunk_id, content, rank) by the scorer's values for (questions, contents), the best k.
+
+    Without a scorer they keep their order with scores of 0.
+    """
+    if scorer is None:
+        return top_by(hits.withColumn("score", F.lit(0.0)).withColumnRenamed("rank", "_was"), ["question_id"], [F.col("_was")], k).drop("_was")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(score=np.asarray(scorer(list(batch["question"]), list(batch["content"])), dtype=float))
+
+    rows = hits.drop("rank", "score")
+    told = rows.mapInPandas(score, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return top_by(told, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)

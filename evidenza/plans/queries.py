@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import health, text
-from ..operators import chunking, dialogue, profile, retrieval, tables
+from ..functions import health, labels, text
+from ..operators import chunking, dialogue, layout, ledger, profile, reports, retrieval, suites, tables
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -241,16 +241,7 @@ WITH {ITEMS}, c AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority, event_id) AS n FROM p)
 SELECT user_id, event_id, status FROM r WHERE n <= 6""")
 def knowledge_targets(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    v = [F.col(c) for c in ("value", "low", "high")]
-    w = Window.partitionBy("user_id")
-    rows = items(spark, sf_dir).withColumns({"status": health.status(*v), "_near": health.near_boundary(*v)})
-    bad, ok = F.col("status").isin("low", "high") | F.col("_near"), F.col("status") == "normal"
-    rows = rows.withColumns({"_bad": F.bool_or(bad).over(w), "_ok": F.bool_or(ok).over(w)})
-    chosen = rows.filter(F.when(F.col("_bad"), bad).when(F.col("_ok"), ok).otherwise(True))
-    order = F.when(F.col("status").isin("low", "high"), 0).when(F.col("_near"), 1).otherwise(2)
-    return tables.top_by(chosen, ["user_id"], [order, F.col("event_id")], 6).select("user_id", "event_id", "status")
+    return reports.targets(items(spark, sf_dir), "user_id", [F.col("event_id")]).select("user_id", "event_id", "status")
 
 
 @query(f"""
@@ -497,3 +488,146 @@ def indicator_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     line = F.concat(F.upper("event_type"), F.lit(" "), F.round("value", 2).cast("string"), F.lit(" mmol/L 20-80"))
     return e.select("event_id", health.parse_line(text.report_line(line)).alias("p")).select("event_id", "p.*")
+
+
+@query(f"""
+WITH {ITEMS}, u AS (SELECT user_id, event_id, name, status, round(value) AS v FROM st),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(name), v ORDER BY event_id) AS n FROM u)
+SELECT user_id, event_id, name, v AS value FROM r WHERE n = 1""")
+def unique_items(spark, sf_dir):
+    rows = items(spark, sf_dir).select("user_id", "event_id", "name", F.round("value").alias("value"), F.lit("u").alias("unit"))
+    return reports.unique_items(rows, [F.col("event_id")], ("user_id",)).drop("unit")
+
+
+def hits(spark, sf_dir):
+    """Line items as hits: supplier as report, order and line as item and rank, part as chunk."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("report_id"), F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("chunk_id")
+    )
+
+
+HITS = """
+h AS (SELECT l_suppkey AS report_id, l_orderkey AS item, l_linenumber AS rank, l_partkey AS chunk_id FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY report_id, chunk_id ORDER BY item, rank) = 1 AS is_first FROM h),
+p AS (SELECT *, CAST(count(*) FILTER (WHERE is_first) OVER (PARTITION BY report_id ORDER BY item, rank, chunk_id, is_first DESC ROWS UNBOUNDED PRECEDING) AS INTEGER) AS place FROM f)"""
+
+
+@query(f"WITH {HITS} SELECT report_id, place, chunk_id FROM p WHERE is_first AND place <= 12")
+def report_context(spark, sf_dir):
+    return reports.context(hits(spark, sf_dir))[0]
+
+
+@query(f"""
+WITH {HITS}, c AS (SELECT report_id, item, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank, chunk_id) AS citations, min(place - CAST(is_first AS INTEGER)) AS before FROM p GROUP BY report_id, item)
+SELECT report_id, item, citations FROM c WHERE before < 12""")
+def report_citations(spark, sf_dir):
+    return reports.context(hits(spark, sf_dir))[1].withColumn("citations", F.array_join("citations", ","))
+
+
+@query(f"""
+WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM st WHERE status IN ('high', 'low')),
+t AS (SELECT user_id, string_agg('- ' || name || '：' || CASE status WHEN 'high' THEN '偏高' ELSE '偏低' END || '，结果 ' || CAST(CAST(value AS INTEGER) AS VARCHAR) || ' u', chr(10) ORDER BY event_id) AS said
+  FROM r WHERE n <= 8 GROUP BY user_id),
+c AS (SELECT user_id, count(*) FILTER (WHERE status = 'unknown') AS n FROM st GROUP BY user_id)
+SELECT user_id AS report_id, '{reports.NO_MODEL}' || chr(10) || chr(10) || '【重点关注】' || chr(10) || coalesce(said, '{reports.NONE_ABNORMAL}')
+  || CASE WHEN n > 0 THEN chr(10) || '- 另有 ' || n || ' 项指标缺少完整参考范围，暂不能判断是否超出报告范围。' ELSE '' END || chr(10) || chr(10) || '{reports.NO_MODEL_END}' AS summary
+FROM c LEFT JOIN t USING (user_id)""")
+def fallback_summaries(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumn("status", health.status(*[F.col(c) for c in ("value", "low", "high")]))
+    whole = F.bround("value").cast("int")
+    return reports.fallback_summaries(rows.select(F.col("user_id").alias("report_id"), F.col("event_id").alias("position"), "name", whole.alias("value"), F.lit("u").alias("unit"), "status"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS d, l_linenumber AS i, l_quantity AS q FROM lineitem),
+g AS (SELECT *, count(*) OVER w AS n, min(i) OVER w AS lo, max(i) OVER w AS hi, count(*) OVER (PARTITION BY d, i) AS same FROM c WINDOW w AS (PARTITION BY d)),
+k AS (SELECT *, max(same) OVER (PARTITION BY d) AS most FROM g)
+SELECT d, i, concat_ws(',', CASE WHEN same > 1 THEN 'unique' END, CASE WHEN i - 1 < 0 OR i - 1 >= 4 THEN 'chunk_index' END, CASE WHEN q > 40 THEN 'content_hash' END, CASE WHEN most > 1 OR lo <> 1 OR hi <> n THEN 'page_indexes' END,
+  CASE WHEN n <> 4 THEN 'page_count' END) AS reasons FROM k""")
+def chunk_expectations(spark, sf_dir):
+    """Line items as chunks of a page that is to have four; the hash of those with a quantity over 40 is wrong."""
+    x = table(spark, sf_dir, "lineitem")
+    content = F.concat_ws(" ", "l_returnflag", "l_linestatus")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = x.select(
+        F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("i"), key.alias("chunk_id"), F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("pdf_page"),
+        (F.col("l_linenumber") - 1).alias("chunk_index"), F.lit(4).alias("chunk_count"), F.lit("a").alias("article_title"), F.lit("s").alias("section_title"), F.lit("u").alias("source_url"),
+        F.col("l_returnflag").alias("category"), content.alias("content"), text.sha256(F.when(F.col("l_quantity") > 40, "").otherwise(content)).alias("content_hash"),
+        F.array(F.lit("t")).alias("tags"), F.lit(True).alias("searchable"),
+    )
+    return suites.chunk_suite(rows).select("d", "i", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("""
+WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm, len(embedding) AS w FROM embeddings)
+SELECT vec_id, concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY vec_id) > 1 THEN 'unique' END, CASE WHEN w <> 64 THEN 'width' END, CASE WHEN norm NOT BETWEEN 0.99 AND 1.01 THEN 'norm' END) AS reasons FROM n""")
+def vector_reasons(spark, sf_dir):
+    return suites.vector_suite(table(spark, sf_dir, "embeddings"), 64, "vec_id").select("vec_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("""
+SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(lower(url), '/[^/]*[.](jpg|jpeg|png|pdf)$') THEN 'suffix' END, CASE WHEN strlen(html) = 0 THEN 'empty' END,
+  CASE WHEN strlen(html) > 15728640 THEN 'size' END) AS reasons FROM pages""")
+def upload_expectations(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("length", F.octet_length("html"))
+    return suites.upload_suite(rows, "url").select("page_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, '近期会话记忆（用于理解追问与指代，不得编造未出现内容）：' || chr(10) || string_agg(CASE WHEN role = 'user' THEN '用户：' || text WHEN length(text) > 420 THEN '助手：' || left(text, 420) || '…'
+  ELSE '助手：' || text END, chr(10) ORDER BY turn) || chr(10) || chr(10) AS block FROM m WHERE text <> '' GROUP BY conv_id""")
+def history_blocks(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
+    return turns.select("conv_id", labels.history_block(F.col("h")).alias("block")).filter("block <> ''")
+
+
+@query(f"""
+WITH {PROFILE} SELECT c_custkey, concat_ws(chr(10), '年龄：' || age || ' 岁（出生日期 ' || format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) || '）', '出生性别：' || CASE sex WHEN 'female' THEN '女性' ELSE '男性' END,
+  '体格：身高 ' || CAST(h AS VARCHAR) || ' cm，体重 ' || CAST(w AS VARCHAR) || ' kg', '已知慢性病或长期健康情况：' || c_mktsegment, '过敏史：未记录', '当前常用药：未记录') AS text FROM a""")
+def profile_texts(spark, sf_dir):
+    return profiles(spark, sf_dir).withColumn("nickname", F.lit(None).cast("string")).select("c_custkey", labels.profile_text(as_of()).alias("text"))
+
+
+@query("""
+SELECT doc_id, sha256(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[\\n\\r\\x0b\\x0c\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]'), lambda x: trim(regexp_replace(x, '[\\s\\x{a0}\\x{3000}]+', ' ', 'g'))),
+  lambda x: x <> '' AND NOT regexp_matches(replace(x, ' ', ''), '姓名|身份证|电话|手机|地址|报告编号|条形码|文件名')), chr(10))) AS content_hash FROM documents""")
+def redacted_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.sha256(labels.without_identities(F.col("text"))).alias("content_hash"))
+
+
+@query("""
+WITH p AS (SELECT source, doc_id, bool_or(n_chars > 400) AS usable, count(*) AS k FROM documents GROUP BY source, doc_id),
+c AS (SELECT d.source, e.vec_id, CAST(e.label AS VARCHAR) AS chunk_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+m AS (SELECT DISTINCT source, vec_id AS doc_id, TRUE AS has FROM c)
+SELECT CAST(sum(k) AS BIGINT) AS n_source, count(*) AS n_selected, count(*) FILTER (WHERE NOT usable) AS n_skipped, count(*) FILTER (WHERE has) AS n_with_chunks,
+  count(*) FILTER (WHERE usable AND has IS NULL) AS n_without_chunks, (SELECT count(DISTINCT chunk_id) FROM c) AS n_chunks, (SELECT count(*) - count(DISTINCT chunk_id) FROM c) AS n_duplicates
+FROM p LEFT JOIN m USING (source, doc_id)""")
+def ingest_counters(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("pdf_page"), (F.col("n_chars") > 400).alias("usable"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pdf_page"), F.col("label").cast("string").alias("chunk_id")).join(d.select("document_id", "pdf_page"), "pdf_page")
+    return ledger.ingest_counters(d, e)
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, ts, CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'running' ELSE 'failed' END AS state FROM events)
+SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, strftime(max(ts) FILTER (WHERE state <> 'running'), '%Y-%m-%d %H:%M:%S') AS ended, coalesce(arg_max(state, (ts, event_id)) FILTER (WHERE state <> 'running'), 'running') AS state
+FROM e GROUP BY run_id HAVING count(*) = count(DISTINCT ts)""")
+def run_states(spark, sf_dir):
+    state = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "view", "running").otherwise("failed")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.lit("d").alias("document_id"), F.lit("m").alias("model_name"), state.alias("state"), F.col("ts").alias("at"))
+    e = e.withColumns({"n_chunks": F.lit(None).cast("long"), "error": F.lit(None).cast("string")})
+    clear = e.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("d")).filter("n = d")
+    return ledger.runs(e.join(clear, "run_id", "left_semi")).select("run_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("began", "ended")], "state")
+
+
+@query()
+def layout_chunks(spark, sf_dir):
+    """Conversations as laid-out documents: every third turn a heading."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "h2").otherwise("text")
+    blocks = c.select(
+        F.col("conv_id").alias("document_id"), F.lit("t").alias("title"), F.col("turn").alias("ordinal"), kind.alias("kind"), "text", F.lit(None).cast("int").alias("level"),
+        (F.col("turn") + 1).cast("int").alias("page"), F.lit(None).cast("array<double>").alias("box"),
+    )
+    return layout.layout_chunks(blocks)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import clean_report, confidence, strip
+
 
 def jsonl_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejected lines (file, text) that are not an object of the schema; blank lines count for neither."""
@@ -50,15 +52,63 @@ def embedding_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layout_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of layout lists: kind, text, page (from 1), level; either name of each field."""
-    block = "struct<type:string,block_type:string,text:string,content:string,table_body:string,page_idx:int,page_no:int,page_number:int,text_level:int,level:int>"
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    bare = F.startswith(F.ltrim("value"), F.lit("["))
-    listed = F.when(bare, F.from_json("value", f"array<{block}>")).otherwise(F.from_json("value", f"struct<content_list:array<{block}>>")["content_list"])
-    b = whole.select("file", F.posexplode(listed).alias("ordinal", "b"))
-    page = F.greatest(F.lit(1), F.coalesce(F.col("b.page_idx") + 1, F.col("b.page_no"), F.col("b.page_number"), F.lit(1)))
-    text = F.coalesce("b.text", "b.content", "b.table_body", F.lit(""))
-    return b.select("file", "ordinal", F.coalesce("b.type", "b.block_type").alias("kind"), text.alias("text"), page.alias("page"), F.coalesce("b.text_level", "b.level").alias("level")).filter(F.btrim("text") != "")
+    """Blocks of layout lists, bare or as `content_list`: folder, file, ordinal, kind, text, page (from 1), box, level.
+
+    Of each folder the first file that has a block is read: content_list.json, then the others by name. Files that aren't such
+    lists and blocks without text are skipped. A list as text is joined by newlines; each field has more than one name.
+    """
+    file = F.input_file_name()
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract(file, "^(.*)/", 1).alias("folder"), file.alias("file"), F.try_parse_json("value").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.content_list", "array<variant>"))
+    b = whole.select("folder", "file", F.posexplode(listed).alias("ordinal", "b"))
+    get = lambda n, kind="string": F.try_variant_get("b", f"$.{n}", kind)
+    said = lambda n: F.nullif(F.coalesce(F.array_join(get(n, "array<string>"), "\n"), get(n)), F.lit(""))
+    text = F.coalesce(*[said(n) for n in ("text", "content", "table_body")], F.lit(""))
+    page = F.coalesce(get("page_idx", "int") + 1, get("page_no", "int"), get("page_number", "int"), F.lit(1))
+    box = F.coalesce(get("bbox", "array<double>"), get("box", "array<double>"))
+    rows = b.select(
+        "folder", "file", "ordinal", F.lower(F.coalesce(F.nullif(get("type"), F.lit("")), F.nullif(get("block_type"), F.lit("")), F.lit("text"))).alias("kind"),
+        clean_layout_block(text).alias("text"), F.greatest(F.lit(1), page).alias("page"), F.when(F.size(box) == 4, box).alias("box"),
+        F.coalesce(F.nullif(get("text_level", "int"), F.lit(0)), get("level", "int")).alias("level"),
+    ).filter("text <> ''")
+    rank = F.struct(~F.endswith("file", F.lit("/content_list.json")), "file")
+    first = rows.groupBy("folder").agg(F.min(rank).alias("_r")).select("folder", F.col("_r.file").alias("file"))
+    return rows.join(first, ["folder", "file"], "left_semi")
+
+
+def clean_layout_block(c: Column) -> Column:
+    """Blanks squashed, three or more newlines to two, edges stripped."""
+    return strip(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), "[ \\t]+", " "))
+
+
+def decoded(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds text: bytes as UTF-8, GB18030 or Latin-1, the first that reads and holds a digit, cleaned; none or null: empty."""
+    from pyspark.sql.functions import pandas_udf
+
+    def reads(data: bytes | None) -> str:
+        for name in ("utf-8", "gb18030", "latin-1") if data else ():
+            try:
+                said = data.decode(name)
+            except UnicodeDecodeError:
+                continue
+            if any(c.isdigit() for c in said):
+                return said
+        return ""
+
+    read = pandas_udf(lambda s: s.map(reads), "string")
+    return files.withColumn("text", clean_report(read(F.col(content))))
+
+
+def scan_lines(records: DataFrame, least: float = 0.5) -> DataFrame:
+    """Lines of scans, records with texts, scores and boxes side by side: position, line, score, box, and all other columns.
+
+    A line without a score has 1. Blank lines and those below `least` are dropped.
+    """
+    rest = [c for c in records.columns if c not in ("texts", "scores", "boxes")]
+    rows = records.select(*rest, F.posexplode("texts").alias("position", "line"), "scores", "boxes")
+    at = lambda c: F.try_element_at(c, F.col("position") + 1)
+    rows = rows.select(*rest, "position", strip(F.col("line")).alias("line"), confidence(at("scores")).alias("score"), at("boxes").alias("box"))
+    return rows.filter((F.col("line") != "") & (F.col("score") >= least))
 
 
 def rows_in_order(df: DataFrame, key: str, ids: list) -> DataFrame:
