@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, media, minhash, mixing, packing, quality, search, secrets, sharding, suffixes
+from . import clusters, codes, lines, media, minhash, mixing, packing, quality, search, secrets, sharding, suffixes, tokens
 
 QUERIES = {
     "op1_suffix": suffixes.op1_suffix,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_topk": search.op9_topk,
     "op10_media": media.op10_media,
+    "op11_tokens": tokens.op11_tokens,
+    "op12_codes": codes.op12_codes,
+    "op13_clusters": clusters.op13_clusters,
 }
-ORACLE_SQL: dict[str, str] = {"op4_lines": lines.OP4_SQL, "op9_topk": search.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_lines": lines.OP4_SQL, "op9_topk": search.OP9_SQL, "op12_codes": codes.OP12_SQL, "op13_clusters": clusters.OP13_SQL}
