@@ -78,6 +78,24 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def as_text(key: str) -> Column:
+    """A key as pandas workers may hold it: long keys beside nulls would turn into floats there, and lose digits."""
+    return F.col(key).cast("string").alias("_key")
+
+
+def from_text(docs: DataFrame, key: str, column: str = "_key") -> Column:
+    """The key that `as_text` gave to a worker, of the type that it has in docs."""
+    return F.col(column).cast(docs.schema[key].dataType)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column of `taken` is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def with_rank(rows: DataFrame, keys: list[str], order: list[str], out: str, cells: int = CELLS) -> DataFrame:
     """Adds out, a gapless rank from 0 within keys, in the order of a hash and then of `order`.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, text_or_empty, written
+from .common import as_text, from_text, new_folder, read, text_or_empty, written
 
 WIDTH = 64
 #: Bytes of a stored payload that hold its metadata: signature and header chunk.
@@ -73,7 +73,6 @@ def stored(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id"
     Null text counts as empty; an empty text is one row of zero samples. Equal texts share digest, shard and offset.
     A task that runs again writes shards of new names; rows only name shards of the run that counted.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, path = files(folder)
@@ -109,13 +108,13 @@ def stored(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id"
                 sink.close()
                 out.close()
 
-    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    found = written(rows.mapInPandas(write, f"n_bytes long, digest binary, shard string, offset long, length long, _key {kind}"), "media-rows", "zstd")
+    rows = docs.select(as_text(key), text_or_empty(text).alias("_text"))
+    found = written(rows.mapInPandas(write, "n_bytes long, digest binary, shard string, offset long, length long, _key string"), "media-rows", "zstd")
     one = found.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at"))
     return (
         found.drop("shard", "offset", "length")
         .join(written(one, "media-index", "zstd"), "digest")
-        .select(F.col("_key").alias(key), "n_bytes", F.lower(F.hex("digest")).alias("digest"), "_at.shard", "_at.offset", "_at.length")
+        .select(from_text(docs, key).alias(key), "n_bytes", F.lower(F.hex("digest")).alias("digest"), "_at.shard", "_at.offset", "_at.length")
     )
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, read, text_or_empty, written
+from .common import Steps, as_text, from_text, read, text_or_empty, written
 from .graphs import components
 from .hashing import U, counted, mix, shingles
 
@@ -75,7 +75,6 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signed(docs: DataFrame, text: str, key: str, width: int, bands: int, rows: int) -> DataFrame:
     """_id (of the row), _key, _sha (of the text), _bands and _set (of shingles, as 32-bit hashes)."""
-    kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,8 +88,9 @@ def signed(docs: DataFrame, text: str, key: str, width: int, bands: int, rows: i
                     out.append((sha, [], []))
             yield pd.DataFrame(out, columns=["_sha", "_bands", "_set"]).assign(_id=batch["_id"].to_numpy(), _key=batch["_key"].to_numpy())
 
-    rows_ = docs.select(F.monotonically_increasing_id().alias("_id"), F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    return rows_.mapInPandas(sign, f"_sha string, _bands array<long>, _set array<int>, _id long, _key {kind}")
+    rows_ = docs.select(F.monotonically_increasing_id().alias("_id"), as_text(key), text_or_empty(text).alias("_text"))
+    found = rows_.mapInPandas(sign, "_sha string, _bands array<long>, _set array<int>, _id long, _key string")
+    return found.withColumn("_key", from_text(docs, key))
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:

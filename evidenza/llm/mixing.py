@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CELLS, text_or_empty, written
+from .common import CELLS, fresh, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 #: Slope of each weight's schedule over the run, from -1 to 1: heavy sources gain, light ones fade.
@@ -52,6 +52,10 @@ def position(used: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, used).otherwise((root - lead) / (2 * slope))
 
 
+#: Columns that `mixed` works with; columns of docs that are called so are set aside meanwhile.
+OWN = ("_source", "_sk", "_hash", "_cell", "_words", "_first", "_at")
+
+
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, slopes=SLOPES, cap: int = MOST_REPEATS, cells: int = CELLS) -> DataFrame:
     """All rows of docs with all their columns, and size, source_size, target, taken, taken_by_copy, positions.
 
@@ -61,8 +65,11 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     source of its own, last in order. Equal rows: any of them may be the one taken in part. No rows: none.
     The columns added win over columns of these names in docs.
     """
-    added = ("size", "source_size", "target", "taken", "taken_by_copy", "positions", "slope")
-    rows = docs.drop(*[c for c in added if c != source]).withColumns(
+    added = ("size", "source_size", "target", "taken", "taken_by_copy", "positions")
+    aside = {c: fresh(f"_mix{i}", docs.columns) for i, c in enumerate(docs.columns) if c.lower() in OWN or c.lower() == "slope"}
+    docs = docs.withColumnsRenamed(aside)
+    text, source, key = (aside.get(c, c) for c in (text, source, key))
+    rows = docs.drop(*[c for c in added if c not in (text, source, key)]).withColumns(
         {
             "size": word_count(text),
             "_source": F.col(source),
@@ -83,7 +90,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     return (
         out.withColumns({"taken_by_copy": F.array(*takes), "positions": F.array_compact(F.array(*spots))})
         .withColumn("taken", F.aggregate("taken_by_copy", F.lit(0).cast("long"), lambda a, x: a + x))
-        .drop("_sk", "_source", "_hash", "_cell", "_first", "_at", "slope")
+        .drop(*OWN, "slope")
+        .withColumnsRenamed({new: old for old, new in aside.items()})
     )
 
 

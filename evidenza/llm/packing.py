@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Steps, read, text_or_empty, with_rank, written
+from .common import Steps, as_text, from_text, read, text_or_empty, with_rank, written
 
 CAPACITY = 1024
 END = 2
@@ -60,9 +60,8 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
 
     A document is its ids and the end id, so null and empty texts are one piece of length 1. A document longer than the
     capacity is cut into pieces of it; the first piece takes what is over. Equal rows give equal pieces.
+    Keys come back as they are, large ones beside nulls too; other columns play no part.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = tokenizer(vocabulary)
         for batch in batches:
@@ -75,8 +74,9 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
                 out += [(k, i, a, b - a, zlib.crc32(packed[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             yield pd.DataFrame(out, columns=["_key", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    return rows.mapInPandas(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_key", key)
+    rows = docs.select(as_text(key), text_or_empty(text).alias("_text"))
+    found = rows.mapInPandas(cut, "_key string, piece int, start long, length long, ids_crc32 long")
+    return found.select(from_text(docs, key).alias(key), "piece", "start", "length", "ids_crc32")
 
 
 def swept(docs: dict[int, int], gaps: dict[int, int], rooms: dict[int, int], capacity: int, per: int) -> list[tuple[int, int, int, int, int]]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import fresh, read, text_or_empty, written
 
 #: Rated documents that the model is fitted on, at most.
 SAMPLE = 4000
@@ -191,7 +191,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", least: float = LEA
     """
     names = [f"p_ge_{j + 1}" for j in range(len(model.cuts))]
     base = docs.drop("expected_grade", "keep", *names)
-    return base.withColumn("_rated", rating(docs, model, least)(text_or_empty(text))).select(*base.columns, "_rated.*")
+    rated = fresh("_rated", base.columns)
+    return base.withColumn(rated, rating(docs, model, least)(text_or_empty(text))).select(*base.columns, f"{rated}.*")
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST) -> DataFrame:

@@ -23,6 +23,8 @@ K = 5
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Bands of length at most; a band of more than BLOCK vectors is dealt to several blocks.
 BANDS = 256
+#: Stands for a null id while tasks sort: it comes after all ids.
+NO_ID = (1 << 63) - 1
 #: Vectors that the rotation is fitted on.
 SAMPLE = 2000
 #: Share of the components that the partial sums take first.
@@ -31,8 +33,8 @@ LEAD = 0.25
 
 def scaled(vectors: DataFrame, key: str, vector: str, factor: float) -> DataFrame:
     """_id, _v (floor of factor * x, as double) and _n (length); rows with null or non-finite parts are left out."""
-    x = vectors.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_x")).filter(
-        F.col("_id").isNotNull() & F.col("_x").isNotNull() & ~F.exists("_x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    x = vectors.select(F.coalesce(F.col(key), F.lit(NO_ID)).alias("_id"), F.col(vector).cast("array<double>").alias("_x")).filter(
+        F.col("_x").isNotNull() & ~F.exists("_x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     )
     v = x.select("_id", F.transform("_x", lambda c: F.floor(c * factor).cast("double")).alias("_v"))
     return v.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, c: a + c * c)))
@@ -66,18 +68,19 @@ def best(queries: np.ndarray, rows: np.ndarray, floor: np.ndarray, found: np.nda
 def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, factor: float = 256.0, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best of all other rows of each query, ties to the smaller id.
 
-    Takes part: rows with an id and a vector of finite numbers; nulls and empty vectors give no rows. Vectors of
-    different widths multiply over the components that both have, as zeros would fill the shorter one. Rows that repeat
+    Takes part: rows with a vector of finite numbers. A row without an id is a candidate, last among ties, and no query;
+    an empty vector scores 0. Ids below 2^63 - 1. Vectors of different widths multiply over the components that both have, as zeros would fill the shorter one. Rows that repeat
     an id are rows of their own: each is a query with its own k rows of the result, and a candidate for every other row.
     Fewer than k others: all of them. Exact while products stay below 2^53.
     """
     spark = vectors.sparkSession
     steps = Steps(spark, "topk")
-    rows = scaled(vectors, key, vector, factor).filter(F.size("_v") > 0)
+    rows = scaled(vectors, key, vector, factor)
     out = "query_id long, rank int, vec_id long, score long"
     width = rows.agg(F.max(F.size("_v"))).first()[0]
-    if not width:
+    if width is None:
         return spark.createDataFrame([], out)
+    width = max(width, 1)
     filled = F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_v")))
     rows = steps.written(rows.withColumns({"_v": filled, "_row": F.monotonically_increasing_id()}), "rows")
     turn = np.array(rotation(rows))
@@ -91,7 +94,7 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
     dealt = banded.join(F.broadcast(parts), "_band").withColumn("_block", F.col("_band") * F.lit(1 << 32) + F.pmod(F.xxhash64("_row"), F.col("_parts")))
     cut = steps.written(dealt.drop("_band", "_parts"), "blocks")
     steps.drop(rows)
-    queries = cut.filter(is_query(F.col("_id")))
+    queries = cut.filter((F.col("_id") != NO_ID) & is_query(F.col("_id")))
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // query_block))
     queries = steps.written(queries.withColumn("_qb", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")).select("_row", "_id", "_v", "_n", "_qb"), "queries")
@@ -144,7 +147,7 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
     others = needs.join(F.broadcast(longest.join(F.broadcast(top.select("_block")), "_block", "left_anti"))).filter(F.col("_longest") * (1 + 1e-9) + 1e-6 >= F.col("_need"))
     rest = scores(asked, others.select("_qb", "_block"))
     found = cut_to_k(first.unionByName(rest))
-    return steps.result(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score")))
+    return steps.result(found.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), F.col("score").cast("long").alias("score")))
 
 
 def op9_topk(spark, sf_dir):
@@ -158,7 +161,7 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.row <> c.row
   WHERE q.vec_id % 50 = 0
 ), r AS (

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import as_text, from_text, read, text_or_empty
 
 # The keywords and shapes of each kind.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -79,42 +79,37 @@ def scan(text: str, words) -> list[tuple[int, int, str]]:
 def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and spans (start, end, kind; code points, end exclusive) for every row, in one pass without a shuffle.
 
-    Null and empty texts have no spans. Equal rows give equal rows. Whole texts are scanned. No rows: none.
+    Null and empty texts have no spans. Equal rows give equal rows. Whole texts are scanned. Keys come back as they
+    are, large ones beside nulls too; other columns play no part. No rows: none.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = automaton()
         for batch in batches:
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t, words)] for t in batch["_text"]]
             yield pd.DataFrame({"_key": batch["_key"], "spans": found})
 
-    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
-    return rows.mapInPandas(scanned, f"_key {kind}, spans array<struct<start:int,end:int,kind:string>>").withColumnRenamed("_key", key)
+    rows = docs.select(as_text(key), text_or_empty(text).alias("_text"))
+    found = rows.mapInPandas(scanned, "_key string, spans array<struct<start:int,end:int,kind:string>>")
+    return found.select(from_text(docs, key).alias(key), "spans")
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by the mask; null stays null."""
-    at = docs.columns.index(text)
+    """docs with every secret in text replaced by the mask; null stays null. Only the text passes through Python."""
+
+    def without(t: str, words) -> str:
+        parts, done = [], 0
+        for s, e, _ in scan(t, words):
+            if s >= done:
+                parts += [t[done:s], mask]
+            done = max(done, e)
+        return "".join([*parts, t[done:]])
 
-    def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = automaton()
-        for batch in batches:
-            out = []
-            for t in batch.iloc[:, at]:
-                if isinstance(t, str):
-                    parts, done = [], 0
-                    for s, e, _ in scan(t, words):
-                        if s >= done:
-                            parts += [t[done:s], mask]
-                        done = max(done, e)
-                    t = "".join([*parts, t[done:]])
-                out.append(t)
-            batch = batch.copy()
-            batch.isetitem(at, out)
-            yield batch
-
-    return docs.mapInPandas(masked, docs.schema)
+        for batch in texts:
+            yield pd.Series([without(t, words) if isinstance(t, str) else None for t in batch], dtype=object)
+
+    return docs.withColumn(text, F.pandas_udf(masked, "string")(F.col(text)))
 
 
 def op5_secrets(spark, sf_dir):

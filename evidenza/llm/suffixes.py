@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, released, text_or_empty, written
+from .common import from_text, new_folder, read, released, text_or_empty, written
 from .hashing import POWERS, Powers, U, between, mix, running, summed
 
 LEAST = 200
@@ -143,7 +143,6 @@ def sorted_out(rows: pd.DataFrame, least: int, seed: int, step: int = 8) -> pd.D
 def texts_table(docs: DataFrame, text: str, key: str) -> DataFrame:
     """_uid, _doc, _n, _sha and _z (the compressed bytes) of every row, bucketed by _uid: joins on it leave texts in place."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,8 +151,8 @@ def texts_table(docs: DataFrame, text: str, key: str) -> DataFrame:
                 {"_uid": batch["_uid"], "_doc": batch["_doc"], "_n": [len(b) for b in raw], "_sha": [hashlib.sha256(b).hexdigest() for b in raw], "_z": [zlib.compress(b, 1) for b in raw]}
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(key).alias("_doc"), text_or_empty(text).alias("_text"))
-    packed = rows.mapInPandas(pack, f"_uid long, _doc {kind}, _n long, _sha string, _z binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(key).cast("string").alias("_doc"), text_or_empty(text).alias("_text"))
+    packed = rows.mapInPandas(pack, "_uid long, _doc string, _n long, _sha string, _z binary").withColumn("_doc", from_text(docs, key, "_doc"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
     packed.repartition(buckets, "_uid").write.bucketBy(buckets, "_uid").option("path", new_folder(spark, "texts")).option("compression", "none").saveAsTable(name)
