@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.segments import ideographs
+
 # Words that are no keyword, labels of tags and of habits, and the weight of each category.
 NO_KEYWORDS = ("unknown", "not_applicable", "none", "其他", "未知", "无", "暂无", "没有", "不详")
 TAG_LABELS = {
@@ -36,6 +40,13 @@ def keyword(c: Column) -> Column:
     return F.substring(F.btrim(F.regexp_replace(c, "\\s+", " ")), 1, 40)
 
 
+def cut_words(values: Column, cut: Callable[[Column], Column]) -> Column:
+    """For each of values the words that a lexicon's list cutter finds, of two characters or more; without any, the value itself."""
+    plain = F.transform(values, lambda v: F.regexp_replace(F.btrim(v), "[,，;；、/|]+", " "))
+    good = lambda ws: F.filter(F.transform(F.flatten(F.transform(ws, lambda w: F.split(w, "\\s+"))), keyword), lambda w: (F.length(w) >= 2) & ~w.isin(*NO_KEYWORDS))
+    return F.zip_with(plain, cut(plain), lambda v, ws: F.when(ideographs(v), F.when(F.size(good(ws)) > 0, good(ws)).otherwise(F.array(v))).otherwise(words_of(v)))
+
+
 def words_of(value: Column) -> Column:
     """Runs of ideographs, letters, digits and _ + - of two characters or more; without any, the value itself."""
     plain = F.regexp_replace(F.btrim(value), "[,，;；、/|]+", " ")
@@ -43,7 +54,7 @@ def words_of(value: Column) -> Column:
     return F.when(F.size(runs) > 0, runs).otherwise(F.array(plain))
 
 
-def candidates() -> Column:
+def candidates(cut: Callable[[Column], Column] | None = None) -> Column:
     """An array of keyword, category, source and score, in the order of tags, lists and habits."""
     entry = lambda k, category, source, more=0.0: F.struct(
         keyword(k).alias("keyword"), category.alias("category"), F.lit(source).alias("source"), F.round(lookup_weight(category) + more, 3).alias("score")
@@ -56,8 +67,9 @@ def candidates() -> Column:
 
     def of_list(field: str, category: str) -> Column:
         kind = F.lit(category)
-        each = lambda v: F.concat(F.array(entry(v, kind, field, WHOLE)), F.transform(words_of(v), lambda w: entry(w, kind, field)))
-        return F.flatten(F.transform(F.filter(F.coalesce(F.col(field), none), lambda v: v.isNotNull() & (F.btrim(v) != "")), each))
+        values = F.filter(F.coalesce(F.col(field), none), lambda v: v.isNotNull() & (F.btrim(v) != ""))
+        each = lambda v, words: F.concat(F.array(entry(v, kind, field, WHOLE)), F.transform(words, lambda w: entry(w, kind, field)))
+        return F.flatten(F.transform(values, lambda v: each(v, words_of(v))) if cut is None else F.zip_with(values, cut_words(values, cut), each))
 
     habits = [entry(F.coalesce(F.try_element_at(lookup(labels), F.coalesce(F.col(field), F.lit(""))), F.lit("")), F.lit("lifestyle"), field) for field, labels in HABITS.items()]
     return F.concat(F.transform(F.coalesce(F.col("tags"), none), of_tag), *[of_list(f, c) for f, c in LISTS.items()], F.array(*habits))
@@ -68,19 +80,19 @@ def lookup_weight(category: Column) -> Column:
     return F.coalesce(F.try_element_at(table, category), F.lit(1.0))
 
 
-def profile_keywords(profiles: DataFrame, key: str, limit: int = 20) -> DataFrame:
+def profile_keywords(profiles: DataFrame, key: str, limit: int = 20, cut: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, rank (from 1), keyword, category, score and source of each profile's best keywords; no shuffle.
 
     profiles: key, tags (as health.profile_tags gives them), and the list and habit columns. Of equal keywords the
     best scored one stays, the first of equals. They go by score, category and keyword; one that a better one of its
     category holds, and is two characters longer at least, is dropped. Null lists count as empty; a profile without
-    keywords gives no rows.
+    keywords gives no rows. cut, a lexicon's list cutter, parts values that hold ideographs into words.
     """
     earlier = lambda items, i: F.slice(items, F.lit(1), i)
     by_score = F.transform(
         F.filter("_all", lambda x: (x["keyword"] != "") & ~x["keyword"].isin(*NO_KEYWORDS)), lambda x, i: F.struct((-x["score"]).alias("less"), i.alias("at"), x.alias("x"))
     )
-    rows = profiles.select(F.col(key), candidates().alias("_all")).withColumn("_all", F.array_sort(by_score))
+    rows = profiles.select(F.col(key), candidates(cut).alias("_all")).withColumn("_all", F.array_sort(by_score))
     once = F.filter("_all", lambda e, i: ~F.exists(earlier(F.col("_all"), i), lambda k: k["x"]["keyword"] == e["x"]["keyword"]))
     order = F.transform(once, lambda e: F.struct(e["less"], e["x"]["category"].alias("category"), e["x"]["keyword"].alias("keyword"), e["x"]["source"].alias("source")))
     rows = rows.withColumn("_once", order).withColumn("_once", F.array_sort("_once"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.segments import ideographs, in_pairs
 from .tables import top_by
 
+#: Cuts a text column into an array of terms.
+Cut = Callable[[Column], Column]
+
 # Words of a question that no search uses.
 STOPWORDS = ("有", "有哪些", "哪些", "什么", "是什么", "怎么", "如何", "请问", "一下", "常见", "相关", "可能", "一般", "主要", "表现")
 #: A batch of questions goes to every task that searches; more than this many go in several batches.
@@ -21,10 +25,19 @@ BRANCH = 50
 RRF_K, LEXICAL_WEIGHT = 60, 1.5
 
 
-def lexical_terms(question: Column) -> Column:
-    """Distinct lower-case words of two characters or more that are not stopwords, in order of appearance."""
+def lexical_terms(question: Column, cut: Cut = in_pairs) -> Column:
+    """Distinct lower-case terms of two characters or more that are not stopwords, in order of appearance.
+
+    Words that hold ideographs are cut further: into pairs, or as a lexicon's cutter does.
+    """
     words = F.split(F.lower(question), "[\\s,，。！？；;、.!?]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS)))
+    if cut is in_pairs:
+        terms = F.flatten(F.transform(words, lambda w: F.when(ideographs(w), in_pairs(w)).otherwise(F.array(w))))
+    else:
+        # A cutter takes whole columns, not elements: it gets the words joined by a blank, which no word holds.
+        joined = cut(F.array_join(words, " "))
+        terms = F.when(ideographs(question), F.flatten(F.transform(joined, lambda t: F.split(t, " ")))).otherwise(words)
+    return F.array_distinct(F.filter(terms, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS)))
 
 
 def fallback_terms(question: Column) -> Column:
@@ -43,16 +56,18 @@ def in_batches(asked: DataFrame, batch: int) -> Iterator[pd.DataFrame]:
             yield held
 
 
-def best_of_all(asked: DataFrame, rows: DataFrame, scorer, k: int, batch: int, score: str = "double") -> DataFrame:
+def best_of_all(asked: DataFrame, rows: DataFrame, scorer, k: int, batch: int, score: str = "double", needed=None) -> DataFrame:
     """question_id, chunk_id, score, rank: the k best rows for each question, by score to six places, then id.
 
     scorer(batch of questions) gives a function of a batch of rows to its scores, a row for each row and a column for each
-    question (nan: no hit). Each batch of questions goes to all tasks; a task keeps k for each question.
+    question (nan: no hit). Each batch of questions goes to all tasks; a task keeps k for each question. needed(batch of
+    questions) is a condition on the rows that can be hits.
     """
     schema = f"question_id {asked.schema['question_id'].dataType.simpleString()}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score {score}"
     found = None
     for held in in_batches(asked, batch):
-        one = rows.mapInPandas(nearest(held["question_id"].to_numpy(), scorer(held), k), schema)
+        own = rows if needed is None else rows.filter(needed(held))
+        one = own.mapInPandas(nearest(held["question_id"].to_numpy(), scorer(held), k), schema)
         found = one if found is None else found.unionByName(one)
     found = rows.sparkSession.createDataFrame([], schema) if found is None else found
     found = found if score != "double" else found.withColumn("score", F.round("score", 6))
@@ -131,18 +146,25 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("searchable")) if "searchable" in chunks.columns else chunks
 
 
-def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
+def lexical_search(questions: DataFrame, chunks: DataFrame, k: int = BRANCH, batch: int = QUESTIONS, cut: Cut = in_pairs) -> DataFrame:
     """question_id, chunk_id, score, rank: per term 8 in the title, 9 in the section, 3 in the content; ties by id.
 
     questions: question_id, question. chunks: chunk_id, title, section, content. Terms match anywhere, in any case. A null
-    question has no hits, a null column holds no term.
+    question has no hits, a null column holds no term. cut parts words of ideographs (see `lexical_terms`).
     """
-    asked = questions.select("question_id", F.coalesce(lexical_terms(F.col("question")), F.array()).alias("terms"))
+    asked = questions.select("question_id", F.coalesce(lexical_terms(F.col("question"), cut), F.array()).alias("terms"))
     rows = searchable(chunks).select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "section", "content")])
     scorer = lambda held: phrase_scores([[(t, 1.0) for t in terms] for terms in held["terms"]], [("title", 8), ("section", 9), ("content", 3)])
     return best_of_all(asked, rows, scorer, k, batch, "int")
 
 
+def checked_questions(questions: DataFrame) -> DataFrame:
+    """question_id and _q, the vector as doubles; one that is null, empty, zero or not finite is an error."""
+    asked = questions.select("question_id", F.col("vector").cast("array<double>").alias("_q"))
+    good = F.coalesce((F.size("_q") > 0) & ~F.exists("_q", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_q", lambda x: x != 0), F.lit(False))
+    return asked.withColumn("_q", F.when(good, F.col("_q")).otherwise(F.raise_error(F.lit("a question vector must be finite and not zero"))))
+
+
 def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH, batch: int = QUESTIONS) -> DataFrame:
     """question_id, chunk_id, score, rank by cosine of unit vectors; columns question_id and vector, chunk_id and vector.
 
@@ -150,9 +172,7 @@ def vector_search(questions: DataFrame, vectors: DataFrame, k: int = BRANCH, bat
     task keeps k for each question. A question vector that is null, empty, of zero length or not finite is an error, as
     is one of another width than the vectors. Vectors that are null take no part.
     """
-    asked = questions.select("question_id", F.col("vector").cast("array<double>").alias("_q"))
-    good = F.coalesce((F.size("_q") > 0) & ~F.exists("_q", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_q", lambda x: x != 0), F.lit(False))
-    asked = asked.withColumn("_q", F.when(good, F.col("_q")).otherwise(F.raise_error(F.lit("a question vector must be finite and not zero"))))
+    asked = checked_questions(questions)
     rows = vectors.select("chunk_id", "vector").filter("vector IS NOT NULL")
 
     def scorer(held: pd.DataFrame):
@@ -173,14 +193,14 @@ def fused(semantic: DataFrame, lexical: DataFrame, k: int | None = None) -> Data
     return top_by(both, ["question_id"], [F.col(o) if isinstance(o, str) else o for o in order], k or 1 << 30)
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, category: str | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, category: str | None = None, cut: Cut = in_pairs) -> DataFrame:
     """Both searches, fused, then filtered by category and cut to k (1 to 50); every hit must have a chunk row."""
     from .tables import hydrated
 
     if not 1 <= k <= 50:
         raise ValueError("k must be from 1 to 50")
     own = chunks if category is None else chunks.filter(F.col("category") == category)
-    hits = fused(vector_search(questions, vectors), lexical_search(questions, own)).drop("rank")
+    hits = fused(vector_search(questions, vectors), lexical_search(questions, own, cut=cut)).drop("rank")
     rows = hydrated(hits, chunks.select("chunk_id", "title", "section", "category", "content"), "chunk_id", "content")
     if category is not None:
         rows = rows.filter(F.col("category") == category)

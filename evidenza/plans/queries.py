@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chunking, dialogue, layout, ledger, profile, reports, retrieval, suites, tables
+from ..operators import chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -621,6 +623,27 @@ def run_states(spark, sf_dir):
     return ledger.runs(e.join(clear, "run_id", "left_semi")).select("run_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("began", "ended")], "state")
 
 
+@query()
+def indexed_topk(spark, sf_dir):
+    """The 50 nearest vectors of every question's, by an index of all vectors in the shared folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir")
+    held = index.build(vectors(spark, sf_dir), f"{folder}/index-{uuid.uuid4().hex}")
+    return index.search(held, asked_vectors(spark, sf_dir), 50)
+
+
+@query("""
+WITH w AS (SELECT item_id AS question_id, regexp_split_to_array(lower(text), '[\\s,，。！？；;、.!?]+') AS words FROM benchmark),
+p AS (SELECT question_id, list_transform(words, lambda w: regexp_extract_all(w, '[\\x{4e00}-\\x{9fff}]+|[^\\x{4e00}-\\x{9fff}]+')) AS parts FROM w),
+t AS (SELECT question_id, flatten(list_transform(flatten(parts), lambda x: CASE WHEN NOT regexp_matches(x, '[\\x{4e00}-\\x{9fff}]') THEN [x]
+    WHEN length(x) < 2 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) END)) AS terms FROM p),
+u AS (SELECT question_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS n FROM t)
+SELECT question_id, term, CAST(row_number() OVER (PARTITION BY question_id ORDER BY min(n)) AS INTEGER) AS place FROM u
+WHERE length(term) >= 2 AND term NOT IN ('""" + "', '".join(retrieval.STOPWORDS) + """') GROUP BY question_id, term""")
+def question_terms(spark, sf_dir):
+    found = questions(spark, sf_dir).select("question_id", F.posexplode(retrieval.lexical_terms(F.col("question"))).alias("_at", "term"))
+    return found.select("question_id", "term", (F.col("_at") + 1).alias("place"))
+
+
 @query()
 def layout_chunks(spark, sf_dir):
     """Conversations as laid-out documents: every third turn a heading."""
