@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +48,18 @@ def complete_run(spark: SparkSession, path: str, run_id: str, at, n_chunks: int
 
 
 def runs(events: DataFrame) -> DataFrame:
-    """One row a run: its document and model, when it began and ended, and its last state."""
+    """One row a run: its document and model, when it began and ended, and its last state, with that state's count and error.
+
+    A state that ends a run counts more than one that says it runs. Of several, the latest; at one time the one of the
+    largest event_id, if events have one, and then failed before success, so a failure is never hidden.
+    """
     done = F.col("state") != "running"
-    last = {n: F.max(F.when(done, F.col(n))).alias(n) for n in ("n_chunks", "error")}
+    tie = [F.col("event_id")] if "event_id" in events.columns else []
+    last_of = F.struct(done.alias("d"), "at", *tie, (F.col("state") == "failed").alias("f"), F.col("state").alias("s"), F.col("n_chunks").alias("n"), F.col("error").alias("e"))
+    last = {n: F.max_by(F.when(done, F.col(n)), last_of).alias(n) for n in ("n_chunks", "error")}
     return events.groupBy("run_id").agg(
         F.max("document_id").alias("document_id"), F.max("model_name").alias("model_name"), F.min("at").alias("began"), F.max(F.when(done, F.col("at"))).alias("ended"),
-        F.max_by("state", F.struct(done.alias("d"), "at")).alias("state"), *last.values(),
+        F.max_by("state", last_of).alias("state"), *last.values(),
     )
 
 
@@ -63,14 +70,15 @@ def audit_events(changes: DataFrame, user: Column, action: str, at: Column, *det
 
 def write_version(df: DataFrame, path: str, at) -> None:
     """A new version of a table beside the old ones; readers see it once it is written and named as the last."""
-    version = uuid.uuid4().hex
+    # Names go by the time of writing, so that versions of one time are in the order in which they were written.
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/versions/{version}")
     appended(df.sparkSession, f"{path}/named", "version string, at timestamp", (version, at))
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
-    """The version named last; without one the table's path is an error."""
-    last = spark.read.parquet(f"{path}/named").orderBy(F.desc("at"), "version").first()
+    """The version named last: of the latest time, at one time that of the largest name; without one the table's path is an error."""
+    last = spark.read.parquet(f"{path}/named").orderBy(F.desc("at"), F.desc("version")).first()
     return spark.read.parquet(f"{path}/versions/{last.version}")
 
 

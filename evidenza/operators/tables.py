@@ -28,9 +28,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]
     return one_each(new, keys, order).unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
-def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Old rows with `columns` from the new row of their key, if any; new keys are added."""
-    renamed = new.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in new.columns if c not in keys])
+def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Old rows with `columns` from the new row of their key, if any; new keys are added. Of new rows that repeat a key, the first in `order`."""
+    renamed = one_each(new, keys, order).select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in new.columns if c not in keys])
     rest = [c for c in old.columns if c not in keys]
     pick = lambda c: F.when(F.col("_new") & (F.col("_old").isNull() | F.lit(c in columns)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
     return old.withColumn("_old", F.lit(True)).join(renamed, keys, "full").select(*keys, *[pick(c) for c in rest])
@@ -45,9 +45,12 @@ def deleted(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
-def patched(old: DataFrame, patches: DataFrame, key: str, keep_if_blank: list[str], keep_if_null: list[str], always: list[str]) -> DataFrame:
-    """Blank or null patches keep the old value, as listed; columns in `always` are replaced, by null too."""
-    p = patches.select(key, F.lit(True).alias("_p"), *[F.col(c).alias(f"_{c}") for c in (*keep_if_blank, *keep_if_null, *always)])
+def patched(old: DataFrame, patches: DataFrame, key: str, keep_if_blank: list[str], keep_if_null: list[str], always: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Blank or null patches keep the old value, as listed; columns in `always` are replaced, by null too.
+
+    Of patches that repeat a key, the first in `order`, so rows of old stay as many as they are.
+    """
+    p = one_each(patches, [key], order).select(key, F.lit(True).alias("_p"), *[F.col(c).alias(f"_{c}") for c in (*keep_if_blank, *keep_if_null, *always)])
     new = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)) for c in keep_if_blank}
     new |= {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in keep_if_null}
     new |= {c: F.when(F.col("_p"), F.col(f"_{c}")).otherwise(F.col(c)) for c in always}

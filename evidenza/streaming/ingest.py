@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import first_by, upsert
+from ..operators.stores import Stores
 
 
 def page_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps at `target` the last row of each key. A batch writes a new version folder, so one that runs again is harmless."""
-    spark = stream.sparkSession
+def upsert_stream(stream: DataFrame, stores: Stores, name: str, order: str, checkpoint: str):
+    """Keeps in a table of stores the last row of each key. A batch rewrites the buckets that it hits, in one commit; one that runs again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = first_by(batch, keys, [F.desc(order)])
-        if number:
-            new = upsert(spark.read.schema(batch.schema).parquet(f"{target}/v{number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{target}/v{number}")
+        stores.merge(name, batch, [F.desc(order)], number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from evidenza.functions import health, text
 from evidenza.operators import chunking, dialogue, profile, retrieval, tables
 from evidenza.sources import files
+from evidenza.operators.stores import Stores, Table
 from evidenza.streaming.ingest import page_stream, upsert_stream
 
 
@@ -179,14 +180,14 @@ def test_files(spark, tmp_path):
 
 
 def test_stream_upsert(spark, tmp_path):
-    source = tmp_path / "in"
+    source, stores = tmp_path / "in", Stores(spark, str(tmp_path / "out"), {"pages": Table("k int, v int", ["k"])}, 4)
     source.mkdir()
     for i in range(2):
         (source / f"{i}.json").write_text(f'{{"k": 1, "v": {i}}}\n{{"k": {i + 5}, "v": 9}}\n')
-        q = upsert_stream(page_stream(spark, str(source), "k int, v int"), str(tmp_path / "out"), ["k"], "v", str(tmp_path / "cp"))
+        q = upsert_stream(page_stream(spark, str(source), "k int, v int"), stores, "pages", "v", str(tmp_path / "cp"))
         q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out/v1"))
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (5, 9), (6, 9)]
+    assert stores.state()["number"] == 2
+    assert sorted(tuple(r) for r in stores.read("pages").collect()) == [(1, 1), (5, 9), (6, 9)]
 
 
 def test_profile_keywords(spark):
