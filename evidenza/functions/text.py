@@ -28,8 +28,13 @@ def clean_report(c: Column) -> Column:
     return strip(F.regexp_replace(one, "\n{3,}", "\n\n"))
 
 
-def clean_layout(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, BLANKS, " "), "\n+", "\n"))
+def number_text(c: Column) -> Column:
+    """A double as its shortest digits: in full from 0.0001 to below 10^16, else with an exponent of two digits or more."""
+    size, said = F.abs(c), c.cast("string")
+    whole = F.regexp_replace(F.rtrim(c.cast("decimal(38,21)").cast("string"), F.lit("0")), "\\.$", ".0")
+    short = F.regexp_replace(F.regexp_replace(said, "\\.0E", "E"), "E-(\\d)$", "E-0$1")
+    power = F.regexp_replace(F.regexp_replace(short, "E-", "e-"), "E", "e+")
+    return F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), said).when((size >= 1e-4) & (size < 1e16), whole).when(F.isnan(c) | (size == float("inf")), said).otherwise(power)
 
 
 #: Spaces that a scan may hold; newlines are not among them.

