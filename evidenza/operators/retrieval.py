@@ -23,6 +23,8 @@ STOPWORDS = ("有", "有哪些", "哪些", "什么", "是什么", "怎么", "如
 QUESTIONS = 10_000
 BRANCH = 50
 RRF_K, LEXICAL_WEIGHT = 60, 1.5
+#: The rank of a hit in a search that did not find it.
+ABSENT = 10_000
 
 
 def lexical_terms(question: Column, cut: Cut = in_pairs) -> Column:
@@ -188,13 +190,18 @@ def fused(semantic: DataFrame, lexical: DataFrame, k: int | None = None) -> Data
     b = lexical.select("question_id", "chunk_id", F.col("rank").alias("lexical_rank"))
     part = lambda c, w: F.coalesce(w / (RRF_K + F.col(c)), F.lit(0.0))
     both = a.join(b, ["question_id", "chunk_id"], "full").withColumn("score", part("semantic_rank", 1.0) + part("lexical_rank", LEXICAL_WEIGHT))
-    both = both.withColumns({c: F.coalesce(c, F.lit(10_000)) for c in ("semantic_rank", "lexical_rank")})
+    both = both.withColumns({c: F.coalesce(c, F.lit(ABSENT)) for c in ("semantic_rank", "lexical_rank")})
     order = [F.desc("score"), "semantic_rank", "lexical_rank", "chunk_id"]
     return top_by(both, ["question_id"], [F.col(o) if isinstance(o, str) else o for o in order], k or 1 << 30)
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, category: str | None = None, cut: Cut = in_pairs) -> DataFrame:
-    """Both searches, fused, then filtered by category and cut to k (1 to 50); every hit must have a chunk row."""
+def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, category: str | None = None, cut: Cut = in_pairs, model: str | None = None) -> DataFrame:
+    """Both searches, fused, then filtered by category and cut to k (1 to 50); every hit must have a chunk row.
+
+    With a model, each result that the vector search found must agree with its chunk in document_id, content_hash and
+    pdf_page, which both tables then hold, and the chunk's model_name must be the model; a difference is an error.
+    """
+    from .suites import same_in_stores
     from .tables import hydrated
 
     if not 1 <= k <= 50:
@@ -204,7 +211,15 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     rows = hydrated(hits, chunks.select("chunk_id", "title", "section", "category", "content"), "chunk_id", "content")
     if category is not None:
         rows = rows.filter(F.col("category") == category)
-    return top_by(rows, ["question_id"], [F.desc("score"), F.col("semantic_rank"), F.col("lexical_rank"), F.col("chunk_id")], k)
+    found = top_by(rows, ["question_id"], [F.desc("score"), F.col("semantic_rank"), F.col("lexical_rank"), F.col("chunk_id")], k)
+    if model is None:
+        return found
+    names = ("document_id", "content_hash", "pdf_page")
+    held = found.join(vectors.select("chunk_id", F.lit(True).alias("_held"), *names), "chunk_id", "left")
+    checked = same_in_stores(held, chunks, model)
+    said = F.concat(F.lit("stores differ for chunk "), F.col("chunk_id").cast("string"), F.lit(" in "), F.array_join("reasons", ", "))
+    same = F.col("_held").isNull() | (F.col("semantic_rank") == ABSENT) | (F.size("reasons") == 0)
+    return checked.withColumn("rank", F.when(same, F.col("rank")).otherwise(F.raise_error(said))).select(*found.columns)
 
 
 def fallback_search(questions: DataFrame, chunks: DataFrame, k: int, batch: int = QUESTIONS) -> DataFrame:

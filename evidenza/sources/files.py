@@ -8,17 +8,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import clean_report, confidence, strip
 
 
-def jsonl_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rejected lines (file, text) that are not an object of the schema; blank lines count for neither."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, blank lines count) and value of text files, which Spark may split.
+
+    A split's lines come in order, so a line's number is its place in the split and the lines of the splits before it in
+    its file: one pass counts the lines of splits, another joins the counts.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", at.alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_at.file").orderBy("_at.start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(starts, "_at").select("_at.file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: str, ordinals: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and rejected lines (file, line, value) that are not an object of the schema; blank lines count for neither.
+
+    With ordinals, good rows also carry file and line, the order in which sources hold them.
+    """
     fields = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path).filter(F.btrim("value") != "").select("value", F.input_file_name().alias("file"))
+    lines = numbered_lines(spark, path).filter(F.btrim("value") != "")
     parsed = lines.withColumn("_r", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
-    return parsed.filter(~bad).select("_r.*").drop("_bad"), parsed.filter(bad).select("file", "value")
+    own = ["file", "line"] if ordinals else []
+    return parsed.filter(~bad).select("_r.*", *own).drop("_bad"), parsed.filter(bad).select("file", "line", "value")
 
 
 def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
