@@ -54,10 +54,11 @@ def model_or_rules(reports: DataFrame, model: DataFrame, rules: DataFrame) -> tu
     return model.unionByName(rules.join(none, "report_id", "left_semi")), failed.unionByName(none)
 
 
-def targets(items: DataFrame, key: str, order: list[Column], k: int = TARGETS) -> DataFrame:
+def targets(items: DataFrame, key: str, order: list[Column], k: int = TARGETS, identity: list[str] | None = None) -> DataFrame:
     """The items to look up, at most k for each key: out of range, then near a bound; without those normal ones, else unknown ones.
 
-    items: key, value, low, high and those of order. Adds status and is_near.
+    items: key, value, low, high and those of order. Adds status and is_near. Of items that agree in the columns of
+    identity (an item's id, or what it says) only the first counts.
     """
     v = [F.col(c) for c in ("value", "low", "high")]
     w = Window.partitionBy(key)
@@ -66,6 +67,8 @@ def targets(items: DataFrame, key: str, order: list[Column], k: int = TARGETS) -
     rows = rows.withColumns({"_bad": F.bool_or(out | F.col("is_near")).over(w), "_ok": F.bool_or(ok).over(w)})
     chosen = rows.filter(F.when(F.col("_bad"), out | F.col("is_near")).when(F.col("_ok"), ok).otherwise(True))
     first = F.when(out, 0).when(F.col("is_near"), 1).otherwise(2)
+    if identity:
+        chosen = first_by(chosen, [key, *identity], [first, *order])
     return top_by(chosen, [key], [first, *order], k).drop("_bad", "_ok")
 
 
@@ -127,17 +130,20 @@ def fallback_summaries(items: DataFrame) -> DataFrame:
     return counts.join(told, "report_id", "left").select("report_id", F.concat_ws("\n\n", F.lit(NO_MODEL), F.concat(F.lit("【重点关注】\n"), focus), F.lit(NO_MODEL_END)).alias("summary"))
 
 
-def interpreted(reports: DataFrame, items: DataFrame, analyses: DataFrame) -> DataFrame:
+def interpreted(reports: DataFrame, items: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
     """report_id, status, summary, risk_level, n_items, n_abnormal.
 
     Without a real item the status is rejected. analyses: report_id, analysis (a struct as answers.analysis gives it, null if
-    the model failed or its output broke a rule); without one the summary is the fallback's and the risk unknown.
+    the model failed or its output broke a rule), or None; without one the summary is the fallback's and the risk unknown.
     """
     v = [F.col(c) for c in ("value", "low", "high")]
     real = items.filter(real_item(F.col("name"))).withColumn("status", health.status(*v))
     counts = real.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("status").isin("high", "low")).alias("n_abnormal"))
-    said = analyses.select("report_id", analysis_summary(F.col("analysis")).alias("_said"), F.col("analysis.risk_level").alias("_risk"))
-    rows = reports.select("report_id").join(counts, "report_id", "left").join(fallback_summaries(real), "report_id", "left").join(said, "report_id", "left")
+    rows = reports.select("report_id").join(counts, "report_id", "left").join(fallback_summaries(real), "report_id", "left")
+    if analyses is None:
+        rows = rows.withColumns({"_said": F.lit(None).cast("string"), "_risk": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(analyses.select("report_id", analysis_summary(F.col("analysis")).alias("_said"), F.col("analysis.risk_level").alias("_risk")), "report_id", "left")
     usable = F.col("n_items").isNotNull()
     return rows.select(
         "report_id", F.when(usable, "completed").otherwise("rejected").alias("status"), F.when(usable, F.coalesce("_said", "summary")).alias("summary"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank
+from ..operators import chains, chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -650,6 +650,55 @@ def text_rank(spark, sf_dir):
     return textrank.text_rank(questions(spark, sf_dir), own, k=10)
 
 
+def report_texts(spark, sf_dir):
+    """Each user's events as the lines of a report."""
+    e = table(spark, sf_dir, "events").withColumn("line", F.concat(F.upper("event_type"), F.lit("："), F.round("value", 2).cast("string"), F.lit(" mmol/L 20-80")))
+    each = e.groupBy(F.col("user_id").cast("string").alias("report_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l"))
+    return each.select("report_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def reports_of(spark, sf_dir):
+    own = chunks(spark, sf_dir)
+    return chains.report_chain(report_texts(spark, sf_dir), lambda asked, k: retrieval.lexical_search(asked, own, k))
+
+
+LINES = """e AS (SELECT CAST(user_id AS VARCHAR) AS report_id, upper(event_type) AS name, round(value, 2) AS value, event_id FROM events),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY event_id) - 1 AS INTEGER) AS position FROM e),
+i AS (SELECT report_id, name, value, min(position) AS position, CASE WHEN value < 20 THEN 'low' WHEN value > 80 THEN 'high' ELSE 'normal' END AS status FROM n GROUP BY report_id, name, value)"""
+
+
+@query(f"""
+WITH {LINES} SELECT report_id, position, name, value, 'mmol/L' AS unit, 20.0::DOUBLE AS low, 80.0::DOUBLE AS high, status FROM i""")
+def report_items(spark, sf_dir):
+    return chains.report_items(report_texts(spark, sf_dir))
+
+
+@query(f"""
+WITH {LINES}, t AS (SELECT *, status <> 'normal' AS bad, status = 'normal' AND least(value - 20, 80 - value) / 60 <= 0.1 AS near FROM i),
+w AS (SELECT *, bool_or(bad OR near) OVER (PARTITION BY report_id) AS any_ FROM t),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY CASE WHEN bad THEN 0 WHEN near THEN 1 ELSE 2 END, position) AS INTEGER) AS item FROM w WHERE bad OR near OR NOT any_)
+SELECT report_id, item, name || CASE status WHEN 'high' THEN ' 偏高 健康意义' WHEN 'low' THEN ' 偏低 健康意义' ELSE ' 检查结果 参考范围 健康意义' END AS question FROM r WHERE item <= 6""")
+def report_targets(spark, sf_dir):
+    return reports_of(spark, sf_dir)["targets"].select("report_id", "item", "question")
+
+
+@query()
+def report_summaries(spark, sf_dir):
+    return reports_of(spark, sf_dir)["summaries"]
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """Documents as page records: language as title, every seventh not searchable."""
+    d = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    pages = d.select(
+        F.col("source").alias("document_id"), F.col("doc_id").alias("pdf_page"), F.col("doc_id").cast("string").alias("printed_page"), F.col("lang").alias("title"), F.col("text").alias("body_text"),
+        none.alias("table_text"), none.alias("figure_text"), F.col("text").alias("search_text"), (F.col("doc_id") % 7 != 0).alias("searchable"),
+    )
+    return chains.chunked_pages(pages, "m")[0]
+
+
 @query()
 def layout_chunks(spark, sf_dir):
     """Conversations as laid-out documents: every third turn a heading."""
