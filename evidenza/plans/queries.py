@@ -62,7 +62,9 @@ def chunk_identity(spark, sf_dir):
     return d.select("doc_id", text.chunk_id(F.col("source"), F.col("doc_id"), F.lit(0), text.sha256(F.col("text"))).alias("chunk_id"))
 
 
-@query()
+@query(f"""
+WITH h AS (SELECT doc_id, sha1(unhex('{text.URL_NAMESPACE}') || encode(sha256(text))) AS h FROM documents)
+SELECT doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', CAST('0x' || h[17:17] AS INTEGER) % 4 + 1, 1) || h[18:20], h[21:32]) AS chunk_uuid FROM h""")
 def uuid_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.uuid5(text.sha256(F.col("text"))).alias("chunk_uuid"))
 
@@ -467,7 +469,14 @@ def box_percent(spark, sf_dir):
     return x.select("l_orderkey", "l_linenumber", *[F.round(text.percent(edge[s], F.lit(40.0)), 6).alias(f"{s}_percent") for s in ("left", "right")])
 
 
-@query()
+@query("""
+WITH x AS (SELECT l_orderkey AS page, CAST(l_quantity AS DOUBLE) AS "left", CAST(l_linenumber AS DOUBLE) AS top, CAST(l_quantity AS DOUBLE) + 5 AS "right", 100.0::DOUBLE AS width, 100.0::DOUBLE AS height FROM lineitem),
+s AS (SELECT *, "left" < width / 2 AND width / 2 < "right" AND "right" - "left" >= width * 0.45 AS spans, ("left" + "right") / 2 <= width / 2 AS low FROM x),
+g AS (SELECT page, count(*) FILTER (WHERE NOT spans AND low) AS n_left, count(*) FILTER (WHERE NOT spans AND NOT low) AS n_right, max("right") FILTER (WHERE NOT spans AND low) AS most_left,
+  min("left") FILTER (WHERE NOT spans AND NOT low) AS least_right, min(top) FILTER (WHERE NOT spans) AS first FROM s GROUP BY page),
+o AS (SELECT s.page, top, "left", CASE WHEN NOT coalesce(n_left >= 4 AND n_right >= 4 AND least_right - most_left > width * 0.03, FALSE) THEN 0
+  WHEN NOT spans AND low THEN 1 WHEN NOT spans THEN 2 WHEN top <= first + greatest(20, height * 0.03) THEN 0 ELSE 3 END AS section FROM s JOIN g USING (page))
+SELECT page, top, "left", CAST(row_number() OVER (PARTITION BY page ORDER BY section, top, "left") AS INTEGER) AS position FROM o""")
 def reading_order(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("left"), F.col("l_linenumber").cast("double").alias("top"), (F.col("l_quantity") + 5).alias("right"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height")
