@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chains, chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank
+from ..operators import chains, chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank, views
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -708,6 +708,31 @@ def document_chunks(spark, sf_dir):
     return chains.chunked_pages(pages, "m")[0]
 
 
+@query("""
+WITH c AS (SELECT source AS document_id, count(*) FILTER (WHERE n_chars > 400) AS n_chunks FROM documents GROUP BY source),
+v AS (SELECT source AS document_id, count(*) AS n_vectors FROM embeddings JOIN documents ON doc_id = vec_id GROUP BY source)
+SELECT document_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_vectors, 0) AS n_vectors FROM c FULL JOIN v USING (document_id)""")
+def document_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "document_id")
+    v = table(spark, sf_dir, "embeddings").join(d.select(F.col("doc_id").alias("vec_id"), "document_id"), "vec_id")
+    return views.document_counts(d, v, condition=F.col("n_chars") > 400)
+
+
+@query("""
+SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS INTEGER) AS place FROM events""")
+def recent_first(spark, sf_dir):
+    return views.recent_first(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").drop("ts")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_orderkey, o_custkey, n = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) AS is_accepted FROM r""")
+def unique_inserts(spark, sf_dir):
+    """Even orders are there, odd ones come; a customer has one row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return views.unique_inserts(o.filter("o_orderkey % 2 = 0").drop("o_orderkey"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], [F.col("o_orderkey")])
+
+
 @query()
 def layout_chunks(spark, sf_dir):
     """Conversations as laid-out documents: every third turn a heading."""

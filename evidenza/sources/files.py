@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,14 +71,14 @@ def embedding_bundle(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(unpack, "file string, ordinal long, chunk_id string, content_hash string, pdf_page long, embedding array<float>")
 
 
-def layout_blocks(spark: SparkSession, path: str) -> DataFrame:
+def layout_blocks(spark: SparkSession, path: str, trees: bool = False) -> DataFrame:
     """Blocks of layout lists, bare or as `content_list`: folder, file, ordinal, kind, text, page (from 1), box, level.
 
-    Of each folder the first file that has a block is read: content_list.json, then the others by name. Files that aren't such
+    Of each folder (with trees: of each folder below path and all below that) the first file that has a block is read: content_list.json, then the others by name. Files that aren't such
     lists and blocks without text are skipped. A list as text is joined by newlines; each field has more than one name.
     """
     file = F.input_file_name()
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract(file, "^(.*)/", 1).alias("folder"), file.alias("file"), F.try_parse_json("value").alias("v"))
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract(file, f"^(.*/{re.escape(path.rstrip('/').rsplit('/', 1)[-1])}/[^/]+)/" if trees else "^(.*)/", 1).alias("folder"), file.alias("file"), F.try_parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.content_list", "array<variant>"))
     b = whole.select("folder", "file", F.posexplode(listed).alias("ordinal", "b"))
     get = lambda n, kind="string": F.try_variant_get("b", f"$.{n}", kind)
@@ -100,6 +101,30 @@ def clean_layout_block(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), "[ \\t]+", " "))
 
 
+def page_texts(files: DataFrame, extractor, content: str = "content") -> DataFrame:
+    """files without their bytes, a row a page with text: page (from 1), text (cleaned) and error.
+
+    extractor() gives a function from bytes to the texts of pages, and is called in each task. Blank pages are left out.
+    A file that it fails on is one row without page and text, with the error.
+    """
+    kind = "array<struct<page:int,text:string,error:string>>"
+
+    def extracted(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pages_of = extractor()
+        for column in columns:
+            out = []
+            for data in column:
+                try:
+                    out.append([(i, t, None) for i, t in enumerate(pages_of(data), 1) if t and t.strip()] if data is not None else [])
+                except Exception as error:  # whatever a foreign extractor raises belongs to its file
+                    out.append([(None, None, f"{type(error).__name__}: {error}")])
+            yield pd.Series(out)
+
+    pages = F.explode(F.pandas_udf(extracted, kind)(F.col(content))).alias("_p")
+    rows = files.select(F.struct(*[c for c in files.columns if c != content]).alias("_row"), pages)
+    return rows.select("_row.*", "_p.page", clean_report(F.col("_p.text")).alias("text"), "_p.error").filter("error IS NOT NULL OR text <> ''")
+
+
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds text: bytes as UTF-8, GB18030 or Latin-1, the first that reads and holds a digit, cleaned; none or null: empty."""
     from pyspark.sql.functions import pandas_udf
