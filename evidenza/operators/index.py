@@ -23,6 +23,8 @@ SAMPLE, ROUNDS = 20_000, 12
 #: A cell's rows are written by as many tasks as hold about this many rows each.
 ROWS_A_FILE = 1_000_000
 METRIC = "cosine"
+#: A build measures on this many vectors, searched exactly, how many cells a search must probe for this recall.
+MEASURED, RECALL = 128, 0.95
 
 
 @dataclass
@@ -33,6 +35,7 @@ class Index:
     rows: DataFrame
     centroids: np.ndarray
     fields: dict[str, str]
+    probes: int
 
     @property
     def width(self) -> int:
@@ -55,13 +58,14 @@ def fitted(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return at
 
 
-def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, fields: tuple[str, ...] = ()) -> Index:
+def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, fields: tuple[str, ...] = (), recall: float = RECALL) -> Index:
     """Writes an index of all rows of vectors (chunk_id, vector and `fields`) under path and names it as the one to open.
 
     Vectors are scaled to unit length. Rows with a null vector are left out; null or non-finite components, zero vectors
     and vectors of several widths are an error. cells: about the square root of the number of rows, if not given. At
     most `sample` rows, by a hash of chunk_id, decide the centroids; every row goes to its nearest one. An index of no
-    rows is an error. Readers see the new index once it is written whole.
+    rows is an error. Readers see the new index once it is written whole, with the number of cells that a search probes to
+    find a share of `recall` of the 50 nearest, as measured on MEASURED of its vectors against all others.
     """
     spark = vectors.sparkSession
     x = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), *fields).filter("vector IS NOT NULL")
@@ -84,12 +88,28 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int =
     version = uuid.uuid4().hex
     placed.repartition(F.col("cell"), F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.partitionBy("cell").parquet(f"{path}/rows/{version}")
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
-    entry = (version, METRIC, len(centroids[0]), json.dumps(kinds), json.dumps(centroids.tolist()))
-    schema = "version string, metric string, width int, fields string, centroids string"
+    rows = spark.read.schema(placed.schema).parquet(f"{path}/rows/{version}")
+    entry = (version, METRIC, len(centroids[0]), json.dumps(kinds), json.dumps(centroids.tolist()), probes_for(rows, centroids, recall))
+    schema = "version string, metric string, width int, fields string, centroids string, probes int"
     spark.createDataFrame([entry], schema).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/catalog")
     return opened(spark, path, len(centroids[0]))
 
 
+def probes_for(rows: DataFrame, centroids: np.ndarray, recall: float, k: int = BRANCH, measured: int = MEASURED) -> int:
+    """How many of the nearest cells hold a share of `recall` of the k nearest others of `measured` vectors, chosen by a hash of chunk_id."""
+    chosen = rows.orderBy(F.xxhash64(F.lit("measured"), "chunk_id"), "chunk_id").limit(measured).select("chunk_id", "vector")
+    held = chosen.toPandas()
+    asked = rows.sparkSession.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(held["vector"])], "question_id int, vector array<double>")
+    found = best_of_all(checked_questions(asked), rows.select("chunk_id", "vector"), lambda part: lambda batch: np.stack(batch["vector"].to_numpy()) @ np.stack(part["_q"].to_numpy()).T, k + 1, QUESTIONS)
+    # At most measured * (k + 1) cells.
+    cells = found.join(rows.select("chunk_id", "cell"), "chunk_id").filter(F.col("rank") > 1).select("question_id", "cell").toPandas()
+    if not len(cells):
+        return 1
+    order = np.argsort(-(np.stack(held["vector"].to_numpy()) @ centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)[cells["question_id"].to_numpy(), cells["cell"].to_numpy()]
+    return int(np.quantile(place, recall, method="higher")) + 1
+
+
 def opened(spark: SparkSession, path: str, width: int, fields: tuple[str, ...] = ()) -> Index:
     """The index named last under path, checked against what a search needs; whatever differs is an error that says so."""
     entry = spark.read.parquet(f"{path}/catalog").orderBy(F.desc("at"), F.desc("version")).first()
@@ -104,17 +124,17 @@ def opened(spark: SparkSession, path: str, width: int, fields: tuple[str, ...] =
     if wrong:
         raise ValueError(f"index at {path} does not fit: {'; '.join(wrong)}")
     rows = spark.read.schema(", ".join(f"`{c}` {k}" for c, k in kinds.items())).parquet(f"{path}/rows/{entry.version}")
-    return Index(spark, rows, np.array(json.loads(entry.centroids)), kinds)
+    return Index(spark, rows, np.array(json.loads(entry.centroids)), kinds, entry.probes)
 
 
-def search(index: Index, questions: DataFrame, k: int = BRANCH, probes: int = 16, where=None, batch: int = QUESTIONS) -> DataFrame:
-    """question_id, chunk_id, score (cosine), rank: the k best rows of the `probes` cells nearest to each question.
+def search(index: Index, questions: DataFrame, k: int = BRANCH, probes: int | None = None, where=None, batch: int = QUESTIONS) -> DataFrame:
+    """question_id, chunk_id, score (cosine), rank: the k best rows of the `probes` cells nearest to each question; the index's own number, if not given.
 
     questions: question_id and vector, checked as in the exact search. where: a condition on the index's fields that is
     pushed to the files. With as many probes as cells the result is that of the exact search.
     """
     centroids = index.centroids
-    probes = min(probes, len(centroids))
+    probes = min(index.probes if probes is None else probes, len(centroids))
     rows = index.rows if where is None else index.rows.filter(where)
     asked = checked_questions(questions)
 
