@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import health
@@ -119,7 +120,9 @@ def fallback_summaries(items: DataFrame) -> DataFrame:
     """
     out = F.col("status").isin("high", "low")
     first = top_by(items.filter(out), ["report_id"], [F.col("position")], LISTED)
-    value = F.coalesce(number_text(F.col("value").cast("double")), F.lit("-"))
+    # Whole numbers of a whole type are told without a point.
+    fraction = isinstance(items.schema["value"].dataType, (T.DoubleType, T.FloatType))
+    value = F.coalesce(number_text(F.col("value").cast("double")) if fraction else F.col("value").cast("string"), F.lit("-"))
     line = F.concat(F.lit("- "), "name", F.lit("："), labelled(STATUS_LABELS, F.col("status")), F.lit("，结果 "), value, F.lit(" "), F.coalesce("unit", F.lit("")))
     told = first.select("report_id", "rank", line.alias("line")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
     told = told.select("report_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("_said"))
