@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix_stage),
     ("packing", pack_stage),
 ]
-#: SQL cannot express the classifier, the signatures or the tokens; tests/llm holds the stages against plain versions.
+#: SQL cannot express the classifier, the signatures or the tokens; tests/llm holds each operator against a plain version, and of the stages columns, counts and kept rows.
 ORACLE_SQL = None
 
 
