@@ -6,7 +6,8 @@ falls with the document's weight are thrown, a few hundred whatever its length;
 coordinates, and the earliest dart of each coordinate is kept. Two documents agree in a coordinate with the chance of
 their weighted Jaccard similarity. Bands of coordinates give buckets. Each document is compared, on whole shingle sets,
 with the first of its buckets, and what that joins is contracted; buckets that are of one component by then are done, of
-the others the rest goes on, at last block by block, so that no link is lost and alike rows cost a pair for each bucket.
+the others the rest goes on, at last by the rarest shingles of each set, of which alike sets share one: block by block, so
+that no link is lost, alike rows cost a pair for each bucket, and unlike rows of one bucket part without being compared.
 """
 
 from __future__ import annotations
@@ -144,15 +145,36 @@ def with_leads(rows: DataFrame) -> DataFrame:
     return rows.join(leads.select("_bucket", F.col("_first._id").alias("_lead"), F.col("_first._size").alias("_lead_size")), "_bucket")
 
 
+def several(rows: DataFrame) -> DataFrame:
+    """The rows (_id, _size, _bucket, _label) of buckets that hold several labels. Of buckets with the same rows one is enough."""
+    mixed = rows.groupBy("_bucket").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.sum(F.hash("_id").cast("long")).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    one = mixed.filter("_a <> _b").groupBy("_x", "_y", "_n").agg(F.min("_bucket").alias("_bucket"))
+    return rows.join(one.select("_bucket"), "_bucket").select("_id", "_size", "_bucket", "_label")
+
+
 def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (_id, _size, _bucket, _label) besides the leads of buckets whose other rows are of several components.
 
-    Leads have been compared with all of their bucket. Of buckets with the same rows one is enough.
+    Leads have been compared with all of their bucket.
     """
     rest = shared.filter("_id <> _lead").join(labels.toDF("_id", "_label"), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    mixed = rest.groupBy("_bucket").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.sum(F.hash("_id").cast("long")).alias("_y"), F.count(F.lit(1)).alias("_n"))
-    one = mixed.filter("_a <> _b").groupBy("_x", "_y", "_n").agg(F.min("_bucket").alias("_bucket"))
-    return rest.join(one.select("_bucket"), "_bucket").select("_id", "_size", "_bucket", "_label")
+    return several(rest)
+
+
+def by_rare(rest: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The rows of rest (_id, _size, _label) once for each of their rarest shingles, which is the _bucket now.
+
+    Shingles are ordered by how many rows of rest hold them. Sets that are `threshold` alike share that part of the larger
+    at least, so of the first size - ceil(threshold * size) + 1 shingles of both one is the same. What many rows share
+    comes last in the order, so unlike rows part here, and rows grow with the texts, not with the square of a bucket.
+    """
+    ones = rest.select("_id", "_size", "_label").distinct()
+    held_by = ones.join(held.select("_id", "_set"), "_id").select("_id", "_size", "_label", F.explode("_set").alias("_shingle"))
+    often = held_by.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = held_by.join(often, "_shingle").groupBy("_id", "_size", "_label").agg(F.sort_array(F.collect_list(F.struct("_n", "_shingle"))).alias("_order"))
+    first = F.slice("_order", F.lit(1), (F.col("_size") - F.ceil((threshold - 1e-9) * F.col("_size")) + 1).cast("int"))
+    rare = ordered.select("_id", "_size", "_label", F.explode(first).alias("_rare")).filter("_rare._n > 1")
+    return rare.select("_id", "_size", F.col("_rare._shingle").cast("long").alias("_bucket"), "_label")
 
 
 def in_tiles(rest: DataFrame, held: DataFrame, threshold: float, tile: int, steps: Steps) -> DataFrame:
@@ -211,8 +233,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         second = steps.written(with_leads(open_.drop("_label")), "second")
         links = links.unionByName(steps.written(to_leads(second, held, threshold), "links"))
         open_ = steps.written(still_open(second, components(links, steps)), "open")
-        # What is left is compared in full.
-        links = links.unionByName(steps.written(in_tiles(open_, held, threshold, tile, steps), "links"))
+        # What is left is compared in full where a rare shingle is shared.
+        rare = steps.written(by_rare(open_, held, threshold), "rare")
+        last = steps.written(several(rare), "last")
+        links = links.unionByName(steps.written(in_tiles(last, held, threshold, tile, steps), "links"))
         groups = components(links, steps)
     classes = heads.join(groups.withColumnRenamed("node", "_head"), "_head", "left").select("_sha", F.coalesce("label", "_head").alias("_class"))
     whole = steps.written(all_rows.select("_id", "_key", "_sha").join(classes, "_sha"), "whole")

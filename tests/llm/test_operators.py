@@ -490,6 +490,48 @@ def test_minhash_links_of_one_group_grow_as_the_group(spark, monkeypatch):
         assert sum(links) <= 2 * (minhash.BANDS + 2) * n
 
 
+def test_minhash_parts_unlike_rows_of_one_bucket(spark, monkeypatch):
+    """Rows that share two thirds of their words meet in buckets, but none of them is compared block by block; near copies among them are found."""
+    made = []
+    real = minhash.Steps.written
+    monkeypatch.setattr(minhash.Steps, "written", lambda self, df, name, *a: made.append((name, out := real(self, df, name, *a))) or out)
+    monkeypatch.setattr(minhash.Steps, "drop", lambda self, *tables: None)
+    monkeypatch.setattr(minhash.Steps, "result", lambda self, df, *a: df)
+    r = random.Random(21)
+    common = prose(160, r)
+    for n in (60, 180):
+        made.clear()
+        texts = [f"{common} {prose(80, r)}" for _ in range(n)]
+        texts += [f"{t} zz{i}" for i, t in enumerate(texts[::20])]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        # One row a band: nearly all texts share a bucket.
+        got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df, bands=12, rows=1, tile=8).collect()}
+        assert got == {i: i if i < n else (i - n) * 20 for i in range(len(texts))}
+        size = Counter()
+        for name, out in made:
+            size[name] += out.count()
+        assert size["open"] > n, "buckets of unlike rows are open after the rounds of leads"
+        assert size["rare"] <= 60 * len(texts) and size["last"] <= 4 * len(texts)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95, 1.0])
+def test_alike_sets_share_a_rare_shingle(spark, threshold):
+    """Every pair of sets at the threshold meets under one of the rarest shingles of both."""
+    r = random.Random(int(threshold * 100))
+    sets = []
+    for _ in range(25):
+        base = r.sample(range(400), r.randint(1, 40))
+        sets += [base, [x for x in base if r.random() > 0.1] or base, [*base, *r.sample(range(400, 460), r.randint(0, 8))]]
+    sets = [sorted(set(s)) for s in sets]
+    held = spark.createDataFrame(list(enumerate(sets)), "_id long, _set array<int>")
+    rest = held.selectExpr("_id", "size(_set) AS _size", "_id AS _label")
+    met = {}
+    for x in minhash.by_rare(rest, held, threshold).collect():
+        met.setdefault(x._bucket, set()).add(x._id)
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) >= threshold * len(set(sets[a]) | set(sets[b]))]
+    assert alike and all(any({a, b} <= ids for ids in met.values()) for a, b in alike)
+
+
 def test_darts_estimate_similarity():
     a = np.arange(1, 401, dtype=np.uint64)
     b = np.arange(41, 441, dtype=np.uint64)
