@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chains, chunking, dialogue, index, layout, ledger, profile, reports, retrieval, suites, tables, textrank, views
+from ..operators import chains, chunking, dialogue, index, layout, ledger, pages, profile, reports, retrieval, suites, tables, textrank, views
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -733,6 +733,53 @@ def unique_inserts(spark, sf_dir):
     return views.unique_inserts(o.filter("o_orderkey % 2 = 0").drop("o_orderkey"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], [F.col("o_orderkey")])
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'no_file' WHEN doc_id % 5 < 1 OR doc_id % 11 < 1 THEN 'page_below_one' WHEN doc_id % 5 > doc_id % 11 THEN 'range_reversed' WHEN n_chars IS NULL OR n_chars = 0 THEN 'unreadable'
+  WHEN doc_id % 11 > ceil(n_chars / 200.0) THEN 'beyond_last_page' END AS reason FROM documents""")
+def page_guards(spark, sf_dir):
+    """Documents as files of a page for each 200 characters, but every 13th, with a range of pages asked of each."""
+    d = table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    files = d.filter("doc_id % 13 <> 0").select("path", F.when(F.col("n_chars") > 0, F.ceil(F.col("n_chars") / 200)).alias("n_pages"))
+    asked = d.select("doc_id", "path", (F.col("doc_id") % 5).alias("first_page"), (F.col("doc_id") % 11).alias("last_page"))
+    return pages.guarded(asked, files).select("doc_id", "reason")
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id AS c, event_id % 10 AS p FROM events), drawn AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 10 AS p FROM orders),
+s AS (SELECT a.*, CASE WHEN c_custkey IS NULL THEN 'no_document' WHEN a.p < 1 OR a.p > 1 + c_custkey % 8 THEN 'no_page' WHEN drawn.c IS NOT NULL AND a.p % 2 = 0 THEN 'cached' WHEN c_custkey % 3 = 0 THEN 'no_source' ELSE 'to_render' END AS status
+  FROM a LEFT JOIN customer ON c_custkey = a.c LEFT JOIN drawn ON drawn.c = a.c AND drawn.p = a.p)
+SELECT event_id, status, CASE status WHEN 'cached' THEN 'held/' || c || '-' || p WHEN 'to_render' THEN 'new/' || c || '/' || p || '.png' END AS path FROM s""")
+def page_previews(spark, sf_dir):
+    """Customers as documents and their orders' last digits as pages drawn, of which the even ones are held; events ask for pages."""
+    c, o, e = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
+    documents = c.select(F.col("c_custkey").alias("document_id"), (1 + F.col("c_custkey") % 8).alias("page_count"), F.concat(F.lit("source/"), "c_custkey").alias("source_path"))
+    drawn = o.select(F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 10).alias("page_number")).distinct()
+    drawn = drawn.withColumn("preview_path", F.concat(F.lit("held/"), "document_id", F.lit("-"), "page_number"))
+    files = drawn.filter("page_number % 2 = 0").select(F.col("preview_path").alias("path")).unionByName(documents.filter("document_id % 3 <> 0").select(F.col("source_path").alias("path")))
+    asked = e.select("event_id", F.col("user_id").alias("document_id"), (F.col("event_id") % 10).alias("page_number"))
+    return pages.previews(asked, documents, drawn, files, "new").select("event_id", "status", "path")
+
+
+@query("""
+WITH s AS (SELECT source, count(*) AS page_count FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT vec_id AS chunk_id, s.source IS NOT NULL AS is_found, substring(sha256(s.source), 1, 12) AS document_version, page_count,
+  CASE WHEN s.source IS NOT NULL THEN round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, n_chars / (CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 400.0::DOUBLE END) * 100.0::DOUBLE)), 6) END AS right_percent,
+  '/api/v1/content/documents/' || s.source || '/pages/' || doc_id || '/preview' AS preview_url
+FROM embeddings LEFT JOIN documents ON doc_id = vec_id LEFT JOIN s USING (source)""")
+def citation_details(spark, sf_dir):
+    """Vectors cite documents as chunks, each on a page of its source that is 400 wide; every fourth page has no row."""
+    d = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    box = F.struct(F.lit(None).cast("int").alias("page"), F.array(F.lit(0.0), F.lit(0.0), F.col("n_chars").cast("double"), F.lit(10.0)).alias("bbox"))
+    chunks = d.select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("s").alias("section_title"), F.array(F.lit("h")).alias("heading_path"), F.col("doc_id").cast("int").alias("page_start"),
+        F.col("doc_id").cast("int").alias("page_end"), F.left("text", F.lit(160)).alias("source_excerpt"), F.array(box).alias("source_bboxes"),
+    )
+    sources = d.groupBy("source").agg(F.count(F.lit(1)).alias("page_count")).select(F.col("source").alias("document_id"), F.col("source").alias("title"), F.sha2("source", 256).alias("source_sha256"), "page_count")
+    paper = d.filter("doc_id % 4 <> 0").select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("page_number"), F.lit(400).alias("width"), F.lit(600).alias("height"))
+    found = pages.citation_details(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), chunks, sources, paper)
+    return found.select("chunk_id", "is_found", "document_version", "page_count", F.round(F.col("source_bboxes")[0].bbox[2], 6).alias("right_percent"), "preview_url")
+
+
 @query()
 def layout_chunks(spark, sf_dir):
     """Conversations as laid-out documents: every third turn a heading."""
