@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,6 +108,8 @@ def swept(docs: dict[int, int], gaps: dict[int, int], rooms: dict[int, int], cap
 
 #: New sequences that one row of their plan stands for.
 CHUNK = 1 << 16
+#: Of a size in one round: levels below its gaps, gaps there were, levels with new sequences, the first of these, their number, ranks placed.
+CLASS = ["_size", "_below", "_old", "_level", "_first", "_opens", "_from", "_to"]
 
 
 def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -120,8 +123,8 @@ def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> D
     left = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     done = dict.fromkeys(left, 0)
     gaps, sequences = spark.createDataFrame([], "_seq long, _room long"), 0
-    names = ["_at", "_size", "_kind", "_seq", "_slot", "length", "_rank"]
-    none = {c: F.lit(None).cast("long") for c in ("_seq", "_slot", "length", "_rank")}
+    names = ["_at", "_size", "_kind", "_seq", "_slot", "_room", "length", "_rank"]
+    none = {c: F.lit(None).cast("long") for c in ("_seq", "_slot", "_room", "length", "_rank")}
     by_level = Window.partitionBy("_at").orderBy(F.desc("_size"), "_kind")
     before = Window.partitionBy("_seq").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     found: list[str] = []
@@ -138,18 +141,21 @@ def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> D
             classes.append((n, below, old, below + old + opens * per, sequences, opens, done.get(n, 0), done.get(n, 0) + m))
             sequences += opens
         fresh_ones = sequences > so_far
-        size = F.broadcast(spark.createDataFrame(classes, "_size long, _below long, _old long, _level long, _first long, _opens long, _from long, _to long"))
+        # From Arrow the classes are rows of the plan itself: no job of their own.
+        plan = spark.createDataFrame(pa.table(dict(zip(CLASS, map(pa.array, zip(*classes, strict=True)), strict=True))))
+        size = F.broadcast(plan)
         n_times = F.when(F.col("_room") >= 4 * longest, F.floor(F.col("_room") / longest)).otherwise(1).cast("int")
-        slots = gaps.select("_seq", F.lit(0).alias("_slot"), F.col("_room").alias("_size"))
-        if any(times(room) > 1 for room in rooms):
-            slots = gaps.withColumn("_times", n_times).select("_seq", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_slot"), F.floor(F.col("_room") / F.col("_times")).alias("_size"))
+        slots = gaps.select("_seq", F.lit(0).alias("_slot"), F.col("_room").alias("_size"), "_room")
+        several = any(times(room) > 1 for room in rooms)
+        if several:
+            slots = gaps.withColumn("_times", n_times).select("_seq", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_slot"), F.floor(F.col("_room") / F.col("_times")).alias("_size"), "_room")
         slots = with_rank(slots, ["_size"], ["_seq", "_slot"], "_gap").join(size.select("_size", "_below"), "_size")
-        opens = slots.withColumns(none | {"_at": F.col("_below") + F.col("_gap"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot").cast("long")})
-        chunk = spark.createDataFrame(classes, size.schema).filter("_opens > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_opens") - 1, F.lit(CHUNK).cast("long"))))
+        opens = slots.withColumns(none | {"_at": F.col("_below") + F.col("_gap"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot").cast("long"), "_room": F.col("_room")})
+        chunk = plan.filter("_opens > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_opens") - 1, F.lit(CHUNK).cast("long"))))
         fresh = chunk.repartition("_size", "_lo").withColumn("_i", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + CHUNK, F.col("_opens")) - 1)))
         fresh = fresh.select((F.col("_first") + F.col("_i")).alias("_seq"), "_size", (F.col("_below") + F.col("_old") + F.col("_i") * per).alias("_base"))
         news = fresh.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per - 1).cast("long"))) if per > 1 else F.lit(0).cast("long"))
-        news = news.withColumns(none | {"_at": F.col("_base") + F.col("_slot"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot")})
+        news = news.withColumns(none | {"_at": F.col("_base") + F.col("_slot"), "_kind": F.lit(0), "_seq": F.col("_seq"), "_slot": F.col("_slot"), "_room": F.lit(capacity).cast("long")})
         docs = ranked.select(F.col("length").alias("_size"), "_rank").join(size, "_size").filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
         closes = docs.withColumns(none | {"_at": F.col("_level") - 1 - (F.col("_rank") - F.col("_from")), "_kind": F.lit(1), "length": F.col("_size"), "_rank": F.col("_rank")})
         every = closes.select(*names)
@@ -157,10 +163,12 @@ def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> D
             every = every.unionByName(opens.select(*names))
         if fresh_ones:
             every = every.unionByName(news.select(*names))
-        taken = every.withColumns({"_seq": F.lag("_seq").over(by_level), "_slot": F.lag("_slot").over(by_level)}).filter("_kind = 1")
+        # The gap comes with its room, so that no join with the gaps is needed; parts of one gap fill it one after another.
+        taken = every.withColumns({c: F.lag(c).over(by_level) for c in ("_seq", "_slot", "_room")}).filter("_kind = 1")
+        earlier = F.coalesce(F.sum("length").over(before), F.lit(0)) if several or (fresh_ones and per > 1) else F.lit(0)
         if fresh_ones:
             gaps = gaps.unionByName(fresh.select("_seq", F.lit(capacity).cast("long").alias("_room")))
-        placed = taken.join(gaps, "_seq").withColumn("offset", (capacity - F.col("_room") + F.coalesce(F.sum("length").over(before), F.lit(0))).cast("long"))
+        placed = taken.withColumn("offset", (capacity - F.col("_room") + earlier).cast("long"))
         placed = steps.written(placed.select(F.col("_seq").alias("sequence_id"), "length", "_rank", "offset"), "placed")
         found.append(f"{steps.folder}/{steps.n}-placed")
         for n, *_, start, end in classes:
