@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import health, labels, text
-from ..operators import chains, chunking, dialogue, index, layout, ledger, pages, profile, reports, retrieval, suites, tables, textrank, views
+from ..operators import chains, chunking, dialogue, index, layout, ledger, measures, pages, profile, reports, retrieval, suites, tables, textrank, views
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -253,7 +253,7 @@ WITH {ITEMS} SELECT user_id, count(*) FILTER (WHERE status = 'high') AS n_high,
   count(*) FILTER (WHERE status = 'normal') AS n_normal, count(*) FILTER (WHERE status = 'unknown') AS n_unknown FROM st GROUP BY user_id""")
 def status_counts(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("status", health.status(*[F.col(c) for c in ("value", "low", "high")]))
-    return rows.groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("high", "low", "normal", "unknown")])
+    return measures.status_counts(rows, ["user_id"])
 
 
 @query("""
@@ -289,20 +289,19 @@ def count_reconciliation(spark, sf_dir):
 
 
 @query("""
-SELECT lang, CAST(min(length(text)) AS BIGINT) AS least, round(avg(length(text)), 6) AS mean, CAST(max(length(text)) AS BIGINT) AS most, count(*) AS n FROM documents GROUP BY lang""")
+SELECT lang, CAST(coalesce(min(length(text)), 0) AS BIGINT) AS least, round(coalesce(avg(length(text)), 0), 6) AS mean, CAST(coalesce(max(length(text)), 0) AS BIGINT) AS most, count(*) AS n
+FROM documents GROUP BY lang""")
 def length_statistics(spark, sf_dir):
-    n = F.length("text").cast("long")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.min(n).alias("least"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("most"), F.count(F.lit(1)).alias("n"))
+    return measures.lengths(table(spark, sf_dir, "documents"), "text", ["lang"]).withColumn("mean", F.round("mean", 6))
 
 
 @query("""
 WITH n AS (SELECT vec_id, len(embedding) AS width, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings)
-SELECT count(*) AS n, round(min(norm), 5) AS least, round(max(norm), 5) AS most, count(*) FILTER (WHERE width <> 64 OR norm NOT BETWEEN 0.99 AND 1.01) AS n_bad FROM n""")
+SELECT count(*) AS n, round(coalesce(min(norm), 0), 5) AS least, round(coalesce(avg(norm), 0), 5) AS mean, round(coalesce(max(norm), 0), 5) AS most,
+  count(*) FILTER (WHERE coalesce(width <> 64 OR norm NOT BETWEEN 0.99 AND 1.01, TRUE)) AS n_bad FROM n""")
 def vector_expectations(spark, sf_dir):
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    rows = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("w"), norm.alias("norm"))
-    bad = (F.col("w") != 64) | ~F.col("norm").between(0.99, 1.01)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("norm"), 5).alias("least"), F.round(F.max("norm"), 5).alias("most"), F.count_if(bad).alias("n_bad"))
+    found = measures.norms(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    return found.withColumns({c: F.round(c, 5) for c in ("least", "mean", "most")})
 
 
 def halves(spark, sf_dir):
@@ -441,16 +440,15 @@ def keyword_scores(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id BETWEEN 100 AND 199 AND lang = 'en'")
 def page_range(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("doc_id").between(100, 199) & (F.col("lang") == "en")).select("doc_id", "lang")
+    return measures.page_range(table(spark, sf_dir, "documents"), "doc_id", 100, 199).filter("lang = 'en'").select("doc_id", "lang")
 
 
 @query("""
 SELECT user_id, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, len(list_intersect(list(DISTINCT event_type), ['click', 'view', 'purchase'])) AS n_shared
 FROM events GROUP BY user_id""")
 def tag_sets(spark, sf_dir):
-    kinds = F.array_sort(F.collect_set("event_type"))
-    shared = F.size(F.array_intersect(kinds, F.array(*[F.lit(x) for x in ("click", "view", "purchase")]))).cast("long")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(kinds, ",").alias("kinds"), shared.alias("n_shared"))
+    found = measures.tag_sets(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["click", "view", "purchase"])
+    return found.select("user_id", "n", F.array_join("tags", ",").alias("kinds"), "n_shared")
 
 
 @query("""
@@ -494,7 +492,9 @@ def line_filters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (effective == F.col("text")).alias("is_clean"), found.alias("n_candidates"))
 
 
-@query()
+@query("""
+SELECT event_id, upper(event_type) AS name, round(value, 2) AS value, 'mmol/L' AS unit, 20.0::DOUBLE AS low, 80.0::DOUBLE AS high,
+  CASE WHEN round(value, 2) < 20 THEN 'low' WHEN round(value, 2) > 80 THEN 'high' ELSE 'normal' END AS status FROM events""")
 def indicator_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     line = F.concat(F.upper("event_type"), F.lit(" "), F.round("value", 2).cast("string"), F.lit(" mmol/L 20-80"))
@@ -691,7 +691,14 @@ def report_targets(spark, sf_dir):
     return reports_of(spark, sf_dir)["targets"].select("report_id", "item", "question")
 
 
-@query()
+@query(f"""
+WITH {LINES},
+a AS (SELECT report_id, position, '- ' || name || '：' || CASE status WHEN 'high' THEN '偏高' ELSE '偏低' END || '，结果 ' || CAST(value AS VARCHAR) || ' mmol/L' AS line,
+  row_number() OVER (PARTITION BY report_id ORDER BY position) AS n FROM i WHERE status <> 'normal'),
+s AS (SELECT report_id, string_agg(line, chr(10) ORDER BY position) FILTER (WHERE n <= 8) AS said, count(*) AS n_abnormal FROM a GROUP BY report_id),
+c AS (SELECT report_id, count(*) AS n_items FROM i GROUP BY report_id)
+SELECT report_id, 'completed' AS status, concat_ws(chr(10) || chr(10), '{reports.NO_MODEL}', '【重点关注】' || chr(10) || coalesce(said, '{reports.NONE_ABNORMAL}'), '{reports.NO_MODEL_END}') AS summary,
+  'unknown' AS risk_level, n_items, coalesce(n_abnormal, 0) AS n_abnormal FROM c LEFT JOIN s USING (report_id)""")
 def report_summaries(spark, sf_dir):
     return reports_of(spark, sf_dir)["summaries"]
 
