@@ -47,26 +47,33 @@ def report_items(texts: DataFrame) -> DataFrame:
     Reports without an indicator give no rows.
     """
     lines = texts.select("report_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("position", "_raw"))
-    lines = lines.withColumn("_line", text.report_line(F.col("_raw"))).filter(health.candidate_line(F.col("_line")))
-    found = lines.select("report_id", "position", health.parse_line(F.col("_line")).alias("_i")).filter(F.col("_i").isNotNull() & ~health.metadata_name(F.col("_i.name")))
-    return reports.unique_items(found.select("report_id", "position", "_i.*"), [F.col("position")])
+    # A line is parsed once: a generator keeps the optimizer from copying the parser into every filter and column that uses it.
+    item = health.bound(text.report_line(F.col("_raw")), lambda line: F.when(health.candidate_line(line), health.parse_line(line)))
+    found = lines.select("report_id", "position", F.inline(F.filter(F.array(item), lambda i: i.isNotNull()))).filter(~health.metadata_name(F.col("name")))
+    return reports.unique_items(found, [F.col("position")])
 
 
-def report_chain(texts: DataFrame, find: Callable[[DataFrame, int], DataFrame], analyses: DataFrame | None = None) -> dict[str, DataFrame]:
+def report_targets(items: DataFrame) -> DataFrame:
+    """The items of `report_items` to look up, at most six a report, with item (their place, from 1) and question; items that repeat count once."""
+    real = items.filter(reports.real_item(F.col("name")))
+    chosen = reports.targets(real, "report_id", [F.col("position")], identity=IDENTITY).withColumnRenamed("rank", "item")
+    return chosen.withColumn("question", reports.knowledge_question(F.col("name"), F.col("status")))
+
+
+def report_chain(texts: DataFrame, find: Callable[[DataFrame, int], DataFrame], analyses: DataFrame | None = None, items: DataFrame | None = None) -> dict[str, DataFrame]:
     """What a report's text comes to: items, targets, context, citations and summaries, one table each.
 
     texts: report_id, text; one row a report. find(questions, k) is a search: questions (question_id, question) in, question_id,
-    chunk_id and rank out. Items: as `report_items`, or the placeholder. Targets: the items looked up, at most six a
-    report, with their questions; items that repeat count once. Context: the first chunks found, twelve a report at most.
-    Citations: the chunks of each target reached. Summaries: as `reports.interpreted`, by the fallback where analyses
-    (report_id, analysis) has none.
+    chunk_id and rank out. Items: as `report_items`, or the placeholder. Targets: as `report_targets`. Context: the first chunks
+    found, twelve a report at most. Citations: the chunks of each target reached. Summaries: as `reports.interpreted`, by the
+    fallback where analyses (report_id, analysis) has none. items: those of `report_items`, if they are written; else each table
+    reads the texts again, and so may a search that counts its questions before it begins.
     """
-    own = reports.with_placeholder(texts, report_items(texts))
-    real = own.filter(reports.real_item(F.col("name")))
-    chosen = reports.targets(real, "report_id", [F.col("position")], identity=IDENTITY).withColumnRenamed("rank", "item")
-    chosen = chosen.withColumn("question", reports.knowledge_question(F.col("name"), F.col("status")))
+    found = report_items(texts) if items is None else items
+    chosen = report_targets(found)
     # A question is asked once, however many reports ask it.
     asked = chosen.select(F.col("question").alias("question_id"), "question").distinct()
     hits = chosen.join(find(asked, CHUNKS).withColumnRenamed("question_id", "question"), "question").select("report_id", "item", "rank", "chunk_id")
     context, citations = reports.context(hits)
-    return {"items": own, "targets": chosen, "context": context, "citations": citations, "summaries": reports.interpreted(texts, own, analyses)}
+    # A summary needs no placeholder: a report without items is rejected.
+    return {"items": reports.with_placeholder(texts, found), "targets": chosen, "context": context, "citations": citations, "summaries": reports.interpreted(texts, found, analyses)}

@@ -59,3 +59,19 @@ def test_page_chain(spark):
     assert sorted(r.chunk_index for r in got[5]) == list(range(got[5][0].chunk_count)) and len(got[5]) > 1 and all(len(r.content) <= 800 and r.content.startswith("Long\n") for r in got[5])
     said = {r.document_id: (r.n_pages, r.n_processable, r.n_skipped, r.n_with_chunks, r.n_chunks) for r in counts.collect()}
     assert said == {"d": (5, 3, 2, 3, 2 + len(got[5])), "e": (1, 0, 1, 0, 0)}
+
+
+def test_lines_are_parsed_once(spark):
+    """No plan of the chain holds the parser's patterns more often than one parse does, nor runs before it is asked for."""
+    import re
+
+    from evidenza.functions import health
+    from evidenza.operators import reports
+
+    texts = spark.createDataFrame([("r", REPORT)], "report_id string, text string").repartition(2)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    count = lambda df: len(re.findall("filter\\(array\\(transform", plan(df)))
+    items = chains.report_items(texts)
+    one = plan(texts.select(health.parse_line(F.col("text")).alias("i"))).count(health.RANGE)
+    assert 0 < plan(items).count(health.RANGE) <= one and count(items) == 1
+    assert count(chains.report_targets(items)) == 1 and count(reports.interpreted(texts, items)) == 1
