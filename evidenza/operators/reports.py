@@ -118,19 +118,25 @@ def fallback_summaries(items: DataFrame) -> DataFrame:
 
     items: report_id, position, name, value, unit, status.
     """
-    out = F.col("status").isin("high", "low")
-    first = top_by(items.filter(out), ["report_id"], [F.col("position")], LISTED)
+    return counted_summaries(items).select("report_id", "summary")
+
+
+def counted_summaries(items: DataFrame) -> DataFrame:
+    """As `fallback_summaries`, with n_items and n_abnormal: items are read once, and moved once, by report."""
+    out = F.coalesce(F.col("status").isin("high", "low"), F.lit(False))
+    first = Window.partitionBy("report_id").orderBy(F.desc("_out"), F.col("position"))
+    rows = items.withColumn("_out", out).withColumn("_place", F.row_number().over(first))
     # Whole numbers of a whole type are told without a point.
     fraction = isinstance(items.schema["value"].dataType, (T.DoubleType, T.FloatType))
     value = F.coalesce(number_text(F.col("value").cast("double")) if fraction else F.col("value").cast("string"), F.lit("-"))
     line = F.concat(F.lit("- "), "name", F.lit("："), labelled(STATUS_LABELS, F.col("status")), F.lit("，结果 "), value, F.lit(" "), F.coalesce("unit", F.lit("")))
-    told = first.select("report_id", "rank", line.alias("line")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
-    told = told.select("report_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("_said"))
-    counts = items.groupBy("report_id").agg(F.count_if(F.col("status") == "unknown").alias("_n"))
-    focus = F.concat_ws(
-        "\n", F.coalesce("_said", F.lit(NONE_ABNORMAL)), F.when(F.col("_n") > 0, F.concat(F.lit("- 另有 "), F.col("_n").cast("string"), F.lit(" 项指标缺少完整参考范围，暂不能判断是否超出报告范围。")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_out") & (F.col("_place") <= LISTED), F.struct("_place", line.alias("line")))))
+    each = rows.groupBy("report_id").agg(
+        listed.alias("_l"), F.count(F.lit(1)).alias("n_items"), F.count_if("_out").alias("n_abnormal"), F.count_if(F.col("status") == "unknown").alias("_n")
     )
-    return counts.join(told, "report_id", "left").select("report_id", F.concat_ws("\n\n", F.lit(NO_MODEL), F.concat(F.lit("【重点关注】\n"), focus), F.lit(NO_MODEL_END)).alias("summary"))
+    said = F.when(F.size("_l") > 0, F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).otherwise(NONE_ABNORMAL)
+    focus = F.concat_ws("\n", said, F.when(F.col("_n") > 0, F.concat(F.lit("- 另有 "), F.col("_n").cast("string"), F.lit(" 项指标缺少完整参考范围，暂不能判断是否超出报告范围。"))))
+    return each.select("report_id", F.concat_ws("\n\n", F.lit(NO_MODEL), F.concat(F.lit("【重点关注】\n"), focus), F.lit(NO_MODEL_END)).alias("summary"), "n_items", "n_abnormal")
 
 
 def interpreted(reports: DataFrame, items: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
@@ -141,8 +147,7 @@ def interpreted(reports: DataFrame, items: DataFrame, analyses: DataFrame | None
     """
     v = [F.col(c) for c in ("value", "low", "high")]
     real = items.filter(real_item(F.col("name"))).withColumn("status", health.status(*v))
-    counts = real.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("status").isin("high", "low")).alias("n_abnormal"))
-    rows = reports.select("report_id").join(counts, "report_id", "left").join(fallback_summaries(real), "report_id", "left")
+    rows = reports.select("report_id").join(counted_summaries(real), "report_id", "left")
     if analyses is None:
         rows = rows.withColumns({"_said": F.lit(None).cast("string"), "_risk": F.lit(None).cast("string")})
     else:
