@@ -68,8 +68,33 @@ def ranked(questions: DataFrame, held: DataFrame) -> DataFrame:
     return hits.filter("found = n").select("question_id", "chunk_id", F.round(cover_density(places, F.col("n")), 6).alias("rank_score"))
 
 
+def covered(questions: DataFrame, chunks: DataFrame, text: str = "search_text") -> DataFrame:
+    """question_id, chunk_id, rank_score, similarity of the chunks that hold all terms of a question (question_id, terms, grams).
+
+    A chunk meets a question by the question's rarest term, beside the text, and is kept if it holds the other terms too: no word
+    of a text is moved, only the counts of the questions' terms are.
+    """
+    said = chunks.select("chunk_id", "content", words(F.col(text)).alias("words"))
+    terms = questions.select("question_id", F.explode("terms").alias("term"))
+    own = said.select(F.explode(F.array_distinct("words")).alias("term"))
+    often = own.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = terms.join(often, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "term")).alias("_r"))
+    asked = questions.join(rarest.select("question_id", F.col("_r.term").alias("term")), "question_id").groupBy("term").agg(F.collect_list(F.struct("question_id", "terms", "grams")).alias("asked"))
+    # Only words that some question waits for become rows, so that a long text is not copied for each of its words.
+    some = said.crossJoin(F.broadcast(asked.agg(F.collect_set("term").alias("_rare")))).withColumn("term", F.explode(F.array_intersect("words", "_rare"))).drop("_rare")
+    met = some.join(F.broadcast(asked), "term").withColumn("_q", F.explode("asked"))
+    full = met.filter(F.size(F.array_except("_q.terms", "words")) == 0)
+    # A place counts for its term's number; words that are none of the terms have number -1.
+    no = F.transform("words", lambda w, i: F.struct((i + 1).alias("place"), (F.array_position("_q.terms", w) - 1).cast("int").alias("term")))
+    places = F.filter(no, lambda x: x["term"] >= 0)
+    return full.select(
+        F.col("_q.question_id").alias("question_id"), "chunk_id", F.round(cover_density(places, F.size("_q.terms")), 6).alias("rank_score"),
+        F.round(similarity(F.col("_q.grams"), trigrams(F.coalesce("content", F.lit("")))), 6).alias("similarity"),
+    )
+
+
 def alike(questions: DataFrame, chunks: DataFrame, k: int, batch: int) -> DataFrame:
-    """question_id, chunk_id of the k chunks whose content's trigrams are most like a question's, of all chunks."""
+    """question_id, chunk_id, score of the k chunks whose content's trigrams are most like a question's, of all chunks."""
     asked = questions.select("question_id", trigrams(F.col("question")).alias("grams"))
     rows = chunks.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("grams"))
 
@@ -91,7 +116,7 @@ def alike(questions: DataFrame, chunks: DataFrame, k: int, batch: int) -> DataFr
 
         return scores
 
-    return best_of_all(asked.withColumn("grams", F.coalesce("grams", F.array())), rows, scorer, k, batch).select("question_id", "chunk_id")
+    return best_of_all(asked.withColumn("grams", F.coalesce("grams", F.array())), rows, scorer, k, batch).drop("rank")
 
 
 def text_rank(questions: DataFrame, chunks: DataFrame, held: DataFrame | None = None, k: int = BRANCH, batch: int = QUESTIONS, status: str | None = None) -> DataFrame:
@@ -106,11 +131,16 @@ def text_rank(questions: DataFrame, chunks: DataFrame, held: DataFrame | None =
     asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"), *(["terms"] if "terms" in questions.columns else []))
     terms = F.col("terms") if "terms" in questions.columns else words(F.col("question"))
     asked = asked.withColumn("terms", F.array_distinct(F.coalesce(terms, F.array())))
-    hits = ranked(asked, postings(own) if held is None else held.join(own.select("chunk_id"), "chunk_id", "left_semi"))
-    best = hits.join(asked.select("question_id", trigrams(F.col("question")).alias("_q")), "question_id").join(own.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("_c")), "chunk_id")
-    best = best.select("question_id", "chunk_id", "rank_score", F.round(similarity(F.col("_q"), F.col("_c")), 6).alias("similarity"))
-    # Fewer than k chunks with covers leave k of the others among the 2k most alike ones.
-    others = alike(asked, own, 2 * k, batch).join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    others = others.join(asked.select("question_id", trigrams(F.col("question")).alias("_q")), "question_id").join(own.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("_c")), "chunk_id")
-    others = others.select("question_id", "chunk_id", F.lit(0.0).alias("rank_score"), F.round(similarity(F.col("_q"), F.col("_c")), 6).alias("similarity"))
-    return top_by(best.unionByName(others), ["question_id"], [F.desc("rank_score"), F.desc("similarity"), F.col("chunk_id")], k)
+    grams = trigrams(F.col("question")).alias("grams")
+    if held is None:
+        best = covered(asked.select("question_id", "terms", grams), own)
+    else:
+        hits = ranked(asked, held.join(own.select("chunk_id"), "chunk_id", "left_semi"))
+        best = hits.join(asked.select("question_id", grams), "question_id").join(own.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("_c")), "chunk_id")
+        best = best.select("question_id", "chunk_id", "rank_score", F.round(similarity(F.col("grams"), F.col("_c")), 6).alias("similarity"))
+    order = [F.desc("rank_score"), F.desc("similarity"), F.col("chunk_id")]
+    best = top_by(best, ["question_id"], order, k).drop("rank")
+    # Fewer than k chunks with covers leave k of the others among the 2k most alike ones; a chunk that is in both keeps its covers.
+    others = alike(asked, own, 2 * k, batch).select("question_id", "chunk_id", F.lit(0.0).alias("rank_score"), F.col("score").alias("similarity"))
+    each = best.unionByName(others).groupBy("question_id", "chunk_id").agg(F.max("rank_score").alias("rank_score"), F.max("similarity").alias("similarity"))
+    return top_by(each, ["question_id"], order, k)

@@ -59,3 +59,19 @@ def test_terms_of_a_cutter(spark):
     asked = spark.createDataFrame([(1, "血压控制", ["血压", "控制"])], "question_id long, question string, terms array<string>")
     assert [(r.chunk_id, r.rank_score) for r in textrank.text_rank(asked, df).orderBy("rank").collect()] == [(1, 0.05), (2, 0.0)]
     assert {(r.chunk_id, r.term): r.places for r in textrank.postings(df.withColumn("search_text", F.lit("a b a"))).collect()}[1, "a"] == [1, 3]
+
+
+def test_no_text_is_moved(spark):
+    """Without written postings results are the same, and no shuffle holds words, places or trigrams of the chunks."""
+    import re
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["ab", "abc", "bcd", "x", "yz", "ba", "Ab"]) for _ in range(r.randint(0, 20))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, t[::-1]) for i, t in enumerate(texts)], "chunk_id long, search_text string, content string")
+    asked = spark.createDataFrame(list(enumerate(["ab abc", "x", "bcd yz ba", "zzz", "ab ab x yz", "", None])), "question_id long, question string")
+    rows = lambda found: sorted(tuple(x) for x in found.select("question_id", "rank", "chunk_id", "rank_score", "similarity").collect())
+    found = textrank.text_rank(asked, df, k=9)
+    assert rows(found) == rows(textrank.text_rank(asked, df, textrank.postings(df), k=9))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", plan))
+    assert keys <= {"question_id", "term"} and "SortMergeJoin [chunk_id" not in plan and "posexplode(regexp_extract_all(lower(search_text" not in plan
