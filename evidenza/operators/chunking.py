@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import chunk_id, clean_chunk, content_of, sha256
 
+#: Pages that a worker cuts at a time.
+PAGES = 256
 #: A sentence ends after one of these marks.
 ENDS = re.compile(r"(?<=[。！？；])")
 
@@ -73,23 +77,30 @@ def chunks_of(text: str, budget: Budget) -> list[str]:
     return list(found)
 
 
-def chunked(pages: DataFrame, budget: Budget = Budget()) -> DataFrame:
+def chunked(pages: DataFrame, budget: Budget = Budget(), keep: tuple[str, ...] = ()) -> DataFrame:
     """document_id, page, title, text in; a row a chunk with chunk_index, chunk_count, content, content_hash, chunk_id.
 
     The title and its newline count against the most, not the target, unless they leave nothing. Pages without text have
-    no chunks.
+    no chunks. keep: further columns of pages that their chunks have too.
     """
-
-    @F.pandas_udf("array<string>")
-    def cut(text: pd.Series, title: pd.Series) -> pd.Series:
-        return pd.Series([chunks_of(t or "", budget.beside(len(n or ""))) for t, n in zip(text, title, strict=True)])
-
-    rows = pages.withColumn("_t", clean_chunk(F.coalesce("text", F.lit("")))).withColumn("_title", clean_chunk(F.coalesce("title", F.lit(""))))
-    cut_up = rows.withColumn("_chunks", cut("_t", "_title")).withColumn("chunk_count", F.size("_chunks"))
-    each = cut_up.select("document_id", "page", "_title", "chunk_count", F.posexplode("_chunks").alias("chunk_index", "_body"))
+    clean = lambda c: clean_chunk(F.coalesce(c, F.lit("")))
+    rows = pages.select("document_id", "page", *keep, clean("title").alias("_title"), clean("text").alias("_t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A worker holds the texts and chunks of a few pages as Python strings, however large Spark's batches are.
+            for lo in range(0, batch.num_rows, PAGES):
+                part = batch.slice(lo, PAGES)
+                found = [chunks_of(t, budget.beside(len(n))) for t, n in zip(part["_t"].to_pylist(), part["_title"].to_pylist(), strict=True)]
+                own = part.drop_columns(["_t"]).take(pa.array([i for i, c in enumerate(found) for _ in c], pa.int64()))
+                more = [pa.array([n for c in found for n in range(len(c))], pa.int32()), pa.array([len(c) for c in found for _ in c], pa.int32()), pa.array([x for c in found for x in c], pa.string())]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "chunk_index", "chunk_count", "_body"])
+
+    added = [T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("_body", T.StringType())]
+    each = rows.mapInArrow(cut, T.StructType([*rows.drop("_t").schema.fields, *added]))
     content = each.withColumn("content", content_of(F.col("_title"), F.col("_body"))).withColumn("content_hash", sha256(F.col("content")))
     return content.select(
-        "document_id", "page", "chunk_index", "chunk_count", "content", "content_hash",
+        "document_id", "page", *keep, "chunk_index", "chunk_count", "content", "content_hash",
         chunk_id(F.col("document_id"), F.col("page"), F.col("chunk_index"), F.col("content_hash")).alias("chunk_id"),
     )
 
