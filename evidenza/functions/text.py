@@ -11,6 +11,11 @@ EDGES = " \t\n\r\x0b\x0c 　"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def bound(c: Column, of) -> Column:
+    """of(c), with c computed once."""
+    return F.transform(F.array(c), of)[0]
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(EDGES))
 
@@ -80,8 +85,8 @@ def page_text(title: Column, body: Column, table: Column, figure: Column, search
     """Body without its title line, table and figure text, a blank line between; without any of them the search text."""
     text = lambda c: clean_chunk(F.coalesce(c, F.lit("")))
     own = [text(without_title_line(F.coalesce(body, F.lit("")), title)), text(table), text(figure)]
-    parts = F.concat_ws("\n\n", *[F.nullif(x, F.lit("")) for x in own])
-    return F.when(parts != "", parts).otherwise(text(without_title_line(F.coalesce(search, F.lit("")), title)))
+    parts = F.concat_ws("\n\n", *[bound(x, lambda t: F.nullif(t, F.lit(""))) for x in own])
+    return bound(parts, lambda said: F.when(said != "", said).otherwise(text(without_title_line(F.coalesce(search, F.lit("")), title))))
 
 
 def processable(searchable: Column, *texts: Column) -> Column:
@@ -102,15 +107,17 @@ def report_line(c: Column) -> Column:
 
 def content_of(title: Column, body: Column) -> Column:
     """Title, newline, body; one of them if the other is blank or the same."""
-    t, b = clean_chunk(title), clean_chunk(body)
-    return F.when((b == "") | (b == t), t).when(t == "", b).otherwise(F.concat_ws("\n", t, b))
+    def joined(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        return F.when((b == "") | (b == t), t).when(t == "", b).otherwise(F.concat_ws("\n", t, b))
+
+    return bound(F.struct(clean_chunk(title).alias("t"), clean_chunk(body).alias("b")), joined)
 
 
 def without_title_line(text: Column, title: Column) -> Column:
     """The text without its first non-blank line, if that is the title."""
-    lines = F.split(clean_chunk(text), "\n", -1)
-    same = lines[0] == strip(title)
-    return F.when(same, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")).otherwise(F.array_join(lines, "\n"))
+    rest = lambda lines: F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    return bound(F.split(clean_chunk(text), "\n", -1), lambda lines: F.when(lines[0] == strip(title), rest(lines)).otherwise(F.array_join(lines, "\n")))
 
 
 def sha256(c: Column) -> Column:

@@ -28,12 +28,11 @@ def chunked_pages(pages: DataFrame, model: str, budget: chunking.Budget = chunki
     rows = pages.withColumn("_ok", text.processable(F.col("searchable"), *[F.coalesce(c, F.lit("")) for c in texts]))
     rows = rows.withColumn("section_title", text.section_title(F.col("title"), F.col("pdf_page")))
     own = text.page_text(F.col("section_title"), *[F.col(c) for c in ("body_text", "table_text", "figure_text", "search_text")])
-    cut = chunking.chunked(rows.filter("_ok").select("document_id", F.col("pdf_page").alias("page"), F.col("section_title").alias("title"), own.alias("text")), budget)
-    kept = rows.filter("_ok").select("document_id", F.col("pdf_page").alias("page"), "printed_page", "section_title")
+    # What a page's chunks take over goes along with its text, so that chunks are not joined with pages.
+    kept = ("printed_page", "section_title")
+    cut = chunking.chunked(rows.filter("_ok").select("document_id", F.col("pdf_page").alias("page"), F.col("section_title").alias("title"), own.alias("text"), *kept), budget, kept)
     tags = text.page_tags(F.col("page"), F.lit(model), F.col("printed_page"), source)
-    chunks = cut.join(kept, ["document_id", "page"]).select(
-        "document_id", F.col("page").alias("pdf_page"), "printed_page", "section_title", "chunk_index", "chunk_count", "content", "content_hash", "chunk_id", tags.alias("tags")
-    )
+    chunks = cut.select("document_id", F.col("page").alias("pdf_page"), "printed_page", "section_title", "chunk_index", "chunk_count", "content", "content_hash", "chunk_id", tags.alias("tags"))
     of_pages = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("_ok").alias("n_processable"), F.count_if(~F.col("_ok")).alias("n_skipped"))
     of_chunks = chunks.groupBy("document_id").agg(F.count_if(F.col("chunk_index") == F.lit(0)).alias("n_with_chunks"), F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("content")).alias("longest"))
     counts = of_pages.join(of_chunks, "document_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_with_chunks", "n_chunks", "longest")})

@@ -75,3 +75,21 @@ def test_lines_are_parsed_once(spark):
     one = plan(texts.select(health.parse_line(F.col("text")).alias("i"))).count(health.RANGE)
     assert 0 < plan(items).count(health.RANGE) <= one and count(items) == 1
     assert count(chains.report_targets(items)) == 1 and count(reports.interpreted(texts, items)) == 1
+
+
+def test_chunks_take_page_columns_along(spark):
+    """Chunks are not joined with pages, texts go through one Python step, and its batches are small whatever Spark's are."""
+    from evidenza.operators import chunking
+
+    n = 2 * chunking.PAGES + 7
+    pages = spark.range(n, numPartitions=1).select(
+        F.lit("d").alias("document_id"), F.col("id").cast("int").alias("pdf_page"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("printed_page"), F.lit("T").alias("title"),
+        F.repeat(F.lit("word "), F.when(F.col("id") % 3 == 0, 400).otherwise(1)).alias("body_text"), F.lit(None).cast("string").alias("table_text"), F.lit(None).cast("string").alias("figure_text"),
+        F.lit("x").alias("search_text"), F.lit(True).alias("searchable"),
+    )
+    chunks = chains.chunked_pages(pages, "m")[0]
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    rows = chunks.collect()
+    assert {r.pdf_page for r in rows} == set(range(n)) and all(r.printed_page == (None if r.pdf_page % 2 else str(r.pdf_page)) for r in rows)
+    assert all(sum(r.pdf_page == p for r in rows) == rows_of for p, rows_of in {r.pdf_page: r.chunk_count for r in rows}.items())
