@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.segments import ideographs, in_pairs
 from .tables import top_by
@@ -21,6 +23,8 @@ Cut = Callable[[Column], Column]
 STOPWORDS = ("有", "有哪些", "哪些", "什么", "是什么", "怎么", "如何", "请问", "一下", "常见", "相关", "可能", "一般", "主要", "表现")
 #: A batch of questions goes to every task that searches; more than this many go in several batches.
 QUESTIONS = 10_000
+#: Rows whose texts a task holds as Python objects at a time.
+ROWS = 1024
 BRANCH = 50
 RRF_K, LEXICAL_WEIGHT = 60, 1.5
 #: The rank of a hit in a search that did not find it.
@@ -69,13 +73,24 @@ def best_of_all(asked: DataFrame, rows: DataFrame, scorer, k: int, batch: int, s
     found = None
     for held in in_batches(asked, batch):
         own = rows if needed is None else rows.filter(needed(held))
-        one = own.mapInPandas(nearest(held["question_id"].to_numpy(), scorer(held), k), schema)
+        one = own.mapInArrow(in_parts(nearest(held["question_id"].to_numpy(), scorer(held), k), to_arrow_schema(T.StructType.fromDDL(schema))), schema)
         found = one if found is None else found.unionByName(one)
     found = rows.sparkSession.createDataFrame([], schema) if found is None else found
     found = found if score != "double" else found.withColumn("score", F.round("score", 6))
     return top_by(found, ["question_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+def in_parts(search, schema: pa.Schema, size: int = ROWS):
+    """A search over pandas rows as a function of Arrow batches, of which only `size` rows at a time become Python objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(lo, size).to_pandas() for batch in batches for lo in range(0, batch.num_rows, size))
+        for found in search(parts):
+            yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
+
+    return run
+
+
 def nearest(ids: np.ndarray, scores, k: int):
     """A function of a task's batches of rows to the k best of them for every question."""
 

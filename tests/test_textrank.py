@@ -75,3 +75,23 @@ def test_no_text_is_moved(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     keys = set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", plan))
     assert keys <= {"question_id", "term"} and "SortMergeJoin [chunk_id" not in plan and "posexplode(regexp_extract_all(lower(search_text" not in plan
+
+
+def test_searches_hold_few_rows():
+    """However large Spark's batches are, a search sees a bounded part of one at a time, and every row."""
+    import pyarrow as pa
+
+    from evidenza.operators import retrieval
+
+    seen = []
+
+    def search(parts):
+        for part in parts:
+            seen.append(len(part))
+            yield part[["chunk_id"]].assign(question_id=1, score=2.0)
+
+    schema = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.int32())])
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(2500)), "text": ["x"] * 2500})
+    found = list(retrieval.in_parts(search, schema)(iter([batch, batch.slice(0, 3)])))
+    assert max(seen) <= retrieval.ROWS < 2500 and sum(seen) == 2503
+    assert [i for b in found for i in b["chunk_id"].to_pylist()] == [*range(2500), 0, 1, 2] and all(b.schema == schema for b in found)
