@@ -225,6 +225,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     shared = steps.written(with_leads(buckets), "shared")
     steps.drop(buckets)
     held = steps.written(all_rows.select("_id", "_set").join(shared.select("_id").distinct(), "_id", "left_semi"), "sets")
+    # Sets stand in `held` now where they are needed, so the wide rows go.
+    narrow = steps.written(all_rows.select("_id", "_key", "_sha"), "narrow")
+    steps.drop(all_rows)
     # Each row against the first of its buckets; then, of buckets that this leaves in several components, against the next.
     links = steps.written(to_leads(shared, held, threshold), "links")
     groups = components(links, steps)
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         links = links.unionByName(steps.written(in_tiles(last, held, threshold, tile, steps), "links"))
         groups = components(links, steps)
     classes = heads.join(groups.withColumnRenamed("node", "_head"), "_head", "left").select("_sha", F.coalesce("label", "_head").alias("_class"))
-    whole = steps.written(all_rows.select("_id", "_key", "_sha").join(classes, "_sha"), "whole")
+    whole = steps.written(narrow.join(classes, "_sha"), "whole")
     first = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_sha").alias("s"), F.col("_id").alias("i"))
     best = whole.groupBy("_class").agg(F.min(first).alias("_best"), F.count(F.lit(1)).alias("class_size"))
     return steps.result(whole.join(best, "_class").select(
