@@ -13,6 +13,7 @@ that no link is lost, alike rows cost a pair for each bucket, and unlike rows of
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Documents of a bucket on each side of a tile.
 TILE = 128
+#: Cells that the shingles of rows left are counted in.
+CELLS = 1 << 20
 
 
 def darts(elements: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,20 +164,35 @@ def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return several(rest)
 
 
-def by_rare(rest: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+def by_rare(rest: DataFrame, held: DataFrame, threshold: float, steps: Steps | None = None, cells: int = CELLS) -> DataFrame:
     """The rows of rest (_id, _size, _label) once for each of their rarest shingles, which is the _bucket now.
 
-    Shingles are ordered by how many rows of rest hold them. Sets that are `threshold` alike share that part of the larger
-    at least, so of the first size - ceil(threshold * size) + 1 shingles of both one is the same. What many rows share
-    comes last in the order, so unlike rows part here, and rows grow with the texts, not with the square of a bucket.
+    Sets that are `threshold` alike share that part of the larger at least, so in any one order of all shingles, one of the
+    first size - ceil(threshold * size) + 1 of both is the same. The order here is by how many shingles of rest fall into a
+    shingle's cell, of `cells` (a power of 2) by its last bits, then by value: what many rows share comes last, so unlike
+    rows part here. Cells that several shingles share change the order only, never what meets. A worker holds the counts,
+    8 bytes a cell, and orders a set where it stands: no row is made for a shingle but those that are among the first.
     """
-    ones = rest.select("_id", "_size", "_label").distinct()
-    held_by = ones.join(held.select("_id", "_set"), "_id").select("_id", "_size", "_label", F.explode("_set").alias("_shingle"))
-    often = held_by.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = held_by.join(often, "_shingle").groupBy("_id", "_size", "_label").agg(F.sort_array(F.collect_list(F.struct("_n", "_shingle"))).alias("_order"))
-    first = F.slice("_order", F.lit(1), (F.col("_size") - F.ceil((threshold - 1e-9) * F.col("_size")) + 1).cast("int"))
-    rare = ordered.select("_id", "_size", "_label", F.explode(first).alias("_rare")).filter("_rare._n > 1")
-    return rare.select("_id", "_size", F.col("_rare._shingle").cast("long").alias("_bucket"), "_label")
+    steps = steps or Steps(rest.sparkSession, "rare")
+    ones = steps.written(rest.select("_id", "_size", "_label").distinct().join(held.select("_id", "_set"), "_id"), "unlike")
+    cell = F.col("_shingle").bitwiseAND(F.lit(cells - 1))
+    counts = ones.select(F.explode("_set").alias("_shingle")).groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).toArrow()
+    often = np.zeros(cells, np.int64)
+    often[counts["_cell"].to_numpy()] = counts["_n"].to_numpy()
+    shared = rest.sparkSession.sparkContext.broadcast(often)  # `cells` fixes its size
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for batch in batches:
+            found = [np.zeros(0, np.int32)]
+            for shingle in batch["_set"]:
+                n = often[shingle & (cells - 1)]
+                first = np.lexsort((shingle, n))[: len(shingle) - math.ceil((threshold - 1e-9) * len(shingle)) + 1]
+                found.append(shingle[first[n[first] > 1]])
+            times = [len(x) for x in found[1:]]
+            yield pd.DataFrame({c: np.repeat(batch[c].to_numpy(), times) for c in ("_id", "_size", "_label")} | {"_bucket": np.concatenate(found).astype(np.int64)})
+
+    return ones.mapInPandas(rarest, "_id long, _size int, _bucket long, _label long")
 
 
 def in_tiles(rest: DataFrame, held: DataFrame, threshold: float, tile: int, steps: Steps) -> DataFrame:
@@ -237,7 +255,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         links = links.unionByName(steps.written(to_leads(second, held, threshold), "links"))
         open_ = steps.written(still_open(second, components(links, steps)), "open")
         # What is left is compared in full where a rare shingle is shared.
-        rare = steps.written(by_rare(open_, held, threshold), "rare")
+        rare = steps.written(by_rare(open_, held, threshold, steps), "rare")
         last = steps.written(several(rare), "last")
         links = links.unionByName(steps.written(in_tiles(last, held, threshold, tile, steps), "links"))
         groups = components(links, steps)

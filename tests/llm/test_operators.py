@@ -532,6 +532,33 @@ def test_alike_sets_share_a_rare_shingle(spark, threshold):
     assert alike and all(any({a, b} <= ids for ids in met.values()) for a, b in alike)
 
 
+@pytest.mark.parametrize("cells", [1, 8, 1 << 20])
+def test_rarest_shingles_are_found_without_a_join_of_shingles(spark, cells):
+    """Alike sets meet however many shingles share a cell; no plan joins a row for each shingle, whatever rows are left."""
+    r = random.Random(cells)
+    sets = []
+    for i in range(30):
+        base = [*range(30), *(100 + 50 * i + j for j in r.sample(range(50), 20))]
+        sets += [sorted(base), sorted(x for x in base if x != base[-1])]
+    rows = [(i, [x - 800 for x in s]) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "_id long, _set array<int>")
+    rest = held.selectExpr("_id", "size(_set) AS _size", "_id AS _label")
+    found = minhash.by_rare(rest.unionByName(rest), held, 0.8, cells=cells)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_shingle" not in plan and "Generate" not in plan
+    met = {}
+    for x in found.collect():
+        assert x._size == len(sets[x._id]) and x._bucket in rows[x._id][1] and x._label == x._id
+        met.setdefault(x._bucket, []).append(x._id)
+    assert all(len(ids) == len(set(ids)) for ids in met.values())
+    assert all(any({2 * i, 2 * i + 1} <= set(ids) for ids in met.values()) for i in range(30))
+    if cells > 8:
+        # 30 shingles are in all rows, and none of them is among a row's rarest; others stand in cells of their own.
+        assert all(len(ids) == 2 for ids in met.values())
+    none = minhash.by_rare(rest.filter("_id < 0"), held, 0.8, cells=cells)
+    assert none.count() == 0 and none.columns == ["_id", "_size", "_bucket", "_label"]
+
+
 def test_darts_estimate_similarity():
     a = np.arange(1, 401, dtype=np.uint64)
     b = np.arange(41, 441, dtype=np.uint64)
