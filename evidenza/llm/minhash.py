@@ -30,6 +30,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Documents of a bucket on each side of a tile.
 TILE = 128
+#: Rows that all others of a bucket larger than a tile are compared with first.
+LEADS = 16
 #: Cells that the shingles of rows left are counted in.
 CELLS = 1 << 20
 
@@ -155,13 +157,17 @@ def several(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("_bucket"), "_bucket").select("_id", "_size", "_bucket", "_label")
 
 
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the _label of their _id, which is the id itself where labels (node, label) have none."""
+    return rows.join(labels.toDF("_id", "_label"), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+
+
 def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (_id, _size, _bucket, _label) besides the leads of buckets whose other rows are of several components.
 
     Leads have been compared with all of their bucket.
     """
-    rest = shared.filter("_id <> _lead").join(labels.toDF("_id", "_label"), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    return several(rest)
+    return several(labelled(shared.filter("_id <> _lead"), labels))
 
 
 def by_rare(rest: DataFrame, held: DataFrame, threshold: float, steps: Steps | None = None, cells: int = CELLS) -> DataFrame:
@@ -210,8 +216,13 @@ def in_tiles(rest: DataFrame, held: DataFrame, threshold: float, tile: int, step
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = rows.filter("_label <> _major").withColumns({"_x": deal("_few"), "_side": F.lit(0)}).withColumn("_y", every("_all"))
     all_ = rows.withColumns({"_y": deal("_all"), "_side": F.lit(1)}).withColumn("_x", every("_few"))
+    return compared(few, all_, held, threshold)
+
+
+def compared(left: DataFrame, right: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between labels: rows (_id, _bucket, _label, _x, _y, _side) of left with those of right in the same _bucket, _x and _y."""
     names = ["_id", "_bucket", "_label", "_x", "_y", "_side"]
-    tiles = few.select(*names).unionByName(all_.select(*names)).join(held.select("_id", "_set"), "_id")
+    tiles = left.select(*names).unionByName(right.select(*names)).join(held.select("_id", "_set"), "_id")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = (part[part["_side"] == side] for side in (0, 1))
@@ -225,6 +236,36 @@ def in_tiles(rest: DataFrame, held: DataFrame, threshold: float, tile: int, step
     return tiles.groupBy("_bucket", "_x", "_y").applyInPandas(compare, "a long, b long").distinct()
 
 
+def to_some(large: DataFrame, held: DataFrame, threshold: float, tile: int, turn: int) -> DataFrame:
+    """Links a, b between the labels of large (_id, _bucket, _label, _n): each row with up to LEADS rows of its bucket.
+
+    Leads, others each turn, are copied once for each tile of the bucket and rows once, so what moves grows as the bucket.
+    """
+    rows = large.withColumns({"_all": F.ceil(F.col("_n") / tile).cast("int"), "_x": F.lit(0)})
+    slot = F.pmod(F.xxhash64("_id", F.lit(turn)), F.lit(LEADS))
+    leads = rows.groupBy("_bucket", "_all", "_x", slot.alias("_slot")).agg(F.min(F.struct(F.xxhash64(F.lit(turn), "_id").alias("h"), "_id", "_label")).alias("_lead"))
+    left = leads.select("_lead._id", "_lead._label", "_bucket", "_x", F.lit(0).alias("_side"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_y"))
+    return compared(left, rows.withColumns({"_y": F.pmod(F.xxhash64("_id"), "_all").cast("int"), "_side": F.lit(1)}), held, threshold)
+
+
+def contracted(rest: DataFrame, links: DataFrame, held: DataFrame, threshold: float, tile: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """rest (_id, _size, _bucket, _label) and links, after rows of buckets larger than a tile have met some of their bucket.
+
+    That joins most of a large group of alike rows without its pairs; turns go on while each halves the labels there. No
+    pair that no label joins yet is left out: rest keeps it.
+    """
+    before = turn = 0
+    while True:
+        sizes = rest.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile)
+        large = steps.written(rest.join(sizes, "_bucket").select("_id", "_bucket", "_label", "_n"), "large")
+        labels = large.select("_bucket", "_label").distinct().count()
+        if not labels or before and 2 * labels > before:
+            return rest, links
+        before, turn = labels, turn + 1
+        links = links.unionByName(steps.written(to_some(large, held, threshold, tile, turn), "links"))
+        rest = steps.written(several(labelled(rest.drop("_label"), components(links, steps))), "again")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """For every row: key, class_id (the smallest key of its class), class_size, is_kept and _sha.
 
@@ -256,7 +297,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         open_ = steps.written(still_open(second, components(links, steps)), "open")
         # What is left is compared in full where a rare shingle is shared.
         rare = steps.written(by_rare(open_, held, threshold, steps), "rare")
-        last = steps.written(several(rare), "last")
+        last, links = contracted(steps.written(several(rare), "last"), links, held, threshold, tile, steps)
         links = links.unionByName(steps.written(in_tiles(last, held, threshold, tile, steps), "links"))
         groups = components(links, steps)
     classes = heads.join(groups.withColumnRenamed("node", "_head"), "_head", "left").select("_sha", F.coalesce("label", "_head").alias("_class"))

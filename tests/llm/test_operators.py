@@ -559,6 +559,22 @@ def test_rarest_shingles_are_found_without_a_join_of_shingles(spark, cells):
     assert none.count() == 0 and none.columns == ["_id", "_size", "_bucket", "_label"]
 
 
+def test_large_buckets_are_contracted_before_all_pairs(spark):
+    """A bucket of alike rows and a few unlike ones: turns with leads move rows in proportion, and no unjoined pair is left out."""
+    r = random.Random(5)
+    for n in (60, 120):
+        sets = [sorted({*range(100)} - {r.randrange(100)}) for _ in range(n)] + [list(range(200 + 100 * i, 300 + 100 * i)) for i in range(3)]
+        held = spark.createDataFrame(list(enumerate(sets)), "_id long, _set array<int>")
+        rest = held.selectExpr("_id", "size(_set) AS _size", "0L AS _bucket", "_id AS _label")
+        none = spark.createDataFrame([], "a long, b long")
+        steps = minhash.Steps(spark, "contracted")
+        left, links = minhash.contracted(rest, none, held, 0.8, 8, steps)
+        assert links.count() <= 2 * n
+        labels = {x._id: x._label for x in left.collect()}
+        assert labels == {**dict.fromkeys(range(n), 0), n: n, n + 1: n + 1, n + 2: n + 2}
+        assert minhash.in_tiles(left, held, 0.8, 8, steps).count() == 0
+
+
 def test_darts_estimate_similarity():
     a = np.arange(1, 401, dtype=np.uint64)
     b = np.arange(41, 441, dtype=np.uint64)
