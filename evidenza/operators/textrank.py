@@ -2,17 +2,26 @@
 
 Postings name every place of every term. A cover is a shortest run of words that holds all of a question's terms; it
 gives a tenth, divided by one more than its words that are none of them. Covers follow from one sweep over the places: at each one the
-run reaches back to the least of the terms' last places, and it is a shortest one if that start is new.
+run reaches back to the least of the terms' last places, and it is a shortest one if that start is new. Without written postings a
+task does both in one pass over its texts, and only the first chunks of each question leave it.
 """
 
 from __future__ import annotations
 
+import sys
+from collections import OrderedDict
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .retrieval import BRANCH, QUESTIONS, best_of_all
+from .retrieval import BRANCH, QUESTIONS, in_batches, in_parts
 from .tables import top_by
 
 WORD = "[\\p{L}\\p{N}]+"
@@ -68,55 +77,153 @@ def ranked(questions: DataFrame, held: DataFrame) -> DataFrame:
     return hits.filter("found = n").select("question_id", "chunk_id", F.round(cover_density(places, F.col("n")), 6).alias("rank_score"))
 
 
-def covered(questions: DataFrame, chunks: DataFrame, text: str = "search_text") -> DataFrame:
-    """question_id, chunk_id, rank_score, similarity of the chunks that hold all terms of a question (question_id, terms, grams).
+def letters(spark: SparkSession) -> np.ndarray:
+    """The code points that words are made of, in order, as Spark's expressions see them."""
+    points = spark.range(sys.maxunicode + 1).filter("id NOT BETWEEN 55296 AND 57343")
+    said = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    return np.array(points.filter(said.rlike(WORD)).agg(F.array_sort(F.collect_list(F.col("id").cast("int")))).first()[0], np.int32)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def density(said: list[str], terms: set[str]) -> float:
+    """`cover_density` of a text's words, of which all terms are some. The term seen longest ago stands first in `last`."""
+    last, begun, rank = OrderedDict(), 0, 0.0
+    for place, word in enumerate(said, 1):
+        if word in terms:
+            last[word] = place
+            last.move_to_end(word)
+            if len(last) == len(terms) and (first := next(iter(last.values()))) > begun:
+                begun, rank = first, rank + COVER / (1 + (place - first + 1 - len(terms)))
+    return rank
+
+
+def rounded(x: float) -> float:
+    """Six places, halves up, as `round` gives them."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
 
-    A chunk meets a question by the question's rarest term, beside the text, and is kept if it holds the other terms too: no word
-    of a text is moved, only the counts of the questions' terms are.
+def millionths(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """part / whole in millionths, halves up; without a whole, 0."""
+    whole = np.maximum(whole, 1)
+    return (2_000_000 * part + whole) // (2 * whole)
+
+
+#: Bits of a letter's number: Unicode names fewer than 2^18 letters. Three letters and a row make one number.
+BITS = 18
+#: Rows, characters and scores that a task has in arrays at a time: powers of 2, one row at least, and a row and three letters in 63 bits.
+ROWS_HELD, CHARS_HELD, SCORES_HELD = 9, 18, 20
+
+
+def grams_in(texts: list[str], number: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct trigrams each text has, and of those that are among `known` (codes in order) their rows and places there.
+
+    number: of each character, 0 for those that are no letters.
+    """
+    at = number[points(f" {' '.join(texts)} ")]
+    row = np.repeat(np.arange(len(texts)) << 3 * BITS, [len(t) + 1 for t in texts])[:-1]
+    a, b, c = at[:-2], at[1:-1], at[2:]
+    # Each letter stands in the middle once; a word's first one also comes after two blanks.
+    middle = b > 0
+    first = middle & (a == 0)
+    each = np.sort(np.concatenate([(a << 2 * BITS | b << BITS | c | row)[middle], (b | row)[first]]))
+    each = each[np.diff(each, prepend=-1) > 0]
+    row, each = each >> 3 * BITS, each & (1 << 3 * BITS) - 1
+    place = np.searchsorted(known, each)
+    found = np.append(known, -1)[place] == each
+    return np.bincount(row, minlength=len(texts)), row[found], place[found]
+
+
+def searcher(held: pd.DataFrame, letters: np.ndarray, k: int):
+    """A function of a task's rows (chunk_id, said, content; texts in lower case) to the k first of them for each of the held questions."""
+    n = len(held)
+    size = np.array([len(g) for g in held["grams"]])
+    grams, of = np.unique(np.array([g for own in held["grams"] for g in own], dtype="U3"), return_inverse=True)
+    # The questions that hold trigram i are who[start[i] : start[i + 1]].
+    who, start = np.repeat(np.arange(n), size)[np.argsort(of, kind="stable")], np.append(0, np.cumsum(np.bincount(of, minlength=len(grams))))
+    # A text is asked for a question's terms if the longest one stands anywhere in it.
+    terms, keys = [set(t) for t in held["terms"]], {}
+    for i, own in enumerate(terms):
+        if own and not own & {None, ""}:
+            keys.setdefault(max(own, key=lambda t: (len(t), t)), []).append(i)
+
+    def shared(row: np.ndarray, gram: np.ndarray, rows: int) -> np.ndarray:
+        """How many trigrams each row shares with each question, counted for some of the trigrams at a time."""
+        out, step = np.zeros(rows * n, np.int64), max(1, (2 << SCORES_HELD) // n)
+        for lo in range(0, len(row), step):
+            r, g = row[lo : lo + step], gram[lo : lo + step]
+            often = start[g + 1] - start[g]
+            ends = np.cumsum(often)
+            out += np.bincount(np.repeat(r * n, often) + who[np.arange(ends[-1]) + np.repeat(start[g] - ends + often, often)], minlength=len(out))
+        return out.reshape(rows, n)
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Numbers keep the order of characters, and so codes that of trigrams.
+        number = np.zeros(sys.maxunicode + 1, np.int64)
+        number[letters] = np.arange(1, len(letters) + 1)
+        known = (number[grams.view(np.uint32).reshape(-1, 3)] << np.array([2 * BITS, BITS, 0])).sum(axis=1)
+        machine = ahocorasick.Automaton()
+        for key in keys:
+            machine.add_word(key, key)
+        if keys:
+            machine.make_automaton()
+
+        def covers(texts: list[str]) -> Iterator[tuple[int, int, float]]:
+            """Row, question and rank of the texts that hold all terms of a question."""
+            for r, text in enumerate(texts):
+                if hit := {key for _, key in machine.iter(text)}:
+                    said = np.where(number[points(text)] > 0, points(text), ord(" ")).astype("<u4").tobytes().decode("utf-32-le").split()
+                    words = set(said)
+                    yield from ((r, i, rounded(density(said, terms[i]))) for key in hit for i in keys[key] if terms[i] <= words)
+
+        def scored(rows: pd.DataFrame, least: np.ndarray) -> pd.DataFrame:
+            """Pairs that can be among the first: with covers, or as alike as `least` of their question, in millionths."""
+            sizes, row, gram = grams_in(list(rows["content"]), number, known)
+            rank = np.zeros((len(rows), n))
+            for r, i, value in covers(list(rows["said"])) if keys else ():
+                rank[r, i] = value
+            # Two sets share no more than the smaller one; rows that are so too unlike all questions are not compared.
+            may = (millionths(np.minimum.outer(sizes, size), np.maximum.outer(sizes, size)) >= least) | (rank > 0)
+            some = may.any(axis=1)
+            to = np.cumsum(some) - 1
+            both = shared(to[row[some[row]]], gram[some[row]], int(some.sum()))
+            near = millionths(both, sizes[some][:, None] + size - both)
+            at, question = np.nonzero((near >= least) | (rank[some] > 0))
+            return pd.DataFrame({"question": question, "rank_score": rank[some][at, question], "near": near[at, question], "chunk_id": rows["chunk_id"].to_numpy()[some][at]})
+
+        best, least = None, np.full(n, -1)
+        for part in parts:
+            place, long = np.arange(len(part)), part["content"].str.len().to_numpy()
+            cut = np.stack([place >> ROWS_HELD, np.cumsum(long) >> CHARS_HELD, place * n >> SCORES_HELD]).sum(axis=0)
+            for _, rows in part.groupby(cut):
+                new = scored(rows, least)
+                if len(new):
+                    best = new if best is None else pd.concat([best, new])
+                    best = best.sort_values(["question", "rank_score", "near", "chunk_id"], ascending=[True, False, False, True]).groupby("question").head(k)
+                    last = best.groupby("question").nth(k - 1)
+                    # Where k have covers, only covers count.
+                    least[last["question"]] = np.where(last["rank_score"] > 0, 1_000_001, last["near"])
+        if best is not None:
+            yield best.assign(question_id=held["question_id"].to_numpy()[best["question"]])[["question_id", "chunk_id", "rank_score", "near"]]
+
+    return search
+
+
+def closest(asked: DataFrame, chunks: DataFrame, k: int, batch: int) -> DataFrame:
+    """question_id, chunk_id, rank_score, similarity: of each task's chunks the k first by covers, similarity and id for each question (question_id, terms, grams).
+
+    A text is read once for all questions of a batch; no word, place or trigram leaves a task.
     """
-    said = chunks.select("chunk_id", "content", words(F.col(text)).alias("words"))
-    terms = questions.select("question_id", F.explode("terms").alias("term"))
-    own = said.select(F.explode(F.array_distinct("words")).alias("term"))
-    often = own.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = terms.join(often, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "term")).alias("_r"))
-    asked = questions.join(rarest.select("question_id", F.col("_r.term").alias("term")), "question_id").groupBy("term").agg(F.collect_list(F.struct("question_id", "terms", "grams")).alias("asked"))
-    # Only words that some question waits for become rows, so that a long text is not copied for each of its words.
-    some = said.crossJoin(F.broadcast(asked.agg(F.collect_set("term").alias("_rare")))).withColumn("term", F.explode(F.array_intersect("words", "_rare"))).drop("_rare")
-    met = some.join(F.broadcast(asked), "term").withColumn("_q", F.explode("asked"))
-    full = met.filter(F.size(F.array_except("_q.terms", "words")) == 0)
-    # A place counts for its term's number; words that are none of the terms have number -1.
-    no = F.transform("words", lambda w, i: F.struct((i + 1).alias("place"), (F.array_position("_q.terms", w) - 1).cast("int").alias("term")))
-    places = F.filter(no, lambda x: x["term"] >= 0)
-    return full.select(
-        F.col("_q.question_id").alias("question_id"), "chunk_id", F.round(cover_density(places, F.size("_q.terms")), 6).alias("rank_score"),
-        F.round(similarity(F.col("_q.grams"), trigrams(F.coalesce("content", F.lit("")))), 6).alias("similarity"),
-    )
-
-
-def alike(questions: DataFrame, chunks: DataFrame, k: int, batch: int) -> DataFrame:
-    """question_id, chunk_id, score of the k chunks whose content's trigrams are most like a question's, of all chunks."""
-    asked = questions.select("question_id", trigrams(F.col("question")).alias("grams"))
-    rows = chunks.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("grams"))
-
-    def scorer(held: pd.DataFrame):
-        size = np.array([len(g) for g in held["grams"]])
-        asks: dict[str, list[int]] = {}
-        for i, grams in enumerate(held["grams"]):
-            for g in grams:
-                asks.setdefault(g, []).append(i)
-
-        def scores(rows_: pd.DataFrame) -> np.ndarray:
-            shared = np.zeros((len(rows_), len(size)))
-            for r, grams in enumerate(rows_["grams"]):
-                for g in grams:
-                    if g in asks:
-                        shared[r, asks[g]] += 1
-            every = size[None, :] + np.array([len(g) for g in rows_["grams"]])[:, None] - shared
-            return np.where(every > 0, shared / np.maximum(every, 1), 0.0)
-
-        return scores
-
-    return best_of_all(asked.withColumn("grams", F.coalesce("grams", F.array())), rows, scorer, k, batch).drop("rank")
+    rows = chunks.select("chunk_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(to) for c, to in (("search_text", "said"), ("content", "content"))])
+    schema = f"question_id {asked.schema['question_id'].dataType.simpleString()}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, rank_score double, near long"
+    own, found = letters(rows.sparkSession), None
+    for held in in_batches(asked, batch):
+        one = rows.mapInArrow(in_parts(searcher(held, own, k), to_arrow_schema(T.StructType.fromDDL(schema))), schema)
+        found = one if found is None else found.unionByName(one)
+    found = rows.sparkSession.createDataFrame([], schema) if found is None else found
+    return found.select("question_id", "chunk_id", "rank_score", (F.col("near") / 1_000_000).alias("similarity"))
 
 
 def text_rank(questions: DataFrame, chunks: DataFrame, held: DataFrame | None = None, k: int = BRANCH, batch: int = QUESTIONS, status: str | None = None) -> DataFrame:
@@ -131,16 +238,16 @@ def text_rank(questions: DataFrame, chunks: DataFrame, held: DataFrame | None =
     asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"), *(["terms"] if "terms" in questions.columns else []))
     terms = F.col("terms") if "terms" in questions.columns else words(F.col("question"))
     asked = asked.withColumn("terms", F.array_distinct(F.coalesce(terms, F.array())))
-    grams = trigrams(F.col("question")).alias("grams")
+    asked = asked.select("question_id", "terms", trigrams(F.col("question")).alias("grams"))
+    order = [F.desc("rank_score"), F.desc("similarity"), F.col("chunk_id")]
     if held is None:
-        best = covered(asked.select("question_id", "terms", grams), own)
+        each = closest(asked, own, 2 * k, batch)
     else:
         hits = ranked(asked, held.join(own.select("chunk_id"), "chunk_id", "left_semi"))
-        best = hits.join(asked.select("question_id", grams), "question_id").join(own.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("_c")), "chunk_id")
+        best = hits.join(asked.select("question_id", "grams"), "question_id").join(own.select("chunk_id", trigrams(F.coalesce("content", F.lit(""))).alias("_c")), "chunk_id")
         best = best.select("question_id", "chunk_id", "rank_score", F.round(similarity(F.col("grams"), F.col("_c")), 6).alias("similarity"))
-    order = [F.desc("rank_score"), F.desc("similarity"), F.col("chunk_id")]
-    best = top_by(best, ["question_id"], order, k).drop("rank")
-    # Fewer than k chunks with covers leave k of the others among the 2k most alike ones; a chunk that is in both keeps its covers.
-    others = alike(asked, own, 2 * k, batch).select("question_id", "chunk_id", F.lit(0.0).alias("rank_score"), F.col("score").alias("similarity"))
-    each = best.unionByName(others).groupBy("question_id", "chunk_id").agg(F.max("rank_score").alias("rank_score"), F.max("similarity").alias("similarity"))
+        best = top_by(best, ["question_id"], order, k).drop("rank")
+        # Fewer than k chunks with covers leave k of the others among the 2k most alike ones; a chunk that is in both keeps its covers.
+        each = best.unionByName(closest(asked.withColumn("terms", F.array().cast("array<string>")), own, 2 * k, batch))
+    each = each.groupBy("question_id", "chunk_id").agg(F.max("rank_score").alias("rank_score"), F.max("similarity").alias("similarity"))
     return top_by(each, ["question_id"], order, k)

@@ -95,3 +95,39 @@ def test_searches_hold_few_rows():
     found = list(retrieval.in_parts(search, schema)(iter([batch, batch.slice(0, 3)])))
     assert max(seen) <= retrieval.ROWS < 2500 and sum(seen) == 2503
     assert [i for b in found for i in b["chunk_id"].to_pylist()] == [*range(2500), 0, 1, 2] and all(b.schema == schema for b in found)
+
+
+def test_texts_are_read_once(spark):
+    """Neither words nor trigrams of the chunks are cut by expressions: texts go to the search as they are, in one pass."""
+    df = spark.createDataFrame([(1, "alpha beta", "alpha beta")], "chunk_id long, search_text string, content string")
+    plan = textrank.text_rank(spark.createDataFrame([(1, "alpha beta")], "question_id long, question string"), df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan and "transform" not in plan
+
+
+def test_long_text_before_many_short_ones():
+    """A task's rows are cut by number and length, in whatever order, and every one is scored; letters of all planes count, halves round up."""
+    import sys
+
+    import numpy as np
+    import pandas as pd
+
+    letters = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalnum()], np.int32)
+    texts = ["ab " * 150_000, *[f"ab{'_' * (i % 3)} word{i}, 血压 𝒳𝒴" for i in range(1100)], "", "zz"]
+    rows = pd.DataFrame({"chunk_id": np.arange(len(texts)), "said": texts, "content": texts})
+    asked = ["ab word7", "血压 𝒳𝒴", "yy ab"]
+    held = pd.DataFrame({"question_id": [5, 6, 7], "terms": [q.split() for q in asked], "grams": [sorted(plain_trigrams(q)) for q in asked]})
+    found = pd.concat(textrank.searcher(held, letters, 9)(iter([rows])))
+    for i, q in enumerate(asked):
+        whole = [set(q.split()) <= set(re.findall(r"[^\W_]+", t)) for t in texts]
+        want = sorted((-0.1 * w, -round(plain_similarity(q, t), 6), n) for n, (t, w) in enumerate(zip(texts, whole, strict=True)))[:9]
+        got = found[found["question_id"] == i + 5]
+        assert got["chunk_id"].tolist() == [n for _, _, n in want]
+        assert got["rank_score"].tolist() == pytest.approx([-s for s, _, _ in want], abs=2e-6) and (got["near"] / 1e6).tolist() == pytest.approx([-a for _, a, _ in want], abs=2e-6)
+    assert textrank.millionths(np.array([1, 1, 0]), np.array([128, 640, 0])).tolist() == [7813, 1563, 0] and textrank.rounded(0.1 / 64) == 0.001563
+
+
+def test_letters_are_those_of_expressions(spark):
+    found = set(textrank.letters(spark).tolist())
+    assert {ord(c) for c in "aé血𝒳½Ⅷ٣"} <= found and not found & {ord(c) for c in " _-́😀　"}
+    said = spark.createDataFrame([("a_b血́é 𝒳½-Ⅷ😀٣",)], "t string").select(textrank.words(F.col("t")).alias("w")).first().w
+    assert "".join(said) == "".join(c for c in "a_b血́é 𝒳½-Ⅷ😀٣".lower() if ord(c) in found)
